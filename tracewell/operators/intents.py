@@ -25,11 +25,13 @@ def affirmed_hospitalization(text: Column) -> Column:
     """A hospital mention whose preceding text does not negate it.
 
     The look-behind captures up to 48 characters before every mention without consuming them, so
-    each mention gets its own full prefix.
+    each mention gets its own full prefix.  The look-ahead keeps it from running anywhere else.
     """
     w = t.HOSPITALIZATION_WINDOW
     before = F.regexp_extract_all(
-        text, F.lit(rf"(?dU)(?<=(^.{{0,{w - 1}}}|.{{{w}}})){t.HOSPITALIZATION}"), F.lit(1)
+        text,
+        F.lit(rf"(?dU)(?={t.HOSPITALIZATION})(?<=(^.{{0,{w - 1}}}|.{{{w}}})){t.HOSPITALIZATION}"),
+        F.lit(1),
     )
     return F.exists(before, lambda p: ~rx(p, t.HOSPITALIZATION_NEGATION, ignore_case=False))
 
