@@ -111,8 +111,8 @@ def sentences(col: Column) -> Column:
 
 
 def typed_metadata(col: Column) -> Column:
-    """Struct of a raw metadata value: its text and, for true/false, its boolean."""
-    value = strip(col)
+    """Struct of a trimmed metadata value: its text and, for true/false, its boolean."""
+    value = col
     low = F.lower(value)
     quoted = rx(value, "^(\"[\\s\\S]*\"|'[\\s\\S]*')$", ignore_case=False) & (F.length(value) >= 2)
     return F.struct(
@@ -142,7 +142,7 @@ def ordered_distinct(*cols: Column) -> Column:
 
 def canonical_order(col: Column, vocabulary) -> Column:
     """Distinct values in vocabulary order; values outside it are dropped."""
-    return F.filter(lit_array(vocabulary), lambda t: F.array_contains(col, t))
+    return F.array_intersect(lit_array(vocabulary), col)
 
 
 def safe_divide(a: Column, b: Column) -> Column:

@@ -21,6 +21,7 @@ from tracewell.operators.metrics import (
 )
 from tracewell.operators.ranking import check_top_k, ranked_sources
 from tracewell.operators.search import hybrid_search, keyword_search, vector_search
+from tracewell.session import stored
 from tracewell.sources.predictions import KEY, entries, prediction_key, upsert
 from tracewell.tables.intents import INTENT_SCHEMA_VERSION, STRATEGIES
 
@@ -197,11 +198,13 @@ def ablate(
     """Per-question results of every strategy in one search job.
 
     All rewritten queries go through the retriever together; each distinct search text is searched
-    once, however many strategies or questions share it.
+    once, however many strategies or questions share it.  The rewritten queries are stored first:
+    the size check, the broadcasts and the final join all read them, and none repeats the rules.
     """
-    built = build_queries(strategies, questions, **predictions).withColumn(
+    rewritten = build_queries(strategies, questions, **predictions).withColumn(
         RUN_KEY, F.sha2("search_text", 256)
     )
+    built = stored(rewritten, "rewritten-queries")
     queries = built.groupBy(F.col(RUN_KEY).alias("query_id")).agg(F.first("search_text").alias("query_text"))
     found = ranked_sources(retriever(queries, chunks, k, source_type)).withColumnRenamed("query_id", RUN_KEY)
     extra = [

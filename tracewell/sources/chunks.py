@@ -17,7 +17,10 @@ def write_chunks(chunks: DataFrame, path: str, fmt: str = "json", mode: str = "e
 
 
 def parse_chunk_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Chunks from JSON lines (column ``value``) with ``violations``; blank lines are skipped."""
+    """Chunks from JSON lines (column ``value``) with ``violations``; blank lines are skipped.
+
+    Other columns of ``lines`` are kept.
+    """
     parsed = lines.filter(strip(F.col("value")) != "").withColumn("_row", F.from_json("value", CHUNK_SCHEMA))
     keys = F.json_object_keys("value")
     missing = F.array_sort(F.array_except(lit_array(CHUNK_COLUMNS), keys))
@@ -33,7 +36,11 @@ def parse_chunk_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     ).otherwise(lit_array([]))
     chunks = parsed.withColumn(
         "violations", F.concat(collect_violations(tests), F.coalesce(listed, lit_array([])))
-    ).select(*[F.col(f"_row.{c}").alias(c) for c in CHUNK_COLUMNS], "violations")
+    ).select(
+        *[c for c in lines.columns if c != "value"],
+        *[F.col(f"_row.{c}").alias(c) for c in CHUNK_COLUMNS],
+        "violations",
+    )
     return strict_rows(chunks) if strict else chunks
 
 

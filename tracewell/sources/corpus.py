@@ -18,6 +18,10 @@ DOCUMENT_COLUMNS = [
 ]
 
 
+def _has_key(key: str):
+    return lambda line: strip(F.substring_index(line, ":", 1)) == key
+
+
 def parse_documents(files: DataFrame, strict: bool = False) -> DataFrame:
     """Parse (source_file, value) rows into documents; bad files carry an ``error``.
 
@@ -42,13 +46,25 @@ def parse_documents(files: DataFrame, strict: bool = False) -> DataFrame:
         }
     ).drop("_lines", "_trim")
 
-    def raw(key: str) -> Column:
-        """Value of the last line with this key; the value keeps later colons."""
-        named = F.filter("_meta", lambda m: strip(F.substring_index(m, ":", 1)) == key)
-        last = F.element_at(named, -1)
-        return F.when(F.size(named) > 0, F.substring(last, F.position(F.lit(":"), last) + 1, F.length(last)))
-
-    typed = split.withColumns({f"_{key}": typed_metadata(raw(key)) for key in REQUIRED_FIELDS})
+    # Value of the last line with each key, keeping later colons; one step per column so that no
+    # step repeats the work of the one before.
+    last = {
+        f"_line_{key}": F.try_element_at(
+            F.filter("_meta", _has_key(key)), F.lit(-1)
+        )
+        for key in REQUIRED_FIELDS
+    }
+    after_colon = {
+        f"_raw_{key}": strip(
+            F.substring(f"_line_{key}", F.position(F.lit(":"), F.col(f"_line_{key}")) + 1, F.length(f"_line_{key}"))
+        )
+        for key in REQUIRED_FIELDS
+    }
+    typed = (
+        split.withColumns(last)
+        .withColumns(after_colon)
+        .withColumns({f"_{key}": typed_metadata(F.col(f"_raw_{key}")) for key in REQUIRED_FIELDS})
+    )
     missing = F.array_compact(
         F.array(*[F.when(F.col(f"_{key}.text").isNull(), F.lit(key)) for key in sorted(REQUIRED_FIELDS)])
     )
@@ -113,10 +129,12 @@ def section_chunks(documents: DataFrame) -> DataFrame:
     )
     whole = F.array(F.struct(F.lit("Document").alias("heading"), F.col("body_text").alias("body")))
     has_heading = rx(F.col("body_text"), r"(?m)^##\s+\S", ignore_case=False)
+    # Files with errors get no sections.  Filtering them out here would make the optimizer compute
+    # the whole error rule a second time below everything else.
+    usable = F.when(F.col("error").isNull(), F.when(F.col("_plain"), whole).otherwise(pieces))
     numbered = with_ordinals(
-        documents.filter(F.col("error").isNull())
-        .withColumn("_plain", ~has_heading)
-        .withColumn("_pieces", F.when(F.col("_plain"), whole).otherwise(pieces))
+        documents.withColumn("_plain", ~has_heading)
+        .withColumn("_pieces", usable)
         .withColumn("_sections", F.filter("_pieces", lambda s: s["body"] != ""))
         .withColumn("_slugs", F.transform("_sections", lambda s: slug(s["heading"]))),
         "_slugs",
