@@ -2,15 +2,17 @@
 
 Plan shape, the same for all three scorers:
 
-1. chunk side: features (distinct terms, buckets) are counted inside each chunk row;
-2. term rows are filtered by the query vocabulary before they move;
-3. the rows are partitioned by chunk id once;
-4. the query features, measured to be small, are broadcast, so query-chunk pairs exist only as
-   rows streaming into an aggregate inside one task and are never shuffled;
-5. each task keeps k rows per query, and only those are shuffled for the final rank.
-
-A chunk id is unique, so no key is hot: a term held by a third of all chunks is spread over all
-tasks.  Query sets too large to broadcast are processed in blocks whose size is known to fit.
+1. chunk side: distinct terms and buckets are counted inside each chunk row, without a shuffle;
+2. the queries, measured to be small, are shipped to the tasks as arrays;
+3. each task scores its batches of chunks against all of them and keeps k rows per query and
+   slice (``kernel``), so query-chunk pairs never become rows;
+4. only those rows are shuffled for the final rank, and the winners are joined back to the chunks.
+
+No step groups by a term or any other value of the data, so a term held by a third of all chunks
+is spread over all tasks.  Query sets too large to ship are processed in blocks whose size is known
+to fit; every block is a complete search for its queries.
+
+``keyword_pairs`` and friends give the same scores as tables of all pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from collections.abc import Callable
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.text import tokens
-from tracewell.operators.ranking import check_top_k, hybrid_weights, share_of_max, top_k
+from tracewell.operators.kernel import collect_block, scorer
+from tracewell.operators.ranking import check_top_k, hybrid_weights, top_k
 from tracewell.operators.terms import (
-    chunk_terms,
     count_terms,
     invalid_queries,
     query_terms,
@@ -33,7 +36,7 @@ from tracewell.operators.terms import (
     scoring_text,
     with_buckets,
 )
-from tracewell.session import BROADCAST_BYTES, is_small, measured
+from tracewell.session import BROADCAST_BYTES, is_small, measured, spread
 
 CHUNK_KEYS = ["chunk_id", "source_id", "source_type"]
 RESULT_ROW_BYTES = 512
@@ -45,8 +48,12 @@ def in_blocks(queries: DataFrame, features: DataFrame, k: int, run: Callable[[Da
     ``features`` is the table that ``run`` broadcasts for a set of queries.  Its size and the size
     of k results per query bound each block; every block is a full search for its queries.
     """
-    _, size = measured(features)
-    results = queries.count() * k * RESULT_ROW_BYTES
+    rows, text = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("query_text")), F.lit(0))).first()
+    results = rows * k * RESULT_ROW_BYTES
+    # A term and its separator take three bytes of text at least, and a feature row at most 96.
+    size = text * 32 + rows * 96
+    if size > BROADCAST_BYTES:
+        _, size = measured(features)
     blocks = max(1, ceil(size / BROADCAST_BYTES), ceil(results / BROADCAST_BYTES))
     if blocks == 1:
         return run(queries)
@@ -68,6 +75,61 @@ def _by_chunk(chunks: DataFrame) -> tuple[DataFrame, bool]:
     return chunks.repartition(cores, "chunk_id"), True
 
 
+def _weighted_terms() -> Column:
+    """Terms of a chunk row with their capped count and their title and heading bonus."""
+    return F.transform(
+        "terms",
+        lambda t: F.struct(
+            t["term"].alias("term"),
+            F.least(t["cnt"], F.lit(3)).cast("double").alias("weight"),
+            (
+                F.when(F.array_contains("_title", t["term"]), 2.0).otherwise(0.0)
+                + F.when(F.array_contains("_heading", t["term"]), 1.0).otherwise(0.0)
+            ).alias("bonus"),
+        ),
+    )
+
+
+def _score(
+    queries: DataFrame,
+    chunks: DataFrame,
+    mode: str,
+    k: int,
+    dims: int = 0,
+    weights: tuple[float, float] = (1.0, 0.0),
+) -> DataFrame:
+    """Best rows per query, task and slice: (query_id, chunk_id, score, ...)."""
+    asked = count_terms(queries, F.col("query_text"), ["query_id"])
+    base = spread(chunks.select("chunk_id", "source_title", "section_heading", "text")).withColumns(
+        {"_title": tokens(F.col("source_title")), "_heading": tokens(F.col("section_heading"))}
+    )
+    counted = count_terms(base, scoring_text(), ["chunk_id", "_title", "_heading"])
+    if mode == "keyword":
+        rows = counted.select("chunk_id", _weighted_terms().alias("terms"))
+    else:
+        asked = with_buckets(asked.withColumn("_kept", F.col("terms")), dims).withColumnRenamed("_kept", "terms")
+        if mode == "hybrid":
+            counted = counted.withColumn("_kept", _weighted_terms())
+        rows = with_buckets(counted, dims).drop("_title", "_heading").withColumnRenamed("_kept", "terms")
+    block = collect_block(asked, dims)
+    context = queries.sparkSession.sparkContext
+    q, c = (df.schema[f].dataType.simpleString() for df, f in ((queries, "query_id"), (chunks, "chunk_id")))
+    if not len(block.ids):
+        return queries.sparkSession.createDataFrame([], f"query_id {q}, chunk_id {c}, score double")
+    schema = f"query_id {q}, chunk_id {c}, score double"
+    if mode == "hybrid":
+        # The best scores of each query are needed before any combined score is known; this first
+        # pass returns two numbers per query and task.
+        tops = rows.mapInArrow(
+            scorer(context.broadcast(block), "tops", k), f"query_id {q}, best_keyword double, best_vector double"
+        )
+        best = tops.groupBy("query_id").agg(F.max("best_keyword").alias("kw"), F.max("best_vector").alias("vec"))
+        known = {r[0]: (r[1], r[2]) for r in best.collect()}
+        block.tops = np.array([known.get(i, (0.0, 0.0)) for i in block.ids.to_pylist()])
+        schema += ", keyword_score double, vector_score double"
+    return rows.mapInArrow(scorer(context.broadcast(block), mode, k, weights), schema)
+
+
 def keyword_pairs(queries: DataFrame, terms: DataFrame, placed: bool = False) -> DataFrame:
     """Keyword score of every (query, chunk) that shares a term.
 
@@ -108,14 +170,13 @@ def keyword_search(
 
     def run(block: DataFrame) -> DataFrame:
         if index is None:
-            base, placed = _by_chunk(wanted)
-            terms = chunk_terms(base)
+            best = _score(block, wanted, "keyword", k)
         else:
-            terms, placed = index, False
+            terms = index
             if source_type is not None:
                 terms = terms.join(wanted.select("chunk_id"), "chunk_id", "left_semi")
-        best = top_k(keyword_pairs(block, terms, placed), k)
-        return _attach_chunks(best, block, wanted)
+            best = keyword_pairs(block, terms)
+        return _attach_chunks(top_k(best, k), block, wanted)
 
     return in_blocks(queries, query_terms(queries), k, run)
 
@@ -158,11 +219,7 @@ def vector_search(
     wanted = _by_source(chunks, source_type)
 
     def run(block: DataFrame) -> DataFrame:
-        base, placed = _by_chunk(wanted)
-        vectors = with_buckets(count_terms(base, scoring_text(), ["chunk_id"]), dims)
-        if not placed:
-            vectors = vectors.repartition("chunk_id")
-        return _attach_chunks(top_k(vector_pairs(block, vectors, dims), k), block, wanted)
+        return _attach_chunks(top_k(_score(block, wanted, "vector", k, dims), k), block, wanted)
 
     return in_blocks(queries, query_terms(queries), k, run)
 
@@ -171,16 +228,13 @@ def hybrid_candidates(
     queries: DataFrame,
     chunks: DataFrame,
     dims: int = 128,
-    keyword_weight: float = 0.65,
-    vector_weight: float = 0.35,
 ) -> DataFrame:
-    """All (query, chunk) candidates with raw, normalised and combined scores.
+    """All (query, chunk) candidates with both raw scores.
 
     One pass: terms and buckets of a chunk travel as rows of the same feature table, so both
     scores come out of one join and one aggregate.  A shared term always shares a bucket, hence
     no candidate is lost.
     """
-    wk, wv = hybrid_weights(keyword_weight, vector_weight)
     base, placed = _by_chunk(chunks)
     base = base.withColumns(
         {
@@ -238,7 +292,7 @@ def hybrid_candidates(
         features = features.join(F.broadcast(vocabulary), "key", "left_semi").repartition("chunk_id")
     is_bucket = F.col("key").startswith("#")
     product = F.col("qweight") * F.col("weight")
-    pairs = (
+    return (
         features.join(F.broadcast(query_features), "key")
         .groupBy("query_id", "chunk_id")
         .agg(
@@ -254,23 +308,6 @@ def hybrid_candidates(
             (F.col("_dot") / (F.col("_qnorm") * F.col("_cnorm"))).alias("vector_score"),
         )
     )
-    return pairs, wk, wv
-
-
-def combine(pairs: DataFrame, best: DataFrame, wk: float, wv: float) -> DataFrame:
-    """Normalise both scores by the query's best ones and add them with the weights."""
-    joined = pairs.join(F.broadcast(best), "query_id")
-    nk = share_of_max(F.col("keyword_score"), F.col("_best_keyword"))
-    nv = share_of_max(F.col("vector_score"), F.col("_best_vector"))
-    return joined.select(
-        "query_id",
-        "chunk_id",
-        "keyword_score",
-        "vector_score",
-        nk.alias("keyword_share"),
-        nv.alias("vector_share"),
-        (F.lit(wk) * nk + F.lit(wv) * nv).alias("score"),
-    )
 
 
 def hybrid_search(
@@ -290,12 +327,8 @@ def hybrid_search(
     wanted = _by_source(chunks, source_type)
 
     def run(block: DataFrame) -> DataFrame:
-        pairs, wk, wv = hybrid_candidates(block, wanted, dims, keyword_weight, vector_weight)
-        # The maxima are two numbers per query: aggregated map-side, then broadcast.
-        best = pairs.groupBy("query_id").agg(
-            F.max("keyword_score").alias("_best_keyword"), F.max("vector_score").alias("_best_vector")
-        )
-        return _attach_chunks(top_k(combine(pairs, best, wk, wv), k), block, wanted)
+        best = _score(block, wanted, "hybrid", k, dims, hybrid_weights(keyword_weight, vector_weight))
+        return _attach_chunks(top_k(best, k), block, wanted)
 
     return in_blocks(queries, query_terms(queries), k, run)
 

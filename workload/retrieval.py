@@ -7,7 +7,6 @@ from tracewell.operators import metrics
 from tracewell.operators.dense import dense_search
 from tracewell.operators.ranking import ranked_sources, source_ranks, top_k
 from tracewell.operators.search import (
-    combine,
     hybrid_candidates,
     hybrid_search,
     keyword_pairs,
@@ -82,7 +81,7 @@ def k3(spark, sf):
     ),
 )
 def j3(spark, sf):
-    pairs, _, _ = hybrid_candidates(i.queries(spark, sf), i.chunks(spark, sf))
+    pairs = hybrid_candidates(i.queries(spark, sf), i.chunks(spark, sf))
     return pairs.groupBy("query_id").agg(
         F.count("*").alias("candidates"),
         F.round(F.max("keyword_score"), 6).alias("best_keyword"),
