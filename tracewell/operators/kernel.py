@@ -28,6 +28,7 @@ class QueryBlock:
     starts: np.ndarray  # postings of term t are starts[t]:starts[t + 1]
     members: np.ndarray  # query position per posting
     counts: np.ndarray  # query count per posting
+    ranks: np.ndarray  # place of each term in sorted order
     vectors: np.ndarray | None = None  # (queries, dims)
     norms: np.ndarray | None = None
     tops: np.ndarray | None = None  # best keyword and vector score per query
@@ -47,6 +48,7 @@ def collect_block(queries: DataFrame, dims: int = 0) -> QueryBlock:
     block = QueryBlock(
         ids, coded.dictionary, starts, parents[order].astype(np.int64),
         items.field("cnt").to_numpy().astype(np.float64)[order],
+        np.argsort(pc.sort_indices(coded.dictionary).to_numpy()),
     )
     if dims:
         block.vectors = _dense(_column(table, "buckets"), dims)
@@ -66,35 +68,35 @@ def _dense(buckets: pa.ListArray, dims: int) -> np.ndarray:
     return out
 
 
-def _slices(batch: pa.RecordBatch, block: QueryBlock, by_terms: bool):
+def _codes(batch: pa.RecordBatch, block: QueryBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which term entries the queries know: mask, vocabulary code and chunk row of each."""
+    terms = batch.column("terms")
+    codes = pc.index_in(terms.flatten().field("term"), value_set=block.vocabulary)
+    found = pc.is_valid(codes).to_numpy(zero_copy_only=False)
+    code = codes.filter(pa.array(found)).to_numpy().astype(np.int64)
+    return found, code, pc.list_parent_indices(terms).to_numpy()[found].astype(np.int64)
+
+
+def _slices(batch: pa.RecordBatch, block: QueryBlock):
     """Row ranges whose score matrix and term matches stay below the cell limit."""
-    n, width = batch.num_rows, len(block.ids)
-    cost = np.full(n, width, dtype=np.int64)
-    if by_terms:
-        terms = batch.column("terms")
-        codes = pc.index_in(terms.flatten().field("term"), value_set=block.vocabulary)
-        found = pc.is_valid(codes).to_numpy(zero_copy_only=False)
-        code = codes.filter(pa.array(found)).to_numpy().astype(np.int64)
-        parents = pc.list_parent_indices(terms).to_numpy()[found]
-        np.add.at(cost, parents, block.starts[code + 1] - block.starts[code])
+    n = batch.num_rows
+    cost = np.full(n, len(block.ids), dtype=np.int64)
+    _, code, row = _codes(batch, block)
+    np.add.at(cost, row, block.starts[code + 1] - block.starts[code])
     total, start = 0, 0
-    for row in range(n):
-        if total and total + cost[row] > SLICE_CELLS:
-            yield batch.slice(start, row - start)
-            total, start = 0, row
-        total += cost[row]
+    for i in range(n):
+        if total and total + cost[i] > SLICE_CELLS:
+            yield batch.slice(start, i - start)
+            total, start = 0, i
+        total += cost[i]
     if start < n:
         yield batch.slice(start)
 
 
-def keyword_scores(batch: pa.RecordBatch, block: QueryBlock) -> np.ndarray:
-    """(queries, chunks) matrix of keyword scores."""
-    terms, n = batch.column("terms"), batch.num_rows
-    items = terms.flatten()
-    codes = pc.index_in(items.field("term"), value_set=block.vocabulary)
-    found = pc.is_valid(codes).to_numpy(zero_copy_only=False)
-    code = codes.filter(pa.array(found)).to_numpy().astype(np.int64)
-    row = pc.list_parent_indices(terms).to_numpy()[found].astype(np.int64)
+def term_matches(batch: pa.RecordBatch, block: QueryBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per shared term of a query and a chunk: matrix cell, score part, term code."""
+    found, code, row = _codes(batch, block)
+    items = batch.column("terms").flatten()
     weight = items.field("weight").to_numpy()[found]
     bonus = items.field("bonus").to_numpy()[found]
     first = block.starts[code]
@@ -104,8 +106,24 @@ def keyword_scores(batch: pa.RecordBatch, block: QueryBlock) -> np.ndarray:
     total = int(ends[-1]) if len(ends) else 0
     at = np.arange(total) - np.repeat(ends - length - first, length)
     part = block.counts[at] * np.repeat(weight, length) + np.repeat(bonus, length)
-    cell = block.members[at] * n + np.repeat(row, length)
-    return np.bincount(cell, weights=part, minlength=len(block.ids) * n).reshape(len(block.ids), n)
+    cell = block.members[at] * batch.num_rows + np.repeat(row, length)
+    return cell, part, np.repeat(code, length)
+
+
+def keyword_scores(cell: np.ndarray, part: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """(queries, chunks) matrix of keyword scores."""
+    return np.bincount(cell, weights=part, minlength=shape[0] * shape[1]).reshape(shape)
+
+
+def shared_terms(q: np.ndarray, c: np.ndarray, n: int, cell: np.ndarray, code: np.ndarray, block: QueryBlock) -> pa.ListArray:
+    """Sorted shared terms of the chosen cells."""
+    place = np.full(len(block.ids) * n, -1, dtype=np.int32)
+    place[q * n + c] = np.arange(len(q))
+    chosen = place[cell]
+    code, chosen = code[chosen >= 0], chosen[chosen >= 0]
+    order = np.lexsort((block.ranks[code], chosen))
+    offsets = np.searchsorted(chosen[order], np.arange(len(q) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), block.vocabulary.take(pa.array(code[order])))
 
 
 def vector_scores(batch: pa.RecordBatch, block: QueryBlock) -> np.ndarray:
@@ -135,23 +153,32 @@ def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)
         block: QueryBlock = shipped.value
         tops = np.zeros((len(block.ids), 2))
         for whole in batches:
-            for part in _slices(whole, block, mode != "vector"):
+            for part in _slices(whole, block):
                 part = part.take(pc.sort_indices(part.column("chunk_id")))
-                if mode == "vector":
-                    scores = vector_scores(part, block)
-                elif mode == "keyword":
-                    scores = keyword_scores(part, block)
-                else:
-                    keyword, vector = keyword_scores(part, block), vector_scores(part, block)
-                    if mode == "tops":
-                        tops = np.maximum(tops, np.stack([keyword.max(axis=1), vector.max(axis=1)], axis=1))
-                        continue
+                n = part.num_rows
+                cell, share, code = term_matches(part, block)
+                keyword = vector = None
+                if mode != "vector":
+                    keyword = keyword_scores(cell, share, (len(block.ids), n))
+                if mode != "keyword":
+                    vector = vector_scores(part, block)
+                if mode == "tops":
+                    tops = np.maximum(tops, np.stack([keyword.max(axis=1), vector.max(axis=1)], axis=1))
+                    continue
+                if mode == "hybrid":
                     scores = weights[0] * _share(keyword, block.tops[:, 0]) + weights[1] * _share(
                         vector, block.tops[:, 1]
                     )
+                else:
+                    scores = vector if keyword is None else keyword
                 q, c = best_cells(scores, k)
-                columns = [block.ids.take(pa.array(q)), part.column("chunk_id").take(pa.array(c)), pa.array(scores[q, c])]
-                names = ["query_id", "chunk_id", "score"]
+                columns = [
+                    block.ids.take(pa.array(q)),
+                    part.column("chunk_id").take(pa.array(c)),
+                    pa.array(scores[q, c]),
+                    shared_terms(q, c, n, cell, code, block),
+                ]
+                names = ["query_id", "chunk_id", "score", "matched_terms"]
                 if mode == "hybrid":
                     columns += [pa.array(keyword[q, c]), pa.array(vector[q, c])]
                     names += ["keyword_score", "vector_score"]

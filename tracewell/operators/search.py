@@ -108,15 +108,14 @@ def _score(
         rows = counted.select("chunk_id", _weighted_terms().alias("terms"))
     else:
         asked = with_buckets(asked.withColumn("_kept", F.col("terms")), dims).withColumnRenamed("_kept", "terms")
-        if mode == "hybrid":
-            counted = counted.withColumn("_kept", _weighted_terms())
+        counted = counted.withColumn("_kept", _weighted_terms())
         rows = with_buckets(counted, dims).drop("_title", "_heading").withColumnRenamed("_kept", "terms")
     block = collect_block(asked, dims)
     context = queries.sparkSession.sparkContext
     q, c = (df.schema[f].dataType.simpleString() for df, f in ((queries, "query_id"), (chunks, "chunk_id")))
+    schema = f"query_id {q}, chunk_id {c}, score double, matched_terms array<string>"
     if not len(block.ids):
-        return queries.sparkSession.createDataFrame([], f"query_id {q}, chunk_id {c}, score double")
-    schema = f"query_id {q}, chunk_id {c}, score double"
+        return queries.sparkSession.createDataFrame([], schema)
     if mode == "hybrid":
         # The best scores of each query are needed before any combined score is known; this first
         # pass returns two numbers per query and task.
@@ -170,13 +169,13 @@ def keyword_search(
 
     def run(block: DataFrame) -> DataFrame:
         if index is None:
-            best = _score(block, wanted, "keyword", k)
+            best = top_k(_score(block, wanted, "keyword", k), k)
         else:
             terms = index
             if source_type is not None:
                 terms = terms.join(wanted.select("chunk_id"), "chunk_id", "left_semi")
-            best = keyword_pairs(block, terms)
-        return _attach_chunks(top_k(best, k), block, wanted)
+            best = with_matched_terms(top_k(keyword_pairs(block, terms), k), block, terms)
+        return _attach_chunks(best, wanted)
 
     return in_blocks(queries, query_terms(queries), k, run)
 
@@ -219,7 +218,7 @@ def vector_search(
     wanted = _by_source(chunks, source_type)
 
     def run(block: DataFrame) -> DataFrame:
-        return _attach_chunks(top_k(_score(block, wanted, "vector", k, dims), k), block, wanted)
+        return _attach_chunks(top_k(_score(block, wanted, "vector", k, dims), k), wanted)
 
     return in_blocks(queries, query_terms(queries), k, run)
 
@@ -328,7 +327,7 @@ def hybrid_search(
 
     def run(block: DataFrame) -> DataFrame:
         best = _score(block, wanted, "hybrid", k, dims, hybrid_weights(keyword_weight, vector_weight))
-        return _attach_chunks(top_k(best, k), block, wanted)
+        return _attach_chunks(top_k(best, k), wanted)
 
     return in_blocks(queries, query_terms(queries), k, run)
 
@@ -338,18 +337,28 @@ def _require_valid(queries: DataFrame, strict: bool) -> None:
         raise ValueError("query must contain at least one searchable term")
 
 
-def _attach_chunks(best: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add source columns and the sorted shared terms to the winning rows.
+def with_matched_terms(best: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """Add the sorted shared terms of winning rows from a chunk-term table.
 
-    At most k rows per query are broadcast against the chunk table, so only the winners are
-    tokenized again; without ``matched_terms`` the text column is not even read.
+    The winners, k per query at most, are broadcast; a collected group holds the terms of one query.
     """
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("_asked"))
-    winners = best.join(F.broadcast(asked), "query_id")
-    matched = F.array_sort(F.array_intersect("_asked", tokens(scoring_text())))
-    extra = [c for c in best.columns if c not in ("query_id", "chunk_id", "rank", "score")]
-    rows = chunks.join(F.broadcast(winners), "chunk_id")
-    return rows.select(
-        "query_id", "rank", "chunk_id", "score", matched.alias("matched_terms"), *extra,
-        *[c for c in chunks.columns if c != "chunk_id"],
+    shared = (
+        terms.select("chunk_id", "term")
+        .join(F.broadcast(best.select("query_id", "chunk_id")), "chunk_id")
+        .join(F.broadcast(query_terms(queries).select("query_id", "term")), ["query_id", "term"])
+        .groupBy("query_id", "chunk_id")
+        .agg(F.array_sort(F.collect_list("term")).alias("matched_terms"))
     )
+    return best.join(shared, ["query_id", "chunk_id"])
+
+
+def _attach_chunks(best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add the chunk columns to the winning rows.
+
+    At most k rows per query are broadcast against the chunk table; only the columns that are used
+    later are read.
+    """
+    first = ["query_id", "rank", "chunk_id", "score", "matched_terms"]
+    extra = [c for c in best.columns if c not in first]
+    carried = [c for c in chunks.columns if c != "chunk_id"]
+    return chunks.join(F.broadcast(best), "chunk_id").select(*first, *extra, *carried)
