@@ -99,9 +99,8 @@ def parse_documents(files: DataFrame, strict: bool = False) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Documents of every ``*.md`` file under ``path``; one row per file."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.md")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.md")
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("source_file"), "value")
     )
     return parse_documents(files, strict)

@@ -92,9 +92,8 @@ def read_extraction_cases(spark: SparkSession, path: str, lines: bool = False, s
 def read_expected_outputs(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """One nested record per JSON file; the case id is the file name without its ending."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.json")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(path, wholetext=True)
         .select(
             F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("case_id"),
             F.col("value").alias("record_json"),
