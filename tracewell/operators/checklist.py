@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewell.functions.text import any_of, humanize, lit_array, rx, strip
+from tracewell.functions.text import any_of, humanize, lit_array, rx
 from tracewell.operators.ranking import check_top_k, top_k
 from tracewell.operators.search import keyword_search
 from tracewell.operators.terms import scoring_text

@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.functions.hashing import vocabulary_buckets
-from tracewell.operators import checklist, intake, metrics, summary, triage, validation
+from tracewell.operators import checklist, intake, summary, validation
 from tracewell.operators.search import keyword_search
 from tracewell.operators.terms import chunk_terms
 from tracewell.plans import evaluate as ev, records as rec
 from tracewell.session import stored, work_folder
 from tracewell.sources import chunks as chunk_source, corpus, predictions, questions as question_source, runs
 from tracewell.streaming import requests
-from tracewell.tables import assessment as ta, intents as ti, summary as ts, triage as tt
+from tracewell.tables import intents as ti, triage as tt
 from workload import inputs as i, rules
 from workload.inputs import sql_list, sql_strip, sql_text, with_views
 from workload.registry import query

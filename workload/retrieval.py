@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import tokens
 from tracewell.operators import metrics
 from tracewell.operators.dense import dense_search
-from tracewell.operators.ranking import ranked_sources, source_ranks, top_k
+from tracewell.operators.ranking import source_ranks, top_k
 from tracewell.operators.search import (
     hybrid_candidates,
     hybrid_search,
