@@ -7,6 +7,8 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracewell.session import ship_package
+
 
 def md5_bucket(token: Column, dims: int) -> Column:
     """First 32 bits of md5 modulo ``dims``; native and reproducible in plain SQL."""
@@ -31,4 +33,5 @@ def blake2b_bucket(token: Column, dims: int) -> Column:
 
 def vocabulary_buckets(terms: DataFrame, dims: int) -> DataFrame:
     """(term, bucket) for the distinct terms of ``terms`` under blake2b hashing."""
+    ship_package(terms.sparkSession)
     return terms.select("term").distinct().withColumn("bucket", blake2b_bucket(F.col("term"), dims))

@@ -13,7 +13,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.operators.ranking import check_top_k, top_k
-from tracewell.session import BROADCAST_BYTES
+from tracewell.session import BROADCAST_BYTES, ship_package
 
 
 def embed_with(model: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
@@ -36,6 +36,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFram
     known beforehand; each block is a complete search.
     """
     check_top_k(k)
+    ship_package(queries.sparkSession)
     shape = queries.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
     count, narrow, wide = int(shape[0]), shape[1], shape[2]
     if not count:

@@ -36,7 +36,7 @@ from tracewell.operators.terms import (
     scoring_text,
     with_buckets,
 )
-from tracewell.session import BROADCAST_BYTES, is_small, measured, spread
+from tracewell.session import BROADCAST_BYTES, is_small, measured, ship_package, spread
 
 CHUNK_KEYS = ["chunk_id", "source_id", "source_type"]
 RESULT_ROW_BYTES = 512
@@ -112,6 +112,7 @@ def _score(
         rows = with_buckets(counted, dims).drop("_title", "_heading").withColumnRenamed("_kept", "terms")
     block = collect_block(asked, dims)
     context = queries.sparkSession.sparkContext
+    ship_package(queries.sparkSession)
     q, c = (df.schema[f].dataType.simpleString() for df, f in ((queries, "query_id"), (chunks, "chunk_id")))
     schema = f"query_id {q}, chunk_id {c}, score double, matched_terms array<string>"
     if not len(block.ids):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,21 @@ def build_session(master: str | None = None, app: str = "tracewell", **conf) ->
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(package)
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, under the shared checkpoint folder of the cluster.
 
