@@ -22,9 +22,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from tracewell.llm.common import replaced, ship_package, with_fields
+from tracewell.llm.common import prepare, replaced, with_fields
 
 # The pattern that parts text before merging, and the white space it knows. Fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,7 +32,8 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 MOST_PIECES = 200_000
 MOST_PIECE_CHARS = 64
-PART_BYTES = 4 << 20
+LEARNT_AT_ONCE = 5_000
+PART_BYTES = 2 << 20
 
 
 def byte_characters() -> list[str]:
@@ -128,11 +129,16 @@ class _Encoder:
         A piece that begins with white space is not changed by what stands before it, so such pieces are
         encoded joined and parted again by the byte lengths of their tokens; others get a line end first.
         """
+        out = {}
+        for i in range(0, len(pieces), LEARNT_AT_ONCE):
+            self._learn_some(pieces[i : i + LEARNT_AT_ONCE], out)
+        return out
+
+    def _learn_some(self, pieces: list[str], out: dict[str, bytes]) -> None:
         closed = [p for p in pieces if p[-1] not in self.white]
         joined = ["".join(p if p[0] in self.white else "\n" + p for p in closed)] if closed else []
         open_ended = [p for p in pieces if p[-1] in self.white]
         codes = self.model.encode_batch_fast(joined + open_ended, add_special_tokens=False)
-        out = {}
         if closed:
             ids = np.array(codes[0].ids, "<u4")
             lengths = np.array([len(p.encode()) + (p[0] not in self.white) for p in closed])
@@ -143,7 +149,6 @@ class _Encoder:
                 begin = end
         for p, code in zip(open_ended, codes[len(joined) :]):
             out[p] = np.array(code.ids, "<u4").tobytes()
-        return out
 
     def packed(self, texts: list[str]) -> list[bytes]:
         parted = [self.pieces(t) for t in texts]
@@ -208,53 +213,82 @@ def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def ship_vocabulary(spark, vocabulary: Vocabulary):
-    ship_package(spark)
+    prepare(spark)
     return spark.sparkContext.broadcast(vocabulary)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", spans: bool = False, shipped=None) -> DataFrame:
+def _encoded(encoder: _Encoder, texts: list[str], added: dict) -> list[bytes]:
+    packed = encoder.packed(texts)
+    added["n_tokens"] = pa.array([len(p) // 4 for p in packed], pa.int64())
+    added["token_bytes"] = pa.array(packed, pa.binary())
+    return packed
+
+
+def _with_spans(decoder: _Decoder, packed: list[bytes], texts: list[str], added: dict) -> None:
+    found = [decoder.spans(p, t.encode()) for p, t in zip(packed, texts)]
+    for name, k in (("span_starts", 0), ("span_ends", 1)):
+        added[name] = pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32()))
+
+
+def _decoded(decoder: _Decoder, packed: list[bytes | None], as_text: bool, added: dict) -> None:
+    raw = [decoder.raw(p) for p in packed]
+    added["decoded"] = pa.array(raw, pa.binary())
+    if as_text:
+        added["decoded_text"] = pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
+
+
+TOKENS = [("n_tokens", LongType()), ("token_bytes", BinaryType())]
+SPANS = [("span_starts", ArrayType(IntegerType())), ("span_ends", ArrayType(IntegerType()))]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", spans: bool = False) -> DataFrame:
     """Adds n_tokens and token_bytes (ids as little-endian unsigned 32-bit integers, the layout of training shards).
 
     With ``spans`` also span_starts and span_ends, the characters of the text that each token covers.
     """
-    shipped = shipped or ship_vocabulary(docs.sparkSession, vocabulary)
-    added = [("n_tokens", LongType()), ("token_bytes", BinaryType())]
-    if spans:
-        added += [("span_starts", ArrayType(IntegerType())), ("span_ends", ArrayType(IntegerType()))]
+    shipped = ship_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once(_Encoder, shipped)
+        encoder, decoder = _once(_Encoder, shipped), _once(_Decoder, shipped)
         for whole in batches:
             for batch in _parts(whole, text):
-                texts = [t or "" for t in batch.column(text).to_pylist()]
-                packed = encoder.packed(texts)
-                new = {
-                    "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    "token_bytes": pa.array(packed, pa.binary()),
-                }
+                texts, added = [t or "" for t in batch.column(text).to_pylist()], {}
+                packed = _encoded(encoder, texts, added)
                 if spans:
-                    decoder = _once(_Decoder, shipped)
-                    found = [decoder.spans(p, t.encode()) for p, t in zip(packed, texts)]
-                    for name, k in (("span_starts", 0), ("span_ends", 1)):
-                        new[name] = pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32()))
-                yield replaced(batch, new)
+                    _with_spans(decoder, packed, texts, added)
+                yield replaced(batch, added)
 
-    return docs.mapInArrow(run, with_fields(docs.schema, added))
+    return docs.mapInArrow(run, with_fields(docs.schema, TOKENS + (SPANS if spans else [])))
 
 
-def decode(tokens: DataFrame, vocabulary: Vocabulary, as_text: bool = False, shipped=None) -> DataFrame:
+def decode(tokens: DataFrame, vocabulary: Vocabulary, as_text: bool = False) -> DataFrame:
     """Adds decoded, the bytes of token_bytes; with ``as_text`` also decoded_text, broken characters replaced."""
-    shipped = shipped or ship_vocabulary(tokens.sparkSession, vocabulary)
-    added = [("decoded", BinaryType())] + ([("decoded_text", StringType())] if as_text else [])
+    shipped = ship_vocabulary(tokens.sparkSession, vocabulary)
+    new = [("decoded", BinaryType())] + ([("decoded_text", StringType())] if as_text else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _once(_Decoder, shipped)
         for whole in batches:
             for batch in _parts(whole, "token_bytes"):
-                raw = [decoder.raw(p) for p in batch.column("token_bytes").to_pylist()]
-                new = {"decoded": pa.array(raw, pa.binary())}
-                if as_text:
-                    new["decoded_text"] = pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
-                yield replaced(batch, new)
+                added = {}
+                _decoded(decoder, batch.column("token_bytes").to_pylist(), as_text, added)
+                yield replaced(batch, added)
+
+    return tokens.mapInArrow(run, with_fields(tokens.schema, new))
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the texts: n_tokens, token_bytes and decoded instead of the text."""
+    shipped = ship_vocabulary(docs.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _once(_Encoder, shipped), _once(_Decoder, shipped)
+        for whole in batches:
+            for batch in _parts(whole, text):
+                added = {}
+                packed = _encoded(encoder, [t or "" for t in batch.column(text).to_pylist()], added)
+                _decoded(decoder, packed, False, added)
+                yield replaced(batch, added).drop_columns([text])
 
-    return tokens.mapInArrow(run, with_fields(tokens.schema, added))
+    kept = StructType([f for f in docs.schema.fields if f.name != text])
+    return docs.mapInArrow(run, with_fields(kept, TOKENS + [("decoded", BinaryType())]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType
 
-from tracewell.llm.common import broadcast_if_bounded, replaced, ship_package, stored, with_fields
+from tracewell.llm.common import broadcast_if_bounded, prepare, replaced, stored, with_fields
 
 SHORTEST = 10
 HOT_SHARE = 1000
@@ -145,7 +145,7 @@ def _held(batch: pa.RecordBatch, shortest: int) -> tuple[np.ndarray, np.ndarray,
 
 def line_index(docs: DataFrame, shards: int, hot_at: float, shortest: int = SHORTEST) -> DataFrame:
     """One row per shard with its hash function, its arrays and its hot entries (h1, h2, owner), packed."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

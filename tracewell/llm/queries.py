@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import bpe, chat, linededup, mixing
+from tracewell.llm import bpe, chat, jaccard, linededup, mixing
 from tracewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,9 +34,7 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> bpe.Vocabulary:
 @query("op1_byte_bpe")
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    shipped = bpe.ship_vocabulary(spark, vocabulary())
-    tokens = bpe.encode(docs, vocabulary(), shipped=shipped).drop("text")
-    back = bpe.decode(tokens, vocabulary(), shipped=shipped)
+    back = bpe.round_trip(docs, vocabulary())
     return back.select(
         "doc_id",
         "n_tokens",
@@ -169,3 +167,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
