@@ -291,26 +291,29 @@ def set_links(sets: DataFrame) -> DataFrame:
     flag = {"probe": F.lit(False), "grow": F.lit(True)}
     homes = stored(_homes(prefixes), "set-homes")
     named = homes.select("rep", "home").union(homes.select("home", "home").distinct()).distinct()
-    members = _in_parts(named, "home").join(sets.select("rep", "n", "ranked"), "rep").withColumns(flag)
-    links = members.groupBy("home", "part").applyInArrow(_walk, "a long, b long")
-    links = stored(links, "set-links")
+    members = stored(_in_parts(named, "home").select("rep", "home", "part"), "set-members")
+    first = members.join(sets.select("rep", "n", "ranked"), "rep").withColumns(flag)
+    links = stored(first.groupBy("home", "part").applyInArrow(_walk, "a long, b long"), "set-links")
 
     # Second pass: components that still share a prefix shingle.
     labels = components(links)
     labelled = sets.select("rep").distinct().join(labels, F.col("rep") == F.col("node"), "left")
     labelled = labelled.select("rep", F.coalesce("component", "rep").alias("label"))
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
-    labelled = stored(labelled.join(sizes, "label"), "set-labels")
-    rows = prefixes.join(labelled, "rep").select("shingle", "rep", "n", "label", "weight")
-    spans = rows.groupBy("shingle", "label", "weight").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    mixed = spans.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    # Sets of one part have met already, so only shingles that lead out of a set's part count.
+    first = members.groupBy("rep").agg(F.min_by(F.struct("home", "part"), F.col("home") == F.col("rep")).alias("met"))
+    labelled = stored(labelled.join(sizes, "label").join(first, "rep", "left"), "set-labels")
+    rows = prefixes.join(labelled, "rep").select("shingle", "rep", "n", "label", "weight", "met")
+    spans = rows.groupBy("shingle", "label", "weight", "met").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    mixed = spans.groupBy("shingle").agg(F.count_distinct("label").alias("labels")).where("labels > 1")
     spans = spans.join(mixed, "shingle").select(
-        "shingle", F.col("label").alias("into"), F.col("weight").alias("into_weight"), "least", "most"
+        "shingle", F.col("label").alias("into"), F.col("weight").alias("into_weight"), F.col("met").alias("into_met"), "least", "most"
     )
     rows = rows.join(mixed, "shingle").drop("labels")
     smaller = "(weight < into_weight or (weight = into_weight and label > into))"
     fits = "4 * n >= 3 * least and 4 * most >= 3 * n"
-    probes = rows.join(spans, "shingle").where(f"{smaller} and {fits}").select("rep", "into").distinct()
+    new = "coalesce(met <> into_met, true)"
+    probes = rows.join(spans, "shingle").where(f"{smaller} and {fits} and {new}").select("rep", "into").distinct()
     probes = stored(probes, "set-probes")
     targets = probes.select(F.col("into").alias("label")).distinct()
     members = _in_parts(labelled.join(targets, "label").select("rep", "label"), "label")
