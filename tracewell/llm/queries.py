@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import ann, bpe, chat, jaccard, linededup, mixing, neardup_vectors, secret_scan, toxicity
+from tracewell.llm import ann, bpe, chat, jaccard, linededup, mixing, neardup_vectors, quality, secret_scan, toxicity
 from tracewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("secret_spans")).alias("spans"),
     )
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    found = quality.score(docs, model)
+    return found.withColumn("held_out", toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT)
