@@ -4,11 +4,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.functions.hashing import blake2b_bucket, md5_bucket
-from tracewell.operators import search
+from tracewell.functions.hashing import blake2b_bucket, md5_bucket, vocabulary_buckets
+from tracewell.operators import kernel, search, terms
 from tracewell.operators.dense import dense_search, embed_with
 from tracewell.operators.kernel import best_cells
 from tracewell.operators.ranking import hybrid_weights, share_of_max
@@ -111,7 +113,8 @@ def test_hybrid_with_keyword_weight_only_orders_like_keyword(queries, chunks):
 
 def test_blocks_and_slices_change_nothing(queries, chunks, monkeypatch):
     whole = got(search.keyword_search(queries, chunks, 3))
-    monkeypatch.setattr(search, "RESULT_ROW_BYTES", search.BROADCAST_BYTES // 4)
+    monkeypatch.setattr(search, "STATE_BYTES", 300)  # more blocks than queries, so some are empty
+    monkeypatch.setattr(kernel, "SLICE_CELLS", 3)
     assert got(search.keyword_search(queries, chunks, 3)) == whole
 
 
@@ -121,12 +124,78 @@ def test_stored_index(spark, queries, chunks, tmp_path):
     found = search.keyword_search(queries, chunks, 5, "sop", index=index)
     plain = search.keyword_search(queries, chunks, 5, "sop")
     assert got(found) == got(plain)
-    terms = lambda df: {(r.query_id, r.chunk_id): r.matched_terms for r in df.collect()}
-    assert terms(found) == terms(plain)
+    matched = lambda df: {(r.query_id, r.chunk_id): r.matched_terms for r in df.collect()}
+    assert matched(found) == matched(plain)
+
+
+@pytest.mark.parametrize("state", [search.STATE_BYTES, 300])
+@pytest.mark.parametrize("run", [search.keyword_search, search.vector_search, search.hybrid_search])
+def test_empty_blocks_and_no_queries(queries, chunks, monkeypatch, state, run):
+    whole = run(queries, chunks, 3)
+    monkeypatch.setattr(search, "STATE_BYTES", state)
+    found = run(queries, chunks, 3)
+    assert found.columns == whole.columns and got(found) == got(whole)
+    none = run(queries.limit(0), chunks, 3)
+    assert none.columns == whole.columns and none.collect() == []
+
+
+def test_tasks_return_k_rows_per_query(spark, queries, monkeypatch):
+    rows = [(f"c{n:04d}", "s", "t", "h", f"pen dose {n}", "sop") for n in range(400)]
+    names = "chunk_id string, source_id string, source_title string, section_heading string, text string, source_type string"
+    many = spark.createDataFrame(rows, names).repartition(3)
+    monkeypatch.setattr(kernel, "SLICE_CELLS", 20)
+    rows = search.best_rows(terms.query_features(queries), terms.chunk_features(many).select("chunk_id", "terms"), "keyword", 2)
+    assert 0 < rows.count() <= len(QUERIES) * 2 * 3
+    best = sorted(r.chunk_id for r in search.keyword_search(queries, many, 2).filter("query_id = 'q1'").collect())
+    assert best == ["c0000", "c0001"]
+
+
+def test_running_best_equals_one_sort():
+    rng = np.random.default_rng(0)
+    best, all_rows = kernel.RunningBest(3, 4), []
+    best.limit = 10
+    for _ in range(30):
+        q, score, ids = rng.integers(0, 3, 9), rng.integers(0, 6, 9).astype(float), rng.integers(0, 10**6, 9)
+        all_rows += list(zip(q.tolist(), (-score).tolist(), ids.tolist()))
+        best.add(pa.table({"query": q, "chunk_id": ids, "score": score, "matched_terms": [[]] * 9}))
+    kept = best.prune().to_pylist()
+    want = [r for q in range(3) for r in sorted(r for r in all_rows if r[0] == q)[:4]]
+    assert [(r["query"], -r["score"], r["chunk_id"]) for r in kept] == want
+
+
+def test_supplied_vectors_and_buckets(spark, queries, chunks):
+    rng = np.random.default_rng(1)
+    held = {c: rng.normal(size=5) for c in TEXTS if c != "c4"}
+    asked = {q: rng.normal(size=5) for q in QUERIES if q != "q4"}
+    as_table = lambda d, n: spark.createDataFrame([(k, v.tolist()) for k, v in d.items()], f"{n} string, vector array<double>")
+    given = {"vectors": as_table(held, "chunk_id"), "query_vectors": as_table(asked, "query_id")}
+
+    def cos(q, c):
+        if q not in asked or c not in held:
+            return 0.0
+        return float(asked[q] @ held[c] / np.linalg.norm(asked[q]) / np.linalg.norm(held[c]))
+
+    assert got(search.vector_search(queries, chunks, 3, **given)) == expected(cos, 3)
+
+    def score(q, c):
+        kw = max(keyword(q, x)[0] for x in TEXTS)
+        vec = max(0.0, *(cos(q, x) for x in TEXTS))
+        return 0.65 * (keyword(q, c)[0] / kw if kw else 0) + 0.35 * (cos(q, c) / vec if vec else 0)
+
+    close = lambda d: {q: [(c, round(s, 6)) for c, s in v] for q, v in d.items()}
+    assert close(got(search.hybrid_search(queries, chunks, 4, **given))) == close(expected(score, 4))
+    with pytest.raises(ValueError, match="chunks and queries"):
+        search.vector_search(queries, chunks, 3, vectors=given["vectors"])
+
+    vocabulary = terms.chunk_terms(chunks).select("term").union(terms.query_terms(queries).select("term"))
+    table = vocabulary_buckets(vocabulary, 16)
+    where = {r.term: r.bucket for r in table.collect()}
+    found = search.vector_search(queries, chunks, 3, dims=16, buckets=table)
+    assert got(found) == expected(lambda q, c: cosine(q, c, where), 3)
 
 
-def test_pair_tables_agree(queries, chunks, buckets):
-    pairs = {(r.query_id, r.chunk_id): r for r in search.hybrid_candidates(queries, chunks, 16).collect()}
+def test_scores_of_all_candidates(queries, chunks, buckets):
+    pairs = {(r.query_id, r.chunk_id): r for r in search.hybrid_search(queries, chunks, 9, dims=16).collect()}
     for q in QUERIES:
         for c in TEXTS:
             want = keyword(q, c)[0], cosine(q, c, buckets)

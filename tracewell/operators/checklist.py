@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewell.functions.text import any_of, humanize, lit_array, rx
+from tracewell.functions.text import any_of, humanize, lit_array, rx, strip
 from tracewell.operators.ranking import check_top_k, top_k
-from tracewell.operators.search import keyword_search
+from tracewell.operators.search import attach_chunks, keyword_winners
 from tracewell.operators.terms import scoring_text
 from tracewell.operators.triage import (
     LANE_FLAGS,
@@ -18,23 +18,28 @@ from tracewell.operators.triage import (
     list_map,
     risk_lane_of,
 )
+from tracewell.session import broadcast_if_bounded, stored
 from tracewell.tables import triage as t
 
 
+def phrase_marks(terms=None) -> Column:
+    """Array of the rerank phrases that the text of a chunk row contains."""
+    phrases = sorted({p for _, listed in (terms or t.CONCERN_RERANK_TERMS).items() for p in listed})
+    low = F.lower(scoring_text())
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases)))
+
+
 def rerank(results: DataFrame, k: int, terms=None, bonus: float = t.RERANK_BONUS) -> DataFrame:
     """Raise scores by ``bonus`` per preferred phrase of the concern type and keep ``k``.
 
-    ``results`` carries concern_type and the chunk text columns.  A type without phrases leaves
-    the order unchanged.
+    ``results`` carries concern_type and either marks (``phrase_marks`` of the chunk) or the chunk
+    text columns.  A type without phrases leaves the order unchanged.
     """
+    marks = F.col("marks") if "marks" in results.columns else phrase_marks(terms)
     wanted = F.coalesce(list_map(terms or t.CONCERN_RERANK_TERMS)[F.col("concern_type")], lit_array([]))
-    low = F.lower(scoring_text())
-    hits = F.size(F.filter("_wanted", lambda w: F.contains(F.col("_searchable"), w)))
-    raised = (
-        results.withColumns({"_wanted": wanted, "_searchable": low})
-        .withColumn("score", F.col("score") + hits * F.lit(bonus))
-        .drop("rank", "_wanted", "_searchable")
-    )
+    marked = results.withColumns({"_wanted": wanted, "_marks": marks})
+    hits = F.size(F.filter("_wanted", lambda w: F.array_contains("_marks", w)))
+    raised = marked.withColumn("score", F.col("score") + hits * F.lit(bonus)).drop("rank", "_wanted", "_marks", "marks")
     return top_k(raised, k)
 
 
@@ -137,17 +142,28 @@ def intake_checklist(
     k: int = 5,
     source_type: str | None = "sop",
     facts: bool = False,
+    index: DataFrame | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Full checklist per concern (case_id, concern_text) with reranked evidence.
 
-    Over-fetches 3k chunks per concern, reranks by concern type, keeps k, and attaches them.
+    Over-fetches 3k chunks per concern, reranks by concern type, keeps k, and attaches them.  The rules
+    run once and are stored; the over-fetched rows carry no text, only the phrases that each chunk holds,
+    and the text is attached to the k winners.  ``concern_status`` is blank for null and white concerns,
+    which have no evidence; ``strict`` refuses them.
     """
     check_top_k(k)
-    typed = concern_query(checklist_rules(concerns, facts=facts).withColumn("query_id", F.col("case_id")))
-    found = keyword_search(typed.select("query_id", "query_text"), chunks, 3 * k, source_type)
-    types = typed.select("query_id", "concern_type")
-    best = rerank(found.join(types, "query_id"), k)
-    cited = typed.join(evidence_citation(best), "query_id", "left").withColumn(
+    status = F.when(strip(F.coalesce("concern_text", F.lit(""))) == "", "blank").otherwise("ok")
+    ruled = checklist_rules(concerns.withColumn("concern_status", status), facts=facts)
+    typed = stored(concern_query(ruled.withColumn("query_id", F.col("case_id"))), "typed-concerns")
+    if strict and typed.filter("concern_status = 'blank'").limit(1).count():
+        raise ValueError("concern text must not be blank")
+    asked = typed.filter("concern_status = 'ok'")
+    found = stored(keyword_winners(asked.select("query_id", "query_text"), chunks, 3 * k, source_type, index), "found")
+    held = chunks.select("chunk_id", phrase_marks().alias("marks"))
+    marked = held.join(broadcast_if_bounded(found), "chunk_id").join(typed.select("query_id", "concern_type"), "query_id")
+    best = stored(rerank(marked, k).drop("concern_type"), "reranked")
+    cited = typed.join(evidence_citation(attach_chunks(best, chunks)), "query_id", "left").withColumn(
         "evidence", F.coalesce("evidence", F.array())
     )
     checks = F.transform(

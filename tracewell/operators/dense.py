@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from math import ceil
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.operators.ranking import check_top_k, top_k
-from tracewell.session import BROADCAST_BYTES, ship_package
+from tracewell.operators.search import best_rows, vector_width
 
 
 def embed_with(model: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
@@ -30,85 +25,15 @@ def embed_with(model: Callable[[list[str]], list[list[float]]]) -> Callable[[Col
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """Top-k vectors per query by cosine: (query_id, chunk_id, score, rank).
 
-    ``queries``: query_id, vector.  ``vectors``: chunk_id, vector.  Every task multiplies its
-    batches of vectors with the query matrix and keeps k rows per query and batch, so the
-    query-vector pairs never become rows.  Queries are shipped to the tasks in blocks of a size
-    known beforehand; each block is a complete search.
+    ``queries``: query_id, vector.  ``vectors``: chunk_id, vector.  The plan is that of the other
+    searches (``search.best_rows``): query blocks of a measured size, one after the other; every task multiplies
+    slices of its batches with the query matrix and returns k rows per query once.  Scores are cosines
+    rounded to 9 digits, by which the ranks go; vectors of other lengths are refused, a null vector
+    matches nothing.
     """
     check_top_k(k)
-    ship_package(queries.sparkSession)
-    shape = queries.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
-    count, narrow, wide = int(shape[0]), shape[1], shape[2]
-    if not count:
-        return _empty(queries, vectors)
-    other = vectors.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
-    if len({narrow, wide, *[w for w in other if w is not None]}) > 1:
-        raise ValueError("vectors must have the same dimensions")
-    blocks = max(1, ceil(count * (wide * 8 + 64) / BROADCAST_BYTES))
-    block = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
-    found = [
-        _search_block(queries.filter(block == F.lit(b)) if blocks > 1 else queries, vectors, k)
-        for b in range(blocks)
-    ]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _schema(queries: DataFrame, vectors: DataFrame) -> str:
-    q = queries.schema["query_id"].dataType.simpleString()
-    c = vectors.schema["chunk_id"].dataType.simpleString()
-    return f"query_id {q}, chunk_id {c}, score double"
-
-
-def _empty(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    none = queries.sparkSession.createDataFrame([], _schema(queries, vectors))
-    return none.withColumn("rank", F.lit(0))
-
-
-def _search_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    table = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow()
-    ids = table.column("query_id").to_pylist()
-    if not ids:
-        return _empty(queries, vectors)
-    shipped = queries.sparkSession.sparkContext.broadcast(
-        (ids, np.array(table.column("vector").to_pylist(), dtype=np.float64))
-    )
-    names = pa.schema([table.schema.field("query_id")])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shipped.value
-        qnorm = np.sqrt((matrix * matrix).sum(axis=1))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.array(batch.column("vector").to_pylist(), dtype=np.float64)
-            norms = np.sqrt((rows * rows).sum(axis=1))
-            scale = np.outer(norms, qnorm)
-            cosine = np.divide(rows @ matrix.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            where, which = _best(cosine, batch.column("chunk_id"), k)
-            yield pa.record_batch(
-                [
-                    pa.array([query_ids[j] for j in which], type=names.field("query_id").type),
-                    batch.column("chunk_id").take(pa.array(where, type=pa.int64())),
-                    pa.array(cosine[where, which], type=pa.float64()),
-                ],
-                names=["query_id", "chunk_id", "score"],
-            )
-
-    candidates = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
-        score, _schema(queries, vectors)
-    )
-    return top_k(candidates, k)
-
-
-def _best(cosine: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and query positions of the k best positive scores per query, ties by chunk id."""
-    order = np.empty(len(ids), dtype=np.int64)
-    order[np.asarray(pa.compute.sort_indices(ids))] = np.arange(len(ids))
-    where, which = [], []
-    for j in range(cosine.shape[1]):
-        column = cosine[:, j]
-        best = np.lexsort((order, -column))[:k]
-        best = best[column[best] > 0]
-        where.extend(best.tolist())
-        which.extend([j] * len(best))
-    return np.array(where, dtype=np.int64), np.array(which, dtype=np.int64)
+    dims = vector_width(queries, vectors)
+    wide = F.col("vector").cast("array<double>").alias("vector")
+    asked, pool = queries.select("query_id", wide), vectors.select("chunk_id", wide)
+    best = best_rows(asked.filter("vector is not null"), pool.filter("vector is not null"), "vector", k, dims)
+    return top_k(best, k).drop("matched_terms")

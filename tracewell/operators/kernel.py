@@ -1,8 +1,8 @@
 """Score Arrow batches of chunks against a shipped block of queries.
 
 Spark counts terms and buckets inside each chunk row and partitions the work; a task turns its
-batches into score matrices and returns only the best k chunks per query and slice.  Neither chunk
-rows nor query-chunk pairs are ever shuffled.
+batches into score matrices, keeps the best k chunks per query over all of them and returns those
+once at its end.  Neither chunk rows nor query-chunk pairs are ever shuffled.
 """
 
 from __future__ import annotations
@@ -51,11 +51,35 @@ def collect_block(queries: DataFrame, dims: int = 0) -> QueryBlock:
         np.argsort(pc.sort_indices(coded.dictionary).to_numpy()),
     )
     if dims:
-        block.vectors = _dense(_column(table, "buckets"), dims)
-        block.norms = _column(table, "norm").to_numpy()
+        block.vectors = _matrix(table, dims)
+        block.norms = _norms(block.vectors)
     return block
 
 
+def collect_vectors(queries: DataFrame, dims: int) -> QueryBlock:
+    """The same for queries that have a vector and no terms."""
+    table = queries.toArrow().combine_chunks()
+    none = np.zeros(0, np.int64)
+    vectors = _matrix(table, dims)
+    ids = _column(table, "query_id")
+    return QueryBlock(ids, pa.array([], pa.string()), np.zeros(1, np.int64), none, none, none, vectors, _norms(vectors))
+
+
+def _norms(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(axis=1))
+
+
+def _matrix(table: pa.Table | pa.RecordBatch, dims: int) -> np.ndarray:
+    """Rows of the column vector (null: zeros), or of the sparse column buckets."""
+    if "vector" not in table.schema.names:
+        return _dense(_column(table, "buckets"), dims)
+    column = _column(table, "vector")
+    out = np.zeros((len(column), dims))
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    out[pc.is_valid(column).to_numpy(zero_copy_only=False)] = values.reshape(-1, dims)
+    return out
+
+
 def _column(table: pa.Table, name: str) -> pa.Array:
     column = table.column(name)
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -70,6 +94,9 @@ def _dense(buckets: pa.ListArray, dims: int) -> np.ndarray:
 
 def _codes(batch: pa.RecordBatch, block: QueryBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which term entries the queries know: mask, vocabulary code and chunk row of each."""
+    if "terms" not in batch.schema.names:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, bool), none, none
     terms = batch.column("terms")
     codes = pc.index_in(terms.flatten().field("term"), value_set=block.vocabulary)
     found = pc.is_valid(codes).to_numpy(zero_copy_only=False)
@@ -96,6 +123,8 @@ def _slices(batch: pa.RecordBatch, block: QueryBlock):
 def term_matches(batch: pa.RecordBatch, block: QueryBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One entry per shared term of a query and a chunk: matrix cell, score part, term code."""
     found, code, row = _codes(batch, block)
+    if not len(code):
+        return code, np.zeros(0), code
     items = batch.column("terms").flatten()
     weight = items.field("weight").to_numpy()[found]
     bonus = items.field("bonus").to_numpy()[found]
@@ -112,7 +141,8 @@ def term_matches(batch: pa.RecordBatch, block: QueryBlock) -> tuple[np.ndarray,
 
 def keyword_scores(cell: np.ndarray, part: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """(queries, chunks) matrix of keyword scores."""
-    return np.bincount(cell, weights=part, minlength=shape[0] * shape[1]).reshape(shape)
+    sums = np.bincount(cell, weights=part, minlength=shape[0] * shape[1])
+    return sums.astype(np.float64, copy=False).reshape(shape)
 
 
 def shared_terms(q: np.ndarray, c: np.ndarray, n: int, cell: np.ndarray, code: np.ndarray, block: QueryBlock) -> pa.ListArray:
@@ -127,18 +157,24 @@ def shared_terms(q: np.ndarray, c: np.ndarray, n: int, cell: np.ndarray, code: n
 
 
 def vector_scores(batch: pa.RecordBatch, block: QueryBlock) -> np.ndarray:
-    """(queries, chunks) matrix of cosines; integer counts keep the dot products exact."""
-    chunk = _dense(batch.column("buckets"), block.vectors.shape[1])
-    scale = np.outer(block.norms, batch.column("norm").to_numpy())
+    """(queries, chunks) matrix of cosines.
+
+    Integer counts keep the dot products of buckets exact; cosines of supplied vectors are rounded
+    to 9 digits, so that equal vectors tie whatever batch they are in.
+    """
+    chunk = _matrix(batch, block.vectors.shape[1])
+    scale = np.outer(block.norms, _norms(chunk))
     dot = block.vectors @ chunk.T
-    return np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+    out = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+    return np.round(out, 9) if "vector" in batch.schema.names else out
 
 
-def best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the k best positive scores per query, ties to the earlier chunk."""
+def best_cells(scores: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the k best positive scores per query that reach ``floor``, ties to the earlier chunk."""
     n = scores.shape[1]
-    floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(scores))
-    q, c = np.nonzero((scores >= floor[:, None]) & (scores > 0))
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(scores))
+    least = least if floor is None else np.maximum(least, floor)
+    q, c = np.nonzero((scores >= least[:, None]) & (scores > 0))
     order = np.lexsort((c, -scores[q, c], q))
     q, c = q[order], c[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -146,12 +182,41 @@ def best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return q[keep], c[keep]
 
 
+class RunningBest:
+    """The k best rows per query of everything a task has seen so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor, self.held, self.rows = k, np.zeros(queries), [], 0
+        self.limit = max(10_000, 2 * queries * k)
+
+    def add(self, rows: pa.Table) -> None:
+        self.held.append(rows)
+        self.rows += rows.num_rows
+        if self.rows > self.limit:
+            self.prune()
+
+    def prune(self) -> pa.Table | None:
+        if not self.held:
+            return None
+        rows = pa.concat_tables(self.held)
+        keys = [("query", "ascending"), ("score", "descending"), ("chunk_id", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys))
+        q = rows.column("query").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        full = place == self.k - 1
+        self.floor[q[full]] = rows.column("score").to_numpy()[full]
+        rows = rows.filter(pa.array(place < self.k))
+        self.held, self.rows = [rows], rows.num_rows
+        return rows
+
+
 def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)):
     """Function for ``mapInArrow``; ``mode`` is keyword, vector, hybrid or tops."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: QueryBlock = shipped.value
         tops = np.zeros((len(block.ids), 2))
+        best = RunningBest(len(block.ids), k)
         for whole in batches:
             for part in _slices(whole, block):
                 part = part.take(pc.sort_indices(part.column("chunk_id")))
@@ -171,23 +236,25 @@ def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)
                     )
                 else:
                     scores = vector if keyword is None else keyword
-                q, c = best_cells(scores, k)
-                columns = [
-                    block.ids.take(pa.array(q)),
-                    part.column("chunk_id").take(pa.array(c)),
-                    pa.array(scores[q, c]),
-                    shared_terms(q, c, n, cell, code, block),
-                ]
-                names = ["query_id", "chunk_id", "score", "matched_terms"]
+                q, c = best_cells(scores, k, best.floor)
+                columns = {
+                    "query": pa.array(q, pa.int64()),
+                    "chunk_id": part.column("chunk_id").take(pa.array(c, pa.int64())),
+                    "score": pa.array(scores[q, c], pa.float64()),
+                    "matched_terms": shared_terms(q, c, n, cell, code, block),
+                }
                 if mode == "hybrid":
-                    columns += [pa.array(keyword[q, c]), pa.array(vector[q, c])]
-                    names += ["keyword_score", "vector_score"]
-                yield pa.record_batch(columns, names=names)
+                    columns |= {"keyword_score": pa.array(keyword[q, c]), "vector_score": pa.array(vector[q, c])}
+                best.add(pa.table(columns))
         if mode == "tops":
             yield pa.record_batch(
                 [block.ids, pa.array(tops[:, 0]), pa.array(tops[:, 1])],
                 names=["query_id", "best_keyword", "best_vector"],
             )
+        elif (rows := best.prune()) is not None and rows.num_rows:
+            ids = block.ids.take(rows.column("query").combine_chunks())
+            named = rows.drop_columns(["query"]).add_column(0, "query_id", ids)
+            yield from named.combine_chunks().to_batches()
 
     return score
 

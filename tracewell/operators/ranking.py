@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def check_top_k(k: int, most: int | None = None) -> int:
+    """``k``, which must be at least 1 and at most ``most``."""
     if k < 1:
         raise ValueError("top_k must be at least 1")
-    return k if most is None else min(k, most)
+    if most is not None and k > most:
+        raise ValueError(f"top_k must be at most {most}")
+    return k
 
 
 def top_k(df: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:

@@ -1,154 +1,92 @@
-"""Keyword, hashed-vector and hybrid search of many queries over many chunks in one job.
+"""Keyword, vector and hybrid search of many queries over many chunks.
 
-Plan shape, the same for all three scorers:
+Plan shape, the same for all scorers and sizes:
 
-1. chunk side: distinct terms and buckets are counted inside each chunk row, without a shuffle;
-2. the queries, measured to be small, are shipped to the tasks as arrays;
-3. each task scores its batches of chunks against all of them and keeps k rows per query and
-   slice (``kernel``), so query-chunk pairs never become rows;
+1. chunk side: distinct terms and buckets are counted inside each chunk row, without a shuffle
+   (``terms.chunk_features``; a stored feature table skips this step);
+2. the query features are written once and cut into blocks whose measured size fits a broadcast and
+   whose k results per query fit a task;
+3. blocks run one after the other: a block is shipped as arrays, every task scores its batches of chunks
+   against it and returns k rows per query once, the rows are written, the broadcast is released;
 4. only those rows are shuffled for the final rank, and the winners are joined back to the chunks.
 
 No step groups by a term or any other value of the data, so a term held by a third of all chunks
-is spread over all tasks.  Query sets too large to ship are processed in blocks whose size is known
-to fit; every block is a complete search for its queries.
-
-``keyword_pairs`` and friends give the same scores as tables of all pairs.
+is spread over all tasks, and query-chunk pairs never become rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
 from math import ceil
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tracewell.functions.text import tokens
-from tracewell.operators.kernel import collect_block, scorer
+from tracewell.operators.kernel import collect_block, collect_vectors, scorer
 from tracewell.operators.ranking import check_top_k, hybrid_weights, top_k
-from tracewell.operators.terms import (
-    count_terms,
-    invalid_queries,
-    query_terms,
-    query_vectors,
-    rows_of,
-    scoring_text,
-    with_buckets,
-)
-from tracewell.session import BROADCAST_BYTES, is_small, measured, ship_package, spread
+from tracewell.operators.terms import chunk_features, invalid_queries, query_features
+from tracewell.session import BROADCAST_BYTES, broadcast_if_bounded, measured, ship_package, stored, work_folder
 
 CHUNK_KEYS = ["chunk_id", "source_id", "source_type"]
-RESULT_ROW_BYTES = 512
-
-
-def in_blocks(queries: DataFrame, features: DataFrame, k: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a broadcast search over as many query blocks as the measured size asks for.
-
-    ``features`` is the table that ``run`` broadcasts for a set of queries.  Its size and the size
-    of k results per query bound each block; every block is a full search for its queries.
-    """
-    rows, text = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("query_text")), F.lit(0))).first()
-    results = rows * k * RESULT_ROW_BYTES
-    # A term and its separator take three bytes of text at least, and a feature row at most 96.
-    size = text * 32 + rows * 96
-    if size > BROADCAST_BYTES:
-        _, size = measured(features)
-    blocks = max(1, ceil(size / BROADCAST_BYTES), ceil(results / BROADCAST_BYTES))
-    if blocks == 1:
-        return run(queries)
-    block = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
-    return reduce(
-        DataFrame.unionByName, [run(queries.filter(block == F.lit(b))) for b in range(blocks)]
-    )
+# What the best rows of one block may take in a task: k rows per query, none larger than its query.
+STATE_BYTES = 256 << 20
 
 
 def _by_source(chunks: DataFrame, source_type: str | None) -> DataFrame:
     return chunks if source_type is None else chunks.filter(F.col("source_type") == source_type)
 
 
-def _by_chunk(chunks: DataFrame) -> tuple[DataFrame, bool]:
-    """Partition by chunk id up front where the table is small enough to leave cores idle."""
-    if not is_small(chunks):
-        return chunks, False
-    cores = chunks.sparkSession.sparkContext.defaultParallelism
-    return chunks.repartition(cores, "chunk_id"), True
-
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
 
-def _weighted_terms() -> Column:
-    """Terms of a chunk row with their capped count and their title and heading bonus."""
-    return F.transform(
-        "terms",
-        lambda t: F.struct(
-            t["term"].alias("term"),
-            F.least(t["cnt"], F.lit(3)).cast("double").alias("weight"),
-            (
-                F.when(F.array_contains("_title", t["term"]), 2.0).otherwise(0.0)
-                + F.when(F.array_contains("_heading", t["term"]), 1.0).otherwise(0.0)
-            ).alias("bonus"),
-        ),
-    )
 
-
-def _score(
-    queries: DataFrame,
-    chunks: DataFrame,
-    mode: str,
-    k: int,
-    dims: int = 0,
-    weights: tuple[float, float] = (1.0, 0.0),
+def best_rows(
+    asked: DataFrame, features: DataFrame, mode: str, k: int, dims: int = 0, weights: tuple[float, float] = (1.0, 0.0)
 ) -> DataFrame:
-    """Best rows per query, task and slice: (query_id, chunk_id, score, ...)."""
-    asked = count_terms(queries, F.col("query_text"), ["query_id"])
-    base = spread(chunks.select("chunk_id", "source_title", "section_heading", "text")).withColumns(
-        {"_title": tokens(F.col("source_title")), "_heading": tokens(F.col("section_heading"))}
-    )
-    counted = count_terms(base, scoring_text(), ["chunk_id", "_title", "_heading"])
-    if mode == "keyword":
-        rows = counted.select("chunk_id", _weighted_terms().alias("terms"))
-    else:
-        asked = with_buckets(asked.withColumn("_kept", F.col("terms")), dims).withColumnRenamed("_kept", "terms")
-        counted = counted.withColumn("_kept", _weighted_terms())
-        rows = with_buckets(counted, dims).drop("_title", "_heading").withColumnRenamed("_kept", "terms")
-    block = collect_block(asked, dims)
-    context = queries.sparkSession.sparkContext
-    ship_package(queries.sparkSession)
-    q, c = (df.schema[f].dataType.simpleString() for df, f in ((queries, "query_id"), (chunks, "chunk_id")))
+    """The k best rows per query and task over all blocks of ``asked``, written to the work folder.
+
+    ``asked`` and ``features`` come from ``query_features`` and ``chunk_features``.
+    """
+    spark = asked.sparkSession
+    ship_package(spark)
+    q, c = _type(asked, "query_id"), _type(features, "chunk_id")
     schema = f"query_id {q}, chunk_id {c}, score double, matched_terms array<string>"
-    if not len(block.ids):
-        return queries.sparkSession.createDataFrame([], schema)
     if mode == "hybrid":
-        # The best scores of each query are needed before any combined score is known; this first
-        # pass returns two numbers per query and task.
-        tops = rows.mapInArrow(
-            scorer(context.broadcast(block), "tops", k), f"query_id {q}, best_keyword double, best_vector double"
-        )
-        best = tops.groupBy("query_id").agg(F.max("best_keyword").alias("kw"), F.max("best_vector").alias("vec"))
-        known = {r[0]: (r[1], r[2]) for r in best.collect()}
-        block.tops = np.array([known.get(i, (0.0, 0.0)) for i in block.ids.to_pylist()])
         schema += ", keyword_score double, vector_score double"
-    return rows.mapInArrow(scorer(context.broadcast(block), mode, k, weights), schema)
-
-
-def keyword_pairs(queries: DataFrame, terms: DataFrame, placed: bool = False) -> DataFrame:
-    """Keyword score of every (query, chunk) that shares a term.
-
-    ``terms`` is a chunk-term table; ``placed`` tells that it is already partitioned by chunk id.
-    """
-    qt = query_terms(queries)
-    hits = terms.join(F.broadcast(qt.select("term").distinct()), "term", "left_semi")
-    if not placed:
-        hits = hits.repartition("chunk_id")
-    part = (
-        F.col("qcount") * F.least(F.col("dcount"), F.lit(3))
-        + F.when(F.col("in_title"), 2).otherwise(0)
-        + F.when(F.col("in_heading"), 1).otherwise(0)
-    )
-    return (
-        hits.join(F.broadcast(qt), "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(part).cast("double").alias("score"))
-    )
+    asked = stored(asked, "asked")
+    _, size = measured(asked)
+    blocks = max(1, ceil(size / BROADCAST_BYTES), ceil(size * k / STATE_BYTES))
+    if blocks > 1 or mode == "hybrid":
+        features = stored(features, "features")
+    number = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
+    collect = collect_block if "terms" in asked.columns else collect_vectors
+    path = work_folder(spark, "best")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for b in range(blocks):
+        block = collect(asked.filter(number == b), dims)
+        if not len(block.ids):
+            continue
+        if mode == "hybrid":
+            # The best scores of each query are needed before any combined score is known; this first
+            # pass returns two numbers per query and task.
+            shipped = spark.sparkContext.broadcast(block)
+            tops = features.mapInArrow(scorer(shipped, "tops", k), f"query_id {q}, best_keyword double, best_vector double")
+            best = tops.groupBy("query_id").agg(F.max("best_keyword"), F.max("best_vector"))
+            known = {r[0]: (r[1], r[2]) for r in best.collect()}
+            block.tops = np.array([known.get(i, (0.0, 0.0)) for i in block.ids.to_pylist()])
+            shipped.destroy()
+        shipped = spark.sparkContext.broadcast(block)
+        features.mapInArrow(scorer(shipped, mode, k, weights), schema).write.mode("append").parquet(path)
+        shipped.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
+def keyword_winners(
+    queries: DataFrame, chunks: DataFrame, k: int = 5, source_type: str | None = None, index: DataFrame | None = None
+) -> DataFrame:
+    """query_id, rank, chunk_id, score, matched_terms of ``keyword_search``, without the chunk columns."""
+    check_top_k(k)
+    features = _by_source(chunk_features(chunks) if index is None else index, source_type)
+    return top_k(best_rows(query_features(queries), features.select("chunk_id", "terms"), "keyword", k), k)
 
 
 def keyword_search(
@@ -161,46 +99,37 @@ def keyword_search(
 ) -> DataFrame:
     """Top-k chunks per query by keyword score.
 
-    ``queries``: query_id, query_text.  ``chunks``: the chunk columns.  ``index``: a stored
-    chunk-term table (see ``sources.chunks.write_term_index``) that replaces tokenizing.
+    ``queries``: query_id, query_text.  ``chunks``: the chunk columns.  ``index``: stored chunk features
+    (see ``sources.chunks.write_term_index``) that replace tokenizing.
     """
-    check_top_k(k)
     _require_valid(queries, strict)
-    wanted = _by_source(chunks, source_type)
-
-    def run(block: DataFrame) -> DataFrame:
-        if index is None:
-            best = top_k(_score(block, wanted, "keyword", k), k)
-        else:
-            terms = index
-            if source_type is not None:
-                terms = terms.join(wanted.select("chunk_id"), "chunk_id", "left_semi")
-            best = with_matched_terms(top_k(keyword_pairs(block, terms), k), block, terms)
-        return _attach_chunks(best, wanted)
-
-    return in_blocks(queries, query_terms(queries), k, run)
-
-
-def vector_pairs(queries: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
-    """Cosine of every (query, chunk) that shares a bucket."""
-    qv = rows_of(
-        query_vectors(queries, dims).withColumnRenamed("norm", "qnorm"),
-        "buckets", ["query_id", "qnorm"], ["bucket", "qweight"],
-    )
-    cv = rows_of(
-        vectors.withColumnRenamed("norm", "cnorm"),
-        "buckets", ["chunk_id", "cnorm"], ["bucket", "cweight"],
-    )
-    return (
-        cv.join(F.broadcast(qv), "bucket")
-        .groupBy("query_id", "chunk_id")
-        .agg(
-            F.sum(F.col("qweight") * F.col("cweight")).alias("_dot"),
-            F.first("qnorm").alias("_qnorm"),
-            F.first("cnorm").alias("_cnorm"),
-        )
-        .select("query_id", "chunk_id", (F.col("_dot") / (F.col("_qnorm") * F.col("_cnorm"))).alias("score"))
-    )
+    return attach_chunks(keyword_winners(queries, chunks, k, source_type, index), _by_source(chunks, source_type))
+
+
+def _features(
+    queries: DataFrame, chunks: DataFrame, dims: int, index: DataFrame | None, buckets: DataFrame | None,
+    vectors: DataFrame | None, query_vectors: DataFrame | None,
+) -> tuple[DataFrame, DataFrame, int]:
+    """(asked, features, dims) for a scorer that uses vectors."""
+    if (vectors is None) != (query_vectors is None):
+        raise ValueError("supplied vectors are needed for chunks and queries")
+    if vectors is not None:
+        dims = vector_width(query_vectors, vectors)
+    elif dims < 1:
+        raise ValueError("dimensions must be at least 1")
+    features = chunk_features(chunks, dims, buckets, vectors) if index is None else index
+    return query_features(queries, dims, buckets, query_vectors), features, dims
+
+
+def vector_width(*tables: DataFrame) -> int:
+    """The common length of all vectors; 1 where there are none."""
+    widths: set[int] = set()
+    for table in tables:
+        low, high = table.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        widths |= {w for w in (low, high) if w is not None and w >= 0}
+    if len(widths) > 1:
+        raise ValueError("vectors must have the same dimensions")
+    return max(1, *widths, 1)
 
 
 def vector_search(
@@ -210,104 +139,22 @@ def vector_search(
     source_type: str | None = None,
     dims: int = 128,
     strict: bool = False,
+    index: DataFrame | None = None,
+    buckets: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Top-k chunks per query by cosine of hashed token counts."""
-    check_top_k(k)
-    if dims < 1:
-        raise ValueError("dimensions must be at least 1")
-    _require_valid(queries, strict)
-    wanted = _by_source(chunks, source_type)
-
-    def run(block: DataFrame) -> DataFrame:
-        return _attach_chunks(top_k(_score(block, wanted, "vector", k, dims), k), wanted)
-
-    return in_blocks(queries, query_terms(queries), k, run)
-
-
-def hybrid_candidates(
-    queries: DataFrame,
-    chunks: DataFrame,
-    dims: int = 128,
-) -> DataFrame:
-    """All (query, chunk) candidates with both raw scores.
+    """Top-k chunks per query by cosine of hashed token counts.
 
-    One pass: terms and buckets of a chunk travel as rows of the same feature table, so both
-    scores come out of one join and one aggregate.  A shared term always shares a bucket, hence
-    no candidate is lost.
+    ``buckets`` (term, bucket) replaces the default hash, ``vectors`` (chunk_id, vector) with
+    ``query_vectors`` (query_id, vector) replaces the counts by the vectors of a model.  ``index``: stored chunk
+    features made with the same choices.
     """
-    base, placed = _by_chunk(chunks)
-    base = base.withColumns(
-        {
-            "_title": tokens(F.col("source_title")),
-            "_heading": tokens(F.col("section_heading")),
-        }
-    )
-    counted = count_terms(base, scoring_text(), ["chunk_id", "_title", "_heading"])
-    both = with_buckets(counted.withColumn("_terms", F.col("terms")), dims)
-    # One feature per distinct term (key = the term) and one per bucket (key = "#" + number);
-    # tokens never contain "#", so the two kinds cannot meet.
-    term_rows = F.transform(
-        "_terms",
-        lambda t: F.struct(
-            t["term"].alias("key"),
-            F.least(t["cnt"].cast("long"), F.lit(3).cast("long")).alias("weight"),
-            (
-                F.when(F.array_contains("_title", t["term"]), 2).otherwise(0)
-                + F.when(F.array_contains("_heading", t["term"]), 1).otherwise(0)
-            ).alias("bonus"),
-        ),
-    )
-    bucket_rows = F.transform(
-        "buckets",
-        lambda b: F.struct(
-            F.concat(F.lit("#"), b["bucket"].cast("string")).alias("key"),
-            b["weight"].alias("weight"),
-            F.lit(0).alias("bonus"),
-        ),
-    )
-    features = rows_of(
-        both.withColumnRenamed("norm", "cnorm"),
-        F.concat(term_rows, bucket_rows), ["chunk_id", "cnorm"], ["key", "weight", "bonus"],
-    )
-    qt = count_terms(queries, F.col("query_text"), ["query_id"])
-    qv = with_buckets(qt.withColumn("_terms", F.col("terms")), dims)
-    query_rows = F.concat(
-        F.transform(
-            "_terms",
-            lambda t: F.struct(t["term"].alias("key"), t["cnt"].cast("long").alias("qweight")),
-        ),
-        F.transform(
-            "buckets",
-            lambda b: F.struct(
-                F.concat(F.lit("#"), b["bucket"].cast("string")).alias("key"),
-                b["weight"].alias("qweight"),
-            ),
-        ),
-    )
-    query_features = rows_of(
-        qv.withColumnRenamed("norm", "qnorm"), query_rows, ["query_id", "qnorm"], ["key", "qweight"]
-    )
-    if not placed:
-        vocabulary = query_features.select("key").distinct()
-        features = features.join(F.broadcast(vocabulary), "key", "left_semi").repartition("chunk_id")
-    is_bucket = F.col("key").startswith("#")
-    product = F.col("qweight") * F.col("weight")
-    return (
-        features.join(F.broadcast(query_features), "key")
-        .groupBy("query_id", "chunk_id")
-        .agg(
-            F.sum(F.when(is_bucket, 0).otherwise(product + F.col("bonus"))).cast("double").alias("keyword_score"),
-            F.sum(F.when(is_bucket, product).otherwise(0)).alias("_dot"),
-            F.first("qnorm").alias("_qnorm"),
-            F.first("cnorm").alias("_cnorm"),
-        )
-        .select(
-            "query_id",
-            "chunk_id",
-            "keyword_score",
-            (F.col("_dot") / (F.col("_qnorm") * F.col("_cnorm"))).alias("vector_score"),
-        )
-    )
+    check_top_k(k)
+    asked, features, dims = _features(queries, chunks, dims, index, buckets, vectors, query_vectors)
+    _require_valid(queries, strict)
+    best = best_rows(asked, _by_source(features, source_type), "vector", k, dims)
+    return attach_chunks(top_k(best, k), _by_source(chunks, source_type))
 
 
 def hybrid_search(
@@ -319,18 +166,21 @@ def hybrid_search(
     keyword_weight: float = 0.65,
     vector_weight: float = 0.35,
     strict: bool = False,
+    index: DataFrame | None = None,
+    buckets: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Top-k chunks per query by the weighted sum of normalised keyword and vector scores."""
+    """Top-k chunks per query by the weighted sum of normalised keyword and vector scores.
+
+    A chunk with either score is a candidate.  The other arguments are those of ``vector_search``.
+    """
     check_top_k(k)
-    hybrid_weights(keyword_weight, vector_weight)
+    weights = hybrid_weights(keyword_weight, vector_weight)
+    asked, features, dims = _features(queries, chunks, dims, index, buckets, vectors, query_vectors)
     _require_valid(queries, strict)
-    wanted = _by_source(chunks, source_type)
-
-    def run(block: DataFrame) -> DataFrame:
-        best = _score(block, wanted, "hybrid", k, dims, hybrid_weights(keyword_weight, vector_weight))
-        return _attach_chunks(top_k(best, k), wanted)
-
-    return in_blocks(queries, query_terms(queries), k, run)
+    best = best_rows(asked, _by_source(features, source_type), "hybrid", k, dims, weights)
+    return attach_chunks(top_k(best, k), _by_source(chunks, source_type))
 
 
 def _require_valid(queries: DataFrame, strict: bool) -> None:
@@ -338,28 +188,12 @@ def _require_valid(queries: DataFrame, strict: bool) -> None:
         raise ValueError("query must contain at least one searchable term")
 
 
-def with_matched_terms(best: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """Add the sorted shared terms of winning rows from a chunk-term table.
-
-    The winners, k per query at most, are broadcast; a collected group holds the terms of one query.
-    """
-    shared = (
-        terms.select("chunk_id", "term")
-        .join(F.broadcast(best.select("query_id", "chunk_id")), "chunk_id")
-        .join(F.broadcast(query_terms(queries).select("query_id", "term")), ["query_id", "term"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.array_sort(F.collect_list("term")).alias("matched_terms"))
-    )
-    return best.join(shared, ["query_id", "chunk_id"])
-
-
-def _attach_chunks(best: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add the chunk columns to the winning rows.
+def attach_chunks(best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add the chunk columns to the winning rows; only the columns that are used later are read.
 
-    At most k rows per query are broadcast against the chunk table; only the columns that are used
-    later are read.
+    The winners are broadcast where they were measured to fit, otherwise both sides are shuffled.
     """
     first = ["query_id", "rank", "chunk_id", "score", "matched_terms"]
     extra = [c for c in best.columns if c not in first]
-    carried = [c for c in chunks.columns if c != "chunk_id"]
-    return chunks.join(F.broadcast(best), "chunk_id").select(*first, *extra, *carried)
+    carried = [c for c in chunks.columns if c not in ("chunk_id", *first, *extra)]
+    return chunks.select("chunk_id", *carried).join(broadcast_if_bounded(best), "chunk_id").select(*first, *extra, *carried)

@@ -112,9 +112,72 @@ def with_buckets(counted: DataFrame, dims: int) -> DataFrame:
     )
 
 
-def query_vectors(queries: DataFrame, dims: int) -> DataFrame:
-    """(query_id, norm, buckets) of every query."""
-    return with_buckets(count_terms(queries, F.col("query_text"), ["query_id"]), dims)
+def weighted_terms() -> Column:
+    """Terms of a chunk row with their capped count and their title and heading bonus."""
+    return F.transform(
+        "terms",
+        lambda t: F.struct(
+            t["term"].alias("term"),
+            F.least(t["cnt"], F.lit(3)).cast("double").alias("weight"),
+            (
+                F.when(F.array_contains("_title", t["term"]), 2.0).otherwise(0.0)
+                + F.when(F.array_contains("_heading", t["term"]), 1.0).otherwise(0.0)
+            ).alias("bonus"),
+        ),
+    )
+
+
+def _bucketed(counted: DataFrame, keep: list[str], dims: int, buckets: DataFrame | None) -> DataFrame:
+    """``keep`` columns plus buckets and norm of ``terms``: hashed in the row, or by a (term, bucket) table.
+
+    A term without a row in the table has no bucket.
+    """
+    if buckets is None:
+        return with_buckets(counted.select(*keep, "terms"), dims)
+    rows = rows_of(counted, "terms", [keep[0]], ["term", "cnt"]).join(buckets.select("term", "bucket"), "term")
+    sums = rows.groupBy(keep[0], "bucket").agg(F.sum(F.col("cnt").cast("long")).alias("weight"))
+    lists = sums.groupBy(keep[0]).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("buckets"))
+    none = F.array().cast("array<struct<bucket:int,weight:bigint>>")
+    return (
+        counted.select(*keep)
+        .join(lists, keep[0], "left")
+        .withColumn("buckets", F.coalesce("buckets", none))
+        .withColumn("norm", F.sqrt(F.aggregate("buckets", F.lit(0.0), lambda s, b: s + b["weight"] * b["weight"])))
+    )
+
+
+def chunk_features(
+    chunks: DataFrame, dims: int = 0, buckets: DataFrame | None = None, vectors: DataFrame | None = None
+) -> DataFrame:
+    """What the scorers read of each chunk: chunk_id, source_type, terms (term, weight, bonus).
+
+    With ``dims`` also buckets and norm; with ``vectors`` (chunk_id, vector) that vector instead, null
+    for chunks without one.  Stored once, it serves every later search without tokenizing.
+    """
+    keep = ["chunk_id", *(c for c in ("source_type",) if c in chunks.columns)]
+    base = chunks.withColumns({"_title": tokens(F.col("source_title")), "_heading": tokens(F.col("section_heading"))})
+    counted = count_terms(base, scoring_text(), [*keep, "_title", "_heading"])
+    if vectors is not None:
+        wide = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
+        return counted.select(*keep, weighted_terms().alias("terms")).join(wide, "chunk_id", "left")
+    if not dims:
+        return counted.select(*keep, weighted_terms().alias("terms"))
+    kept = counted.withColumn("_kept", weighted_terms())
+    return _bucketed(kept, [*keep, "_kept"], dims, buckets).withColumnRenamed("_kept", "terms")
+
+
+def query_features(
+    queries: DataFrame, dims: int = 0, buckets: DataFrame | None = None, vectors: DataFrame | None = None
+) -> DataFrame:
+    """The same of each query: query_id, terms (term, cnt) and buckets or vector."""
+    counted = count_terms(queries, F.col("query_text"), ["query_id"])
+    if vectors is not None:
+        wide = vectors.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+        return counted.join(wide, "query_id", "left")
+    if not dims:
+        return counted
+    kept = counted.withColumn("_kept", F.col("terms"))
+    return _bucketed(kept, ["query_id", "_kept"], dims, buckets).withColumnRenamed("_kept", "terms")
 
 
 def chunk_vectors(chunks: DataFrame, dims: int) -> DataFrame:

@@ -71,14 +71,18 @@ def compare(
         evaluate(questions, chunks, k, run, source_type).withColumn("retriever", F.lit(name))
         for name, run in retrievers.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return stored(reduce(DataFrame.unionByName, parts), "compared")
 
 
-def comparison(results: DataFrame) -> dict[str, DataFrame]:
-    """Summary, best names per metric and pairwise failure differences of compared retrievers."""
-    summary = summarize(results, ["retriever"])
+def comparison(
+    results: DataFrame, pairs: list[tuple[str, str]] = (("keyword", "embedding"), ("hybrid", "keyword"))
+) -> dict[str, DataFrame]:
+    """Summary, best names per metric and failure differences of the named pairs of compared retrievers."""
+    summary = stored(summarize(results, ["retriever"]), "comparison")
+    known = {r.retriever for r in summary.select("retriever").collect()}
+    if unknown := sorted({n for pair in pairs for n in pair} - known):
+        raise ValueError(f"retrievers that were not compared: {', '.join(unknown)}")
     best = best_by(summary, "hit_rate_at_k").unionByName(best_by(summary, "mean_reciprocal_rank"))
-    pairs = [("keyword", "embedding"), ("hybrid", "keyword")]
     differences = reduce(
         DataFrame.unionByName,
         [

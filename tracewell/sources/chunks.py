@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.functions.text import lit_array, strip
-from tracewell.operators.terms import chunk_terms
+from tracewell.operators.terms import chunk_features
 from tracewell.operators.validation import CHUNK_COLUMNS, collect_violations, strict_rows
 
 CHUNK_SCHEMA = ", ".join(f"{c} {'BOOLEAN' if c == 'synthetic' else 'STRING'}" for c in CHUNK_COLUMNS)
@@ -49,11 +49,6 @@ def read_chunks(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     return parse_chunk_lines(spark.read.text(path), strict)
 
 
-def read_chunk_table(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of a Parquet folder."""
-    return spark.read.schema(CHUNK_SCHEMA).parquet(path)
-
-
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Raise where ``df`` is empty."""
     if not df.limit(1).count():
@@ -61,12 +56,15 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def write_term_index(chunks: DataFrame, path: str, mode: str = "error") -> None:
-    """Store the chunk-term table so that later searches skip tokenizing.
+def write_term_index(chunks: DataFrame, path: str, mode: str = "error", dims: int = 0) -> None:
+    """Store the features of each chunk, one row per chunk, so that later searches skip tokenizing.
 
-    Rows are clustered by term inside each file, which lets a filter on terms skip row groups.
+    The folder is partitioned by source type, so a search of one type reads its part only.  With
+    ``dims`` the hashed vectors are stored too, for vector and hybrid search.
     """
-    chunk_terms(chunks).sortWithinPartitions("term").write.mode(mode).parquet(path)
+    features = chunk_features(chunks, dims)
+    writer = features.write.mode(mode)
+    (writer.partitionBy("source_type") if "source_type" in features.columns else writer).parquet(path)
 
 
 def read_term_index(spark: SparkSession, path: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.operators.intents import derived_intents, semantic_intents
-from tracewell.operators.search import keyword_search
+from tracewell.operators.search import hybrid_search, keyword_search, vector_search
+from tracewell.operators.terms import chunk_features
 from tracewell.operators.triage import refusal, triage
+from tracewell.session import stored
 
 
 def triage_stream(concerns: DataFrame, text: str = "concern_text") -> DataFrame:
@@ -41,19 +43,25 @@ def start_retrieve(
     k: int = 5,
     source_type: str | None = None,
     search: Callable[..., DataFrame] = keyword_search,
+    index: DataFrame | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Top-k evidence per arriving query against a static chunk table.
 
-    Every micro-batch is one bulk search.  Its rows go to the partition of its batch id, which a
+    Every micro-batch is one bulk search over ``index``, the stored chunk features, which are made once
+    where none are given; a search of the caller's own gets the chunks alone.  Its rows go to the partition of its batch id, which a
     repeated batch overwrites, so a restart leaves no duplicates.
     """
 
+    if index is None and search in (keyword_search, vector_search, hybrid_search):
+        index = stored(chunk_features(chunks, 0 if search is keyword_search else 128), "stream-features")
+    extra = {} if index is None else {"index": index}
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # The batch is read by the size check and by the search; keep it for both.
         kept = batch.persist()
         try:
-            found = search(kept, chunks, k, source_type)
+            found = search(kept, chunks, k, source_type, **extra)
             (
                 found.withColumn("batch_id", F.lit(batch_id).cast("long"))
                 .write.mode("overwrite")

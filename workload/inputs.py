@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewell.functions.text import lit_array
-from tracewell.session import spread
 from tracewell.tables.words import STOP_WORDS
 
 CONCERN_PHRASES = [
@@ -92,8 +91,8 @@ MODEL_ANSWERS = [
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table; a small one is spread over the cores before its texts are worked on."""
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    """A driver table, dealt out to the cores: each of these files is one row group, hence one task."""
+    return spark.read.parquet(f"{sf}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def pick(options: list[str], n: Column) -> Column:

@@ -7,10 +7,9 @@ from tracewell.operators import metrics
 from tracewell.operators.dense import dense_search
 from tracewell.operators.ranking import source_ranks, top_k
 from tracewell.operators.search import (
-    hybrid_candidates,
     hybrid_search,
-    keyword_pairs,
     keyword_search,
+    keyword_winners,
     vector_search,
 )
 from tracewell.operators.terms import chunk_terms, chunk_vectors, invalid_queries, query_terms
@@ -73,21 +72,20 @@ def k3(spark, sf):
 @query(
     "J3_W2_hybrid_candidates",
     with_views(
-        ["hybrid_pairs"],
-        """SELECT query_id, count(*) AS candidates, round(max(keyword_score), 6) AS best_keyword,
-                  round(max(vector_score), 6) AS best_vector, round(sum(keyword_score), 2) AS keyword_total,
-                  round(sum(vector_score), 2) AS vector_total
-           FROM hybrid_pairs GROUP BY ALL""",
+        ["hybrid_scored"],
+        f"""SELECT query_id, rank, chunk_id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score,
+                   round(score, 6) AS score
+            FROM (SELECT *, {RANK} AS rank FROM hybrid_scored) WHERE rank <= 20""",
     ),
 )
 def j3(spark, sf):
-    pairs = hybrid_candidates(i.queries(spark, sf), i.chunks(spark, sf))
-    return pairs.groupBy("query_id").agg(
-        F.count("*").alias("candidates"),
-        F.round(F.max("keyword_score"), 6).alias("best_keyword"),
-        F.round(F.max("vector_score"), 6).alias("best_vector"),
-        F.round(F.sum("keyword_score"), 2).alias("keyword_total"),
-        F.round(F.sum("vector_score"), 2).alias("vector_total"),
+    """Both raw scores and the normalised sum of the candidates of either scorer."""
+    found = hybrid_search(i.queries(spark, sf), i.chunks(spark, sf), 20)
+    return found.select(
+        "query_id",
+        F.col("rank").cast("long").alias("rank"),
+        "chunk_id",
+        *(F.round(c, 6).alias(c) for c in ("keyword_score", "vector_score", "score")),
     )
 
 
@@ -130,15 +128,12 @@ def a1_queries(spark, sf):
     "A2_keyword_score",
     with_views(
         ["keyword_pairs"],
-        """SELECT chunk_id, count(*) AS queries, sum(score) AS total, max(score) AS best
-           FROM keyword_pairs GROUP BY ALL""",
+        f"""SELECT query_id, chunk_id, score FROM (SELECT *, {RANK} AS rank FROM keyword_pairs) WHERE rank <= 20""",
     ),
 )
 def a2(spark, sf):
-    pairs = keyword_pairs(i.queries(spark, sf), chunk_terms(i.chunks(spark, sf)))
-    return pairs.groupBy("chunk_id").agg(
-        F.count("*").alias("queries"), F.sum("score").alias("total"), F.max("score").alias("best")
-    )
+    found = keyword_winners(i.queries(spark, sf), i.chunks(spark, sf), 20)
+    return found.select("query_id", "chunk_id", "score")
 
 
 @query(
@@ -159,14 +154,16 @@ def a3(spark, sf):
 
 @query(
     "P7_invalid_queries",
-    f"""SELECT doc_id AS query_id FROM (SELECT doc_id, split_part(text, chr(10), 1) AS q FROM documents)
-        WHERE len({i.sql_tokens('q')}) = 0""",
+    f"""SELECT doc_id AS query_id FROM documents WHERE len({i.sql_tokens('text')}) = 0
+        UNION ALL SELECT -page_id - 1 FROM pages WHERE len({i.sql_tokens("regexp_replace(url, '[A-Za-z0-9]', '', 'g')")}) = 0""",
 )
 def p7(spark, sf):
-    lines = i.load(spark, sf, "documents").select(
-        F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("query_text")
+    """Whole texts, and urls without their letters and digits, which no query can be made of."""
+    texts = i.load(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    marks = i.load(spark, sf, "pages").select(
+        (-F.col("page_id") - 1).alias("query_id"), F.regexp_replace("url", "[A-Za-z0-9]", "").alias("query_text")
     )
-    return invalid_queries(lines).select("query_id")
+    return invalid_queries(texts.unionByName(marks)).select("query_id")
 
 
 @query(
@@ -187,9 +184,9 @@ def w3(spark, sf):
 @query(
     "J2_Y2_dense_search",
     """SELECT query_id, CAST(rank AS BIGINT) AS rank, chunk_id, round(score, 6) AS score
-       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
+       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
              FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
-                          list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+                          round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS score
                    FROM embeddings q, embeddings c) WHERE score > 0)
        WHERE rank <= 3""",
 )
@@ -320,11 +317,15 @@ def j9(spark, sf):
     f"""WITH questions AS ({i.VIEWS['questions']})
         SELECT question_id, source_id FROM (
             SELECT DISTINCT question_id, unnest(list_concat(expected_source_ids, forbidden_source_ids)) AS source_id FROM questions)
-        WHERE source_id NOT IN (SELECT source FROM documents WHERE lang = 'de' AND n_chars > 2000)""",
+        WHERE source_id NOT IN (SELECT source FROM documents)
+        UNION ALL SELECT question_id, 'src-' || question_id FROM questions""",
 )
 def j10(spark, sf):
-    known = i.load(spark, sf, "documents").filter("lang = 'de' AND n_chars > 2000").select(F.col("source").alias("source_id"))
-    return metrics.unknown_sources(i.questions(spark, sf), known).select("question_id", "source_id")
+    """Each question also names a source of its own, which no document has."""
+    known = i.load(spark, sf, "documents").select(F.col("source").alias("source_id"))
+    own = F.array(F.concat(F.lit("src-"), "question_id"))
+    asked = i.questions(spark, sf).withColumn("forbidden_source_ids", F.concat("forbidden_source_ids", own))
+    return metrics.unknown_sources(asked, known).select("question_id", "source_id")
 
 
 @query(
