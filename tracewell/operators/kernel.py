@@ -169,12 +169,14 @@ def vector_scores(batch: pa.RecordBatch, block: QueryBlock) -> np.ndarray:
     return np.round(out, 9) if "vector" in batch.schema.names else out
 
 
-def best_cells(scores: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the k best positive scores per query that reach ``floor``, ties to the earlier chunk."""
+def best_cells(
+    scores: np.ndarray, k: int, floor: np.ndarray | None = None, above: float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the k best scores per query over ``above`` that reach ``floor``, ties to the earlier chunk."""
     n = scores.shape[1]
-    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(scores))
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), above)
     least = least if floor is None else np.maximum(least, floor)
-    q, c = np.nonzero((scores >= least[:, None]) & (scores > 0))
+    q, c = np.nonzero((scores >= least[:, None]) & (scores > above))
     order = np.lexsort((c, -scores[q, c], q))
     q, c = q[order], c[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -185,8 +187,8 @@ def best_cells(scores: np.ndarray, k: int, floor: np.ndarray | None = None) -> t
 class RunningBest:
     """The k best rows per query of everything a task has seen so far."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.floor, self.held, self.rows = k, np.zeros(queries), [], 0
+    def __init__(self, queries: int, k: int, above: float = 0.0):
+        self.k, self.floor, self.held, self.rows = k, np.full(queries, above), [], 0
         self.limit = max(10_000, 2 * queries * k)
 
     def add(self, rows: pa.Table) -> None:
@@ -216,7 +218,9 @@ def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: QueryBlock = shipped.value
         tops = np.zeros((len(block.ids), 2))
-        best = RunningBest(len(block.ids), k)
+        # A hybrid candidate has one positive score; its weighted sum may still be negative.
+        above = -np.inf if mode == "hybrid" else 0.0
+        best = RunningBest(len(block.ids), k, above)
         for whole in batches:
             for part in _slices(whole, block):
                 part = part.take(pc.sort_indices(part.column("chunk_id")))
@@ -234,9 +238,10 @@ def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)
                     scores = weights[0] * _share(keyword, block.tops[:, 0]) + weights[1] * _share(
                         vector, block.tops[:, 1]
                     )
+                    scores[(keyword <= 0) & (vector <= 0)] = -np.inf
                 else:
                     scores = vector if keyword is None else keyword
-                q, c = best_cells(scores, k, best.floor)
+                q, c = best_cells(scores, k, best.floor, above)
                 columns = {
                     "query": pa.array(q, pa.int64()),
                     "chunk_id": part.column("chunk_id").take(pa.array(c, pa.int64())),

@@ -6,6 +6,9 @@ evaluated once into a boolean column before the decision chains read it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.json_text import json_object_text, normalize_enum, normalize_list
@@ -148,48 +151,16 @@ def ground_reference(fix_reference_needed: bool = False) -> Column:
 def missing_item(sentence: Column) -> Column:
     """Canonical item for one sentence that says something is missing."""
     low = F.lower(sentence)
-
-    def has(*words: str) -> Column:
-        return any_of(low, words)
-
     rest = sentence
     for lead in t.MISSING_LEAD_PATTERNS:
         rest = F.regexp_replace(rest, "(?diU)" + lead, "")
-    rest = F.btrim(rest, F.lit(" ."))
-    return (
-        F.when(has("storage", "temperature"), "Storage and temperature conditions")
-        .when(has("shaking", "resuspension"), "Shaking and resuspension technique")
-        .when(has("syringe", "measurement technique"), "Syringe selection and measurement technique")
-        .when(has("other medications", "concurrent therapy"), "Other medications and concurrent therapy")
-        .when(
-            has("dose appropriateness")
-            & has("could not be evaluated", "unable to evaluate", "could not evaluate"),
-            "Dose appropriateness from the available directions",
-        )
-        .when(has("dose"), "Exact dose administered")
-        .when(has("timeline"), "Event timeline")
-        .when(has("reported symptoms") | (has("symptom") & has("severity")), "Reported symptoms and severity")
-        .when(
-            has("transdermal") & has("rotation", "cleaning", "site"),
-            "Transdermal application-site rotation and cleaning",
-        )
-        .when(has("leakage", "physical damage"), "Whether leakage or physical damage was observed")
-        .when(
-            has("exposure duration", "number of doses"),
-            "Exposure duration and number of doses administered",
-        )
-        .when(
-            has("device behavior", "usable medication", "dispense", "came out"),
-            "Whether medication dispensed from the device",
-        )
-        .when(
-            has("veterinarian") | rx(low, t.NOTE_PATTERNS["vet_word"]),
-            "Veterinarian involvement and recommendations",
-        )
-        .when(has("lot", "batch"), "Lot or batch trend information")
-        .when(has("shortage"), "Whether there was a confirmed shortage")
-        .otherwise(F.nullif(rest, F.lit("")))
-    )
+    item = F.nullif(F.btrim(rest, F.lit(" .")), F.lit(""))
+    for alternatives, name in reversed(t.MISSING_ITEM_RULES):
+        hit = reduce(or_, (reduce(and_, (any_of(low, words) for words in needed)) for needed in alternatives))
+        if name == t.VETERINARIAN_ITEM:
+            hit = hit | rx(low, t.NOTE_PATTERNS["vet_word"])
+        item = F.when(hit, F.lit(name)).otherwise(item)
+    return item
 
 
 def ground_missing() -> Column:

@@ -137,12 +137,16 @@ def s2_broken(spark, sf):
 @query(
     "V1_chunk_violations",
     """SELECT 'src-' || source AS chunk_id, lang, count(*) AS n,
-              CASE WHEN m > 1 THEN 'duplicate chunk_id' ELSE '' END AS violations
+              concat_ws('|', CASE WHEN split_part(text, chr(10), 1) = '' THEN 'missing section_heading' END,
+                        CASE WHEN text = '' OR doc_id % 9 = 0 THEN 'missing text' END,
+                        CASE WHEN m > 1 THEN 'duplicate chunk_id' END) AS violations
        FROM documents JOIN (SELECT source, count(*) AS m FROM documents GROUP BY ALL) USING (source) GROUP BY ALL""",
 )
 def v1(spark, sf):
-    pool = i.chunks(spark, sf).withColumn("chunk_id", F.concat(F.lit("src-"), "source_id"))
-    checked = validation.chunk_violations(pool.filter("text <> ''"))
+    """Chunks with repeated ids, of which every ninth has lost its text."""
+    number = F.expr("cast(substr(chunk_id, 5) as bigint)")
+    pool = i.chunks(spark, sf).withColumn("text", F.when(number % 9 == 0, "").otherwise(F.col("text")))
+    checked = validation.chunk_violations(pool.withColumn("chunk_id", F.concat(F.lit("src-"), "source_id")))
     return checked.groupBy("chunk_id", F.col("process_area").alias("lang"), *joined("violations")).agg(F.count("*").alias("n"))
 
 
@@ -155,11 +159,23 @@ def s7(spark, sf):
     return runs.content_hash(rows).select("conv_id", "turn", "sha256")
 
 
-@query("S7_file_manifest")
+@query(
+    "S7_file_manifest",
+    f"""WITH questions AS ({i.VIEWS['questions']}), files AS (
+            SELECT question_id, CASE WHEN CAST(question_id AS BIGINT) % 2 = 0 THEN '["' || question_id || '", "x"]' ELSE query END
+                   || chr(10) AS content, CAST(question_id AS BIGINT) % 2 = 0 AS listed FROM questions)
+        SELECT sha256(content) AS sha256, CASE WHEN listed THEN CAST(2 AS BIGINT) ELSE -1 END AS item_count,
+               CAST(strlen(content) AS BIGINT) AS length FROM files""",
+)
 def s7_files(spark, sf):
+    """One file per question: a JSON list for every second one, else its text."""
     path = work_folder(spark, "questions")
-    i.questions(spark, sf).write.json(path)
-    return runs.file_manifest(spark, path).select("sha256", "item_count", "length")
+    listed = F.concat(F.lit('["'), "question_id", F.lit('", "x"]'))
+    content = F.when(F.col("question_id").cast("long") % 2 == 0, listed).otherwise(F.col("query"))
+    files = i.questions(spark, sf).select("question_id", content.alias("value")).repartition("question_id")
+    files.write.partitionBy("question_id").text(path)
+    found = runs.file_manifest(spark, path)
+    return found.select("sha256", F.coalesce("item_count", F.lit(-1).cast("long")).alias("item_count"), "length")
 
 
 @query(
@@ -345,11 +361,10 @@ def a11(spark, sf):
 
 @query(
     "S6_U3_write_run",
-    ablation_sql("SELECT 'run-1' AS run_id, strategy, count(*) AS questions, count(*) FILTER (len(good) > 0) AS hits FROM judged WHERE strategy <> 'nano_intent' GROUP BY ALL"),
+    ablation_sql("SELECT 'run-1' AS run_id, strategy, count(*) AS questions, count(*) FILTER (len(good) > 0) AS hits FROM judged GROUP BY ALL"),
 )
 def s6(spark, sf):
-    results = ev.ablate(ti.STRATEGIES[:3], i.questions(spark, sf), i.chunks(spark, sf), 5)
-    shown = stored(results.select("strategy", "question_id", "hit"), "results")
+    shown = stored(ablated(spark, sf).select("strategy", "question_id", "hit"), "results")
     path = work_folder(spark, "runs")
     manifest = runs.content_hash(i.questions(spark, sf).select(F.encode("query", "UTF-8").alias("content"))).drop("content")
     runs.write_run(shown, shown.groupBy("strategy").count(), manifest, path, " run-1 ")
@@ -378,6 +393,35 @@ def extraction_cases(spark, sf):
     )
 
 
+@query(
+    "S4_read_extraction_cases",
+    f"""WITH cases AS ({i.VIEWS['cases']})
+        SELECT case_id, md5(concern_text) AS concern_hash,
+               concat_ws('|', CASE WHEN n % 7 = 0 THEN 'reviewer_note missing' END,
+                         CASE WHEN n % 5 = 1 THEN 'record_review_result invalid' END,
+                         CASE WHEN n % 6 = 2 THEN 'severe_triggers_observed invalid' END) AS violations FROM cases""",
+)
+def s4(spark, sf):
+    """Cases written as JSON lines, some with a missing note or values outside their vocabulary."""
+    n = F.col("n")
+    labelled = extraction_cases(spark, sf).join(i.cases(spark, sf), "case_id")
+    summary = F.col("expected_review_summary")
+    summary = summary.withField(
+        "record_review_result", F.when(n % 5 == 1, "made_up").otherwise(F.col("expected_review_summary.record_review_result"))
+    ).withField(
+        "severe_triggers_observed",
+        F.when(n % 6 == 2, tx.lit_array(["pet_death", "made_up"])).otherwise(F.col("expected_review_summary.severe_triggers_observed")),
+    )
+    rows = labelled.select(
+        "case_id", "concern_text", F.when(n % 7 != 0, F.col("reviewer_note")).alias("reviewer_note"),
+        summary.alias("expected_review_summary"), "expected_unresolved_field_names",
+    )
+    path = work_folder(spark, "cases")
+    rows.write.json(path)
+    back = question_source.read_extraction_cases(spark, path, lines=True)
+    return back.select("case_id", F.md5("concern_text").alias("concern_hash"), *joined("violations"))
+
+
 def set_sql(name, exp, act):
     e, a = exp, f"list_distinct(coalesce({act}, []))"
     tp = f"len(list_intersect({e}, {a}))"
@@ -515,7 +559,7 @@ def reranked_sql(k):
     views = with_views(["keyword_pairs", "chunks"], "", asked=asked, chunks=SOP_CHUNKS)
     views = views.replace("WITH ", rules.TYPED.rstrip() + ", ", 1).rstrip()
     return f"""{views},
-    raised AS (SELECT query_id AS case_id, chunk_id, score + CAST({bonus} AS DOUBLE) AS score, concern_type
+    raised AS (SELECT query_id AS case_id, chunk_id, score + CAST({bonus} AS DOUBLE) AS score, concern_type, matched_terms
         FROM (SELECT *, {RANK} AS rank FROM keyword_pairs) p JOIN chunks USING (chunk_id) JOIN typed ON typed.case_id = p.query_id WHERE rank <= {3 * k}),
     best AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS rank FROM raised)"""
 
@@ -523,15 +567,24 @@ def reranked_sql(k):
 @query(
     "R8_T2_P8_intake_checklist",
     reranked_sql(5) + """
-    SELECT t.case_id, t.concern_type, t.risk_lane, coalesce(string_agg(chunk_id || ':' || CAST(CAST(score AS BIGINT) AS VARCHAR), '|' ORDER BY rank), '') AS evidence,
+    SELECT t.case_id, 'ok' AS concern_status, t.concern_type, t.risk_lane, coalesce(string_agg(chunk_id || ':' || CAST(CAST(score AS BIGINT) AS VARCHAR), '|' ORDER BY rank), '') AS evidence,
+           md5(coalesce(string_agg(concat_ws('~', rank, source_id, source_title, source_type, section_heading,
+               array_to_string(matched_terms, ' '), md5(text)), '|' ORDER BY rank), '')) AS citations,
            CAST(least(count(chunk_id), 2) AS BIGINT) AS first_check_citations
-    FROM typed t LEFT JOIN (SELECT case_id, chunk_id, score, rank FROM best WHERE rank <= 5) USING (case_id) GROUP BY ALL""",
+    FROM typed t LEFT JOIN (SELECT case_id, chunk_id, score, rank, matched_terms, c.* EXCLUDE (chunk_id)
+        FROM best JOIN chunks c USING (chunk_id) WHERE rank <= 5) USING (case_id)
+    GROUP BY t.case_id, t.concern_type, t.risk_lane""",
 )
 def r8(spark, sf):
     done = checklist.intake_checklist(i.concerns(spark, sf), i.chunks(spark, sf), 5)
     cited = F.transform("evidence", lambda e: F.concat(e["chunk_id"], F.lit(":"), e["score"].cast("long").cast("string")))
+    shown = F.transform("evidence", lambda e: F.concat_ws(
+        "~", e["rank"].cast("string"), e["source_id"], e["source_title"], e["source_type"], e["section_heading"],
+        F.array_join(e["matched_terms"], " "), F.md5(e["supporting_text"]),
+    ))
     return done.select(
-        "case_id", "concern_type", "risk_lane", F.array_join(cited, "|").alias("evidence"),
+        "case_id", "concern_status", "concern_type", "risk_lane", F.array_join(cited, "|").alias("evidence"),
+        F.md5(F.array_join(shown, "|")).alias("citations"),
         F.size(F.get("review_checks", F.lit(0))["evidence"]).cast("long").alias("first_check_citations"),
     )
 
@@ -621,6 +674,14 @@ def s2_index(spark, sf):
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
-@query("F2_blake2b_vocabulary")
+@query(
+    "F2_blake2b_vocabulary",
+    with_views(["chunk_terms"], "SELECT term, count(*) AS chunks, true AS in_range, 1 AS buckets FROM chunk_terms GROUP BY ALL"),
+)
 def f2(spark, sf):
-    return vocabulary_buckets(chunk_terms(i.chunks(spark, sf)), 128)
+    """Every term has one bucket in range; known digests are tested in pytest."""
+    terms = chunk_terms(i.chunks(spark, sf)).groupBy("term").agg(F.count("*").alias("chunks"))
+    found = vocabulary_buckets(terms, 128).groupBy("term").agg(
+        F.min(F.col("bucket").between(0, 127)).alias("in_range"), F.count_distinct("bucket").cast("int").alias("buckets")
+    )
+    return terms.join(found, "term")

@@ -69,6 +69,36 @@ def k3(spark, sf):
     return shown(hybrid_search(i.queries(spark, sf), i.chunks(spark, sf), 5))
 
 
+@query(
+    "K3_Y2_hybrid_supplied_vectors",
+    with_views(
+        ["keyword_pairs"],
+        f"""SELECT query_id, CAST(rank AS BIGINT) AS rank, chunk_id, round(score, 6) AS score FROM (
+            SELECT *, {RANK} AS rank FROM (
+                SELECT query_id, chunk_id,
+                       0.65::DOUBLE * coalesce(keyword / nullif(max(keyword) OVER w, 0), 0)
+                       + 0.35::DOUBLE * CASE WHEN max(cosine) OVER w > 0 THEN cosine / max(cosine) OVER w ELSE 0 END AS score
+                FROM (SELECT query_id, chunk_id, coalesce(k.score, 0::DOUBLE) AS keyword, coalesce(v.score, 0::DOUBLE) AS cosine
+                      FROM keyword_pairs k FULL JOIN (
+                          SELECT q.vec_id AS query_id, 'doc-' || c.vec_id AS chunk_id,
+                                 round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS score
+                          FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings c JOIN documents ON doc_id = c.vec_id) v
+                      USING (query_id, chunk_id))
+                WHERE keyword > 0 OR cosine > 0 WINDOW w AS (PARTITION BY query_id)))
+        WHERE rank <= 5""",
+    ),
+)
+def k3_vectors(spark, sf):
+    """The vectors of a model in place of hashed counts: row n embeds document n and query n."""
+    given = i.load(spark, sf, "embeddings")
+    found = hybrid_search(
+        i.queries(spark, sf), i.chunks(spark, sf), 5,
+        vectors=given.select(F.concat(F.lit("doc-"), "vec_id").alias("chunk_id"), F.col("embedding").alias("vector")),
+        query_vectors=given.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+    )
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "J3_W2_hybrid_candidates",
     with_views(

@@ -501,19 +501,34 @@ def supplied(df):
     return summary.parse_summary(df)
 
 
+STATUS_SQL = "CASE WHEN n % 5 NOT IN (0, 1) AND n % 11 = 2 THEN 'unparsable' ELSE 'ok' END"
+
+
+def null_unless_ok(df, *columns):
+    """Columns of the rows whose JSON could be used; null in the others."""
+    ok = F.col("extraction_status") == "ok"
+    return df.withColumns({c: F.when(ok, F.col(c)) for c in columns})
+
+
 @query(
     "R15_R18_ground_summary",
     f"""WITH {NOTES}
-        SELECT case_id, {RECORD_SQL} AS record_review_result, {LOT_SQL} AS lot_batch_pattern_summary,
+        SELECT case_id, extraction_status,
+               CASE WHEN extraction_status = 'ok' THEN record_review_result END AS record_review_result,
+               CASE WHEN extraction_status = 'ok' THEN lot_batch_pattern_summary END AS lot_batch_pattern_summary,
+               CASE WHEN extraction_status = 'ok' THEN inventory_inspection_result END AS inventory_inspection_result,
+               CASE WHEN extraction_status = 'ok' THEN api_reference_review_result END AS api_reference_review_result,
+               CASE WHEN extraction_status = 'ok' THEN evidence_limitations END AS evidence_limitations,
+               CASE WHEN extraction_status = 'ok' THEN missing_information END AS missing_information
+        FROM (SELECT case_id, {STATUS_SQL} AS extraction_status, {RECORD_SQL} AS record_review_result, {LOT_SQL} AS lot_batch_pattern_summary,
                {INVENTORY_SQL} AS inventory_inspection_result, {REFERENCE_SQL} AS api_reference_review_result,
                {sql_join(LIMITS_SQL, 'evidence_limitations')}, coalesce(array_to_string(items, '|'), '') AS missing_information
-        FROM notes LEFT JOIN missing USING (case_id) WHERE NOT (n % 5 NOT IN (0, 1) AND n % 11 = 2)""",
+        FROM notes LEFT JOIN missing USING (case_id))""",
 )
 def r15(spark, sf):
     done = summary.ground_summary(summary.parse_summary(i.cases(spark, sf)))
-    return done.filter("extraction_status = 'ok'").select(
-        "case_id", *ts.ENUM_FIELDS, *joined("evidence_limitations", "missing_information")
-    )
+    lists = ("evidence_limitations", "missing_information")
+    return null_unless_ok(done, *ts.ENUM_FIELDS, *lists).select("case_id", "extraction_status", *ts.ENUM_FIELDS, *joined(*lists))
 
 
 DEFAULTS = f"""
@@ -534,14 +549,18 @@ DEFAULTS = f"""
 @query(
     "R13_R14_scope_defaults",
     f"""WITH {NOTES}, {DEFAULTS}
-        SELECT case_id, CASE WHEN full_scope THEN 'full_investigation' ELSE 'guidance_only' END AS summary_scope,
-               record_review_result, lot_batch_pattern_summary, inventory_inspection_result, api_reference_review_result
-        FROM defaulted WHERE NOT (n % 5 NOT IN (0, 1) AND n % 11 = 2)""",
+        SELECT case_id, {STATUS_SQL} AS extraction_status,
+               CASE WHEN full_scope THEN 'full_investigation' ELSE 'guidance_only' END AS summary_scope,
+               CASE WHEN {STATUS_SQL} = 'ok' THEN record_review_result END AS record_review_result,
+               CASE WHEN {STATUS_SQL} = 'ok' THEN lot_batch_pattern_summary END AS lot_batch_pattern_summary,
+               CASE WHEN {STATUS_SQL} = 'ok' THEN inventory_inspection_result END AS inventory_inspection_result,
+               CASE WHEN {STATUS_SQL} = 'ok' THEN api_reference_review_result END AS api_reference_review_result
+        FROM defaulted""",
 )
 def r13(spark, sf):
     grounded = summary.ground_summary(summary.parse_summary(i.cases(spark, sf)))
     done = summary.review_scope(summary.scope_defaults(grounded))
-    return done.filter("extraction_status = 'ok'").select("case_id", "summary_scope", *ts.ENUM_FIELDS)
+    return null_unless_ok(done, *ts.ENUM_FIELDS).select("case_id", "extraction_status", "summary_scope", *ts.ENUM_FIELDS)
 
 
 QX = {n: (lambda x, p=p: sql_rx(sql_ascii(x), p)) for n, p in ts.QUESTION_PATTERNS.items()}
