@@ -16,11 +16,13 @@ are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
@@ -30,7 +32,7 @@ from tracewell.llm.common import prepare, replaced, with_fields
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-MOST_PIECES = 200_000
+MOST_PIECES = 120_000
 MOST_PIECE_CHARS = 64
 LEARNT_AT_ONCE = 5_000
 PART_BYTES = 2 << 20
@@ -48,11 +50,12 @@ def byte_characters() -> list[str]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Tokens by rank with the merges that make them, as plain data that can be shipped."""
+    """Tokens by rank (empty where a rank is free) and the merges that make them, as pairs of ranks."""
 
-    tokens: dict[bytes, int]
-    merges: list[tuple[bytes, bytes]]
-    pattern: str = PATTERN
+    tokens: list[bytes]
+    merges: np.ndarray
+    pattern: str
+    digest: str
 
 
 def _last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
@@ -68,11 +71,15 @@ def _last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] |
 
 
 def read_vocabulary(path: str, pattern: str = PATTERN) -> Vocabulary:
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    longer = sorted((t for t in ranks if len(t) > 1), key=ranks.__getitem__)
-    merges = [m for m in (_last_merge(t, ranks) for t in longer) if m]
-    return Vocabulary(ranks, merges, pattern)
+    with open(path, "rb") as file:
+        content = file.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    merges = [_last_merge(t, ranks) for t in tokens if len(t) > 1]
+    pairs = np.array([(ranks[m[0]], ranks[m[1]]) for m in merges if m], np.int32).reshape(-1, 2)
+    return Vocabulary(tokens, pairs, pattern, hashlib.sha256(content + pattern.encode()).hexdigest())
 
 
 def build_tokenizer(vocabulary: Vocabulary):
@@ -80,14 +87,11 @@ def build_tokenizer(vocabulary: Vocabulary):
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     stand_in = byte_characters()
-
-    def name(token: bytes) -> str:
-        return "".join(stand_in[b] for b in token)
-
+    names = ["".join(stand_in[b] for b in token) for token in vocabulary.tokens]
     out = Tokenizer(
         models.BPE(
-            vocab={name(t): r for t, r in vocabulary.tokens.items()},
-            merges=[(name(a), name(b)) for a, b in vocabulary.merges],
+            vocab={name: rank for rank, name in enumerate(names) if name},
+            merges=[(names[a], names[b]) for a, b in vocabulary.merges.tolist()],
             ignore_merges=True,
             cache_capacity=0,
         )
@@ -103,10 +107,7 @@ def build_tokenizer(vocabulary: Vocabulary):
 
 def _sizes(vocabulary: Vocabulary) -> np.ndarray:
     """Bytes of each token by rank."""
-    out = np.zeros(max(vocabulary.tokens.values(), default=-1) + 1, np.int64)
-    for token, rank in vocabulary.tokens.items():
-        out[rank] = len(token)
-    return out
+    return np.array([len(t) for t in vocabulary.tokens], np.int64)
 
 
 class _Encoder:
@@ -170,11 +171,7 @@ class _Decoder:
     """Bytes of packed ids through one flat table of all tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
-        size = max(vocabulary.tokens.values(), default=-1) + 1
-        self.tokens = [b""] * size
-        for token, rank in vocabulary.tokens.items():
-            self.tokens[rank] = token
-        self.sizes = _sizes(vocabulary)
+        self.tokens, self.sizes = vocabulary.tokens, _sizes(vocabulary)
 
     def ids(self, packed: bytes | None) -> np.ndarray:
         return np.frombuffer(packed or b"", "<u4")
@@ -191,15 +188,15 @@ class _Decoder:
         return np.maximum(upto[np.minimum(starts + 1, len(raw))] - 1, 0), upto[ends]
 
 
-_made: dict[tuple, object] = {}
+_made: dict[str, tuple] = {}
 
 
-def _once(kind, shipped):
-    """One model per worker, built from the shipped vocabulary at first use."""
-    key = (kind.__name__, shipped.id if hasattr(shipped, "id") else id(shipped))
-    if key not in _made:
-        _made[key] = kind(shipped.value)
-    return _made[key]
+def _once(kind, shipped: Shipped):
+    """One model of a kind per worker, built at first use; another vocabulary replaces it."""
+    if kind.__name__ not in _made or _made[kind.__name__][0] != shipped.digest:
+        _made.pop(kind.__name__, None)
+        _made[kind.__name__] = (shipped.digest, kind(shipped.data.value))
+    return _made[kind.__name__][1]
 
 
 def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -212,9 +209,15 @@ def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def ship_vocabulary(spark, vocabulary: Vocabulary):
+@dataclass(frozen=True)
+class Shipped:
+    digest: str
+    data: Broadcast
+
+
+def ship_vocabulary(spark, vocabulary: Vocabulary) -> Shipped:
     prepare(spark)
-    return spark.sparkContext.broadcast(vocabulary)
+    return Shipped(vocabulary.digest, spark.sparkContext.broadcast(vocabulary))
 
 
 def _encoded(encoder: _Encoder, texts: list[str], added: dict) -> list[bytes]:
