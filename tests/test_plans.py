@@ -108,3 +108,27 @@ def test_registered_queries_have_sql_or_are_known_exceptions():
 
     without = set(entry.queries()) - set(entry.oracle_sql())
     assert without == {"S7_file_manifest", "F2_blake2b_vocabulary"}
+
+
+def test_comparison_refuses_unknown_pairs(spark):
+    from tracewell.plans.evaluate import comparison
+
+    names = "retriever string, question_id string, hit boolean, reciprocal_rank double, negative_constraints_passed boolean"
+    results = spark.createDataFrame([("a", "q", True, 1.0, True), ("b", "q", False, 0.0, True)], names)
+    with pytest.raises(ValueError, match="embedding, hybrid"):
+        comparison(results.withColumn("retriever", F.regexp_replace("retriever", "a", "keyword")))
+    assert set(comparison(results, [("a", "b")])) == {"summary", "best", "differences"}
+
+
+def test_own_detector_pattern_and_strategy(spark):
+    from tracewell.operators.intents import semantic_intents
+    from tracewell.plans.evaluate import build_queries
+
+    asked = spark.createDataFrame([("1", "The gizmo broke")], "question_id string, query string")
+    tagged = semantic_intents(asked, "query", patterns={"device": [r"\bgizmo\b"]}).first()
+    assert tagged.semantic_tags == ["device_concern"]
+    own = {"loud": lambda q: q.withColumn("search_text", F.upper("query"))}
+    built = build_queries(["loud", "rule_intent"], asked, own=own, detector=lambda q: semantic_intents(q, "query"))
+    assert {r.strategy: r.search_text for r in built.collect()} == {"loud": "THE GIZMO BROKE", "rule_intent": "The gizmo broke"}
+    with pytest.raises(ValueError, match="unknown"):
+        build_queries(["loud"], asked)

@@ -200,3 +200,27 @@ def test_decisions(spark, kind, lane, triggers, category, path, listed):
     df = spark.createDataFrame([("x", kind, lane, triggers)], "concern_text string, concern_type string, risk_lane string, severe_triggers_observed array<string>")
     d = assessment.final_assessment(df).first().derived_assessment
     assert (d.reviewer_assigned_category, d.handling_path, d.escalation_triggers) == (category, path, listed)
+
+
+def test_blank_concerns_have_a_status(spark):
+    from tracewell.operators.checklist import intake_checklist
+
+    chunks = spark.createDataFrame(
+        [("c", "s", "Title", "sop", "Device", "pen leak device")],
+        "chunk_id string, source_id string, source_title string, source_type string, section_heading string, text string",
+    )
+    rows = [("1", "the pen is leaking"), ("2", " \n"), ("3", None)]
+    concerns = spark.createDataFrame(rows, "case_id string, concern_text string")
+    done = {r.case_id: r for r in intake_checklist(concerns, chunks, 2).collect()}
+    assert {k: r.concern_status for k, r in done.items()} == {"1": "ok", "2": "blank", "3": "blank"}
+    assert len(done["1"].evidence) == 1 and not done["2"].evidence and not done["3"].evidence
+    with pytest.raises(ValueError, match="blank"):
+        intake_checklist(concerns, chunks, 2, strict=True)
+
+
+def test_top_k_is_refused_not_lowered():
+    from tracewell.operators.ranking import check_top_k
+
+    assert check_top_k(5, 20) == 5
+    with pytest.raises(ValueError, match="at most"):
+        check_top_k(21, 20)

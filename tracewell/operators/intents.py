@@ -36,13 +36,17 @@ def affirmed_hospitalization(text: Column) -> Column:
     return F.exists(before, lambda p: ~rx(p, t.HOSPITALIZATION_NEGATION, ignore_case=False))
 
 
-def semantic_intents(df: DataFrame, text: str = "concern_text", out: str = "semantic_tags") -> DataFrame:
+def semantic_intents(
+    df: DataFrame, text: str = "concern_text", out: str = "semantic_tags", patterns: dict[str, list[str]] | None = None
+) -> DataFrame:
     """Add the array of detected semantic tags in canonical order.
 
-    Every pattern family is one combined regex, evaluated once into a boolean column.
+    Every pattern family is one combined regex, evaluated once into a boolean column.  ``patterns``
+    replaces families by name.
     """
     base = df.withColumn("_text", normalize_space(F.col(text)))
-    flags = {f"_rx_{name}": rx_any(F.col("_text"), patterns) for name, patterns in t.INTENT_PATTERNS.items()}
+    families = {**t.INTENT_PATTERNS, **(patterns or {})}
+    flags = {f"_rx_{name}": rx_any(F.col("_text"), listed) for name, listed in families.items()}
     flags["_rx_asks"] = phrase_match(F.col("_text"), t.INFORMATION_REQUEST_PHRASES)
     flags["_rx_ingredient_phrase"] = phrase_match(F.col("_text"), t.INGREDIENT_PHRASES)
     flags["_rx_hospital"] = affirmed_hospitalization(F.col("_text"))
@@ -75,10 +79,12 @@ def semantic_intents(df: DataFrame, text: str = "concern_text", out: str = "sema
     return base.withColumn(out, tags).drop("_text", *flags)
 
 
-def derived_intents(df: DataFrame, tags: str = "semantic_tags", out: str = "intent_tags") -> DataFrame:
+def derived_intents(
+    df: DataFrame, tags: str = "semantic_tags", out: str = "intent_tags", policy: dict[str, list[str]] | None = None
+) -> DataFrame:
     """Add the semantic tags plus the workflow tags the policy implies, in canonical order."""
     implied = F.flatten(
-        F.transform(tags, lambda x: F.coalesce(list_map(t.TAG_POLICY)[x], lit_array([])))
+        F.transform(tags, lambda x: F.coalesce(list_map(policy or t.TAG_POLICY)[x], lit_array([])))
     )
     return df.withColumn(out, canonical_order(F.concat(F.col(tags), implied), t.RETRIEVAL_TAGS))
 

@@ -144,12 +144,19 @@ def build_queries(
     supplied: DataFrame | None = None,
     model: str = "supplied",
     refresh: bool = False,
+    detector: Callable[[DataFrame], DataFrame] | None = None,
+    own: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
-    """Questions rewritten by every strategy, stacked under ``strategy``."""
+    """Questions rewritten by every strategy, stacked under ``strategy``.
+
+    ``detector`` replaces the rules of rule_intent: it adds semantic_tags to the questions.  ``own``
+    names further strategies: each adds search_text, and tags where it has any.
+    """
+    own = dict(own or {})
     names = list(dict.fromkeys(s.strip() for s in strategies if s.strip()))
     if not names:
         raise ValueError("at least one retrieval query strategy is required")
-    unknown = [s for s in names if s not in STRATEGIES]
+    unknown = [s for s in names if s not in STRATEGIES and s not in own]
     if unknown:
         raise ValueError(f"unknown retrieval query strategy: {unknown[0]}")
     no_tags = F.lit(None).cast("array<string>")
@@ -168,13 +175,15 @@ def build_queries(
     }
     parts = []
     for name in names:
-        if name == "raw":
+        if name in own:
+            built = own[name](questions)
+        elif name == "raw":
             built = intents.expand_raw(questions)
         elif name == "deterministic_expansion":
             built = intents.expand_deterministic(questions)
         else:
             if name == "rule_intent":
-                tagged = intents.semantic_intents(questions, "query")
+                tagged = detector(questions) if detector else intents.semantic_intents(questions, "query")
             else:
                 tagged = resolve_predictions(questions, store, supplied, model, refresh=refresh)
             derived = intents.derived_intents(tagged)

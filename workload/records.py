@@ -275,6 +275,26 @@ def ablated(spark, sf):
     )
 
 
+OWN_TAGS = [x for x in ti.RETRIEVAL_TAGS if x in {"device_concern", *ti.TAG_POLICY.get("device_concern", [])}]
+OWN_PHRASES = " ".join(dict.fromkeys(p for x in OWN_TAGS for p in ti.TAG_SEARCH_TERMS.get(x, [])))
+
+
+@query(
+    "Y3_own_detector_and_strategy",
+    f"""WITH questions AS ({i.VIEWS['questions']})
+        SELECT 'rule_intent' AS strategy, question_id, {sql_strip('query')} || chr(10) || chr(10) || 'Retrieval concepts: '
+               || {sql_text(OWN_PHRASES)} AS search_text, {sql_text('|'.join(OWN_TAGS))} AS intent_tags FROM questions
+        UNION ALL SELECT 'prefixed', question_id, 'about: ' || query, '' FROM questions""",
+)
+def y3(spark, sf):
+    built = ev.build_queries(
+        ["rule_intent", "prefixed"], i.questions(spark, sf),
+        detector=lambda q: q.withColumn("semantic_tags", tx.lit_array(["device_concern"])),
+        own={"prefixed": lambda q: q.withColumn("search_text", F.concat(F.lit("about: "), "query"))},
+    )
+    return built.select("strategy", "question_id", "search_text", F.array_join(F.coalesce("intent_tags", tx.lit_array([])), "|").alias("intent_tags"))
+
+
 def built_sql():
     """Questions rewritten by all strategies."""
     base = resolved_sql()
