@@ -172,3 +172,14 @@ def test_store_keeps_the_latest_entry(spark):
     assert got == {"a": ["adverse_event", "storage_concern"], "b": ["bud_question"]}
     bad = old.withColumn("input_hash", F.lit("short"))
     assert predictions.store_violations(bad).first().violations == ["input_hash length"]
+
+
+def test_work_tables_can_be_cleared(spark):
+    import os
+
+    from tracewell.session import clear_work, stored
+
+    kept = stored(spark.range(3), "kept")
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and clear_work(spark) >= 1
+    assert not os.path.exists(folder) and clear_work(spark) == 0

@@ -9,7 +9,7 @@ from tracewell.operators.summary import extract_summary
 from tracewell.operators.triage import concern_query, concern_type, refusal, risk_lane, triage
 from tracewell.plans.evaluate import ablate, compare, evaluate, summarize
 from tracewell.plans.records import batch_review, compare_records, evaluate_extraction
-from tracewell.session import build_session
+from tracewell.session import build_session, clear_work
 from tracewell.sources.chunks import read_chunks, write_chunks
 from tracewell.sources.corpus import read_corpus, section_chunks
 from tracewell.streaming.requests import start_retrieve, start_triage, triage_stream

@@ -30,6 +30,7 @@ def build_session(master: str | None = None, app: str = "tracewell", **conf) ->
 
 
 _shipped: set[str] = set()
+_work: dict[str, list[str]] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -55,7 +56,21 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _work.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Remove every work table that this application has written; results that read them end here.
+
+    Returns the number of folders.  Call it between jobs of a long session.
+    """
+    paths = _work.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
