@@ -2,7 +2,6 @@ import random
 import re
 
 from tests.llm.data import documents
-from tracewell.llm import secret_scan
 from tracewell.llm.secret_scan import ANY, RULES, Rule, scan, trigram_query, trigrams
 
 SAMPLES = [

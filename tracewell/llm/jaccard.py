@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.llm.common import broadcast_if_bounded, prepare, stored
 from tracewell.llm.components import components
@@ -63,11 +63,6 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(31)))
 
 
-def _spare(n: np.ndarray | int):
-    """How many of n shingles a linked set may lack: n - ceil(3 n / 4)."""
-    return n - (3 * n + 3) // 4
-
-
 def text_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, d1 and d2 (128-bit digest of the set), low (its shingles in the lowest SHARE of hashes)."""
     prepare(docs.sparkSession)
@@ -99,7 +94,8 @@ def text_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
-def _spare_column(n):
+def _spare(n: Column) -> Column:
+    """How many of n shingles a linked set may lack."""
     return n - F.ceil(n * 3 / 4)
 
 
@@ -111,7 +107,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
     held = single.select("d1", F.explode("low").alias("shingle")).groupBy("shingle")
     alone = held.agg(F.min("d1").alias("d1"), F.max("d1").alias("other")).where("d1 = other")
     alone = alone.groupBy("d1").agg(F.count(F.lit(1)).alias("alone"))
-    left = reps.join(alone, "d1", "left").where(F.coalesce("alone", F.lit(0)) <= _spare_column(F.col("n")))
+    left = reps.join(alone, "d1", "left").where(F.coalesce("alone", F.lit(0)) <= _spare(F.col("n")))
     return stored(left.select("rep").distinct(), "set-candidates")
 
 
@@ -147,7 +143,7 @@ def _ordered(sets: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("holders", "shingle"))).alias("ranked")
     )
     alone = F.col("n") - F.size("ranked")
-    length = _spare_column(F.col("n")) + 1 - alone
+    length = _spare(F.col("n")) + 1 - alone
     ranked = F.transform("ranked", lambda s: s["shingle"])
     return back.where(length > 0).select(
         "rep", "n", ranked.alias("ranked"), F.slice(ranked, F.lit(1), length.cast("int")).alias("prefix")
