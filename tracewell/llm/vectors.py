@@ -21,15 +21,15 @@ def usable(vector: Column) -> Column:
 
 
 def sample(vectors: DataFrame, most: int = MOST_SAMPLED) -> np.ndarray:
-    """At most ``most`` vectors of the most frequent length, the first by a hash of their content, as rows.
+    """At most ``most`` vectors of the most frequent length, the first by a hash of id and content, as rows.
 
     An empty table gives an array without rows.
     """
     length = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if length is None:
         return np.zeros((0, 0))
-    rows = vectors.where(F.size("vector") == length.n).select("vector").distinct()
-    rows = rows.orderBy(F.xxhash64("vector")).limit(most).toArrow().column("vector")
+    rows = vectors.where(F.size("vector") == length.n).orderBy(F.xxhash64(*vectors.columns), *vectors.columns)
+    rows = rows.limit(most).select("vector").toArrow().column("vector")
     return np.array(rows.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, length.n)
 
 
