@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.llm.common import broadcast_if_bounded, stored, words_of
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 HASH_BITS = 60
 
 
