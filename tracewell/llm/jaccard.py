@@ -38,6 +38,7 @@ WORDS = 5
 SHARE = 0.375
 PART = 2048
 RUN = 48
+LISTED = 1024
 
 # Odd multipliers for the places of a shingle, and of the mixing steps.
 _PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -302,14 +303,21 @@ def set_links(sets: DataFrame) -> DataFrame:
     rows = prefixes.join(labelled, "rep").select("shingle", "rep", "n", "label", "weight", "met")
     spans = rows.groupBy("shingle", "label", "weight", "met").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     mixed = spans.groupBy("shingle").agg(F.count_distinct("label").alias("labels")).where("labels > 1")
-    spans = spans.join(mixed, "shingle").select(
-        "shingle", F.col("label").alias("into"), F.col("weight").alias("into_weight"), F.col("met").alias("into_met"), "least", "most"
-    )
-    rows = rows.join(mixed, "shingle").drop("labels")
-    smaller = "(weight < into_weight or (weight = into_weight and label > into))"
-    fits = "4 * n >= 3 * least and 4 * most >= 3 * n"
-    new = "coalesce(met <> into_met, true)"
-    probes = rows.join(spans, "shingle").where(f"{smaller} and {fits} and {new}").select("rep", "into").distinct()
+    # Each set reads the components at a shingle as lists of bounded length; a component that several
+    # shingles name is one entry of the set's own list before it becomes a row.
+    piece = F.pmod(F.xxhash64("label"), F.ceil(F.col("labels") / LISTED))
+    span = F.struct("label", "weight", "met", "least", "most")
+    lists = spans.join(mixed, "shingle").groupBy("shingle", piece.alias("piece")).agg(F.collect_list(span).alias("spans"))
+    rows = rows.join(lists, "shingle")
+
+    def worth(s: Column) -> Column:
+        n, smaller = F.col("n"), (F.col("weight") < s["weight"]) | ((F.col("weight") == s["weight"]) & (F.col("label") > s["label"]))
+        fits = (4 * n >= 3 * s["least"]) & (4 * s["most"] >= 3 * n)
+        return smaller & fits & F.coalesce(F.col("met") != s["met"], F.lit(True))
+
+    rows = rows.select("rep", F.transform(F.filter("spans", worth), lambda s: s["label"]).alias("into"))
+    named = rows.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("into"))).alias("into"))
+    probes = named.select("rep", F.explode("into").alias("into"))
     probes = stored(probes, "set-probes")
     targets = probes.select(F.col("into").alias("label")).distinct()
     members = _in_parts(labelled.join(targets, "label").select("rep", "label"), "label")
