@@ -258,3 +258,34 @@ def test_dense_search_and_embedding_adapter(spark):
     assert [(r.chunk_id, round(r.score, 6)) for r in found] == [("a", 1.0), ("b", 0.707107)]
     with pytest.raises(ValueError, match="dimensions"):
         dense_search(spark.createDataFrame([("q", [1.0])], "query_id string, vector array<double>"), vectors, 2)
+
+
+@pytest.mark.parametrize("limit", [search.BROADCAST_BYTES, 300])
+def test_totals_over_all_candidates(queries, chunks, buckets, monkeypatch, limit):
+    monkeypatch.setattr(search, "BROADCAST_BYTES", limit)  # small: several blocks of queries
+    monkeypatch.setattr(kernel, "SLICE_CELLS", 3)
+    found = {r.query_id: list(r)[1:] for r in search.candidate_totals(queries, chunks, dims=16).collect()}
+    want = {}
+    for q in QUERIES:
+        pairs = [p for p in ((keyword(q, c)[0], cosine(q, c, buckets)) for c in TEXTS) if max(p) > 0]
+        if pairs:
+            first, second = zip(*pairs)
+            want[q] = [len(pairs), max(first), max(second), sum(first), sum(second)]
+    assert found.keys() == want.keys()
+    for q in want:
+        assert found[q] == pytest.approx(want[q])
+    found = {r.chunk_id: tuple(r)[1:] for r in search.keyword_totals(queries, chunks).collect()}
+    scored = {c: [s for s in (keyword(q, c)[0] for q in QUERIES) if s] for c in TEXTS}
+    assert found == {c: (len(s), sum(s), max(s)) for c, s in scored.items() if s}
+
+
+@pytest.mark.parametrize("name", ["J3_W2_hybrid_candidates", "A2_keyword_score"])
+def test_registered_totals_pass_rank_20(spark, tmp_path, name):
+    from workload import retrieval  # noqa: F401
+    from workload.registry import QUERIES as registered
+
+    docs = [(n, f"pen dose {n}\nline", "en", "src1", 10) for n in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "pen dose")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = registered[name](spark, str(tmp_path)).collect()
+    assert sum(r.candidates if name.startswith("J3") else r.queries for r in rows) == 60

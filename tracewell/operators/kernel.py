@@ -2,7 +2,8 @@
 
 Spark counts terms and buckets inside each chunk row and partitions the work; a task turns its
 batches into score matrices, keeps the best k chunks per query over all of them and returns those
-once at its end.  Neither chunk rows nor query-chunk pairs are ever shuffled.
+once at its end.  Neither chunk rows nor query-chunk pairs are ever shuffled.  Sums over all candidates are
+added up in the same matrices: per query over the task, or per chunk over the block.
 """
 
 from __future__ import annotations
@@ -264,5 +265,48 @@ def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)
     return score
 
 
+def totals(shipped, by: str):
+    """Function for ``mapInArrow``: sums over all candidates, added up without making rows of them.
+
+    ``by`` query: one row per query and task over the chunks with either score; ``by`` chunk: one row per chunk
+    over the queries of the block with a keyword score.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: QueryBlock = shipped.value
+        count = np.zeros(len(block.ids), np.int64)
+        best, total = np.full((len(block.ids), 2), -np.inf), np.zeros((len(block.ids), 2))
+        for whole in batches:
+            for part in _slices(whole, block):
+                cell, share, _ = term_matches(part, block)
+                keyword = keyword_scores(cell, share, (len(block.ids), part.num_rows))
+                if by == "chunk":
+                    hits = (keyword > 0).sum(axis=0)
+                    found = np.flatnonzero(hits)
+                    yield pa.record_batch(
+                        [
+                            part.column("chunk_id").take(pa.array(found)), pa.array(hits[found].astype(np.int64)),
+                            pa.array(keyword.sum(axis=0)[found]), pa.array(keyword.max(axis=0)[found]),
+                        ],
+                        names=["chunk_id", "queries", "total", "best"],
+                    )
+                    continue
+                vector = vector_scores(part, block)
+                either = (keyword > 0) | (vector > 0)
+                count += either.sum(axis=1)
+                for n, scores in enumerate((keyword, vector)):
+                    best[:, n] = np.maximum(best[:, n], np.where(either, scores, -np.inf).max(axis=1))
+                    total[:, n] += np.where(either, scores, 0).sum(axis=1)
+        if by == "query":
+            found = np.flatnonzero(count)
+            yield pa.record_batch(
+                [block.ids.take(pa.array(found)), pa.array(count[found])]
+                + [pa.array(values[found, n]) for values in (best, total) for n in (0, 1)],
+                names=["query_id", "candidates", "best_keyword", "best_vector", "keyword_total", "vector_total"],
+            )
+
+    return add
+
+
 def _share(scores: np.ndarray, top: np.ndarray) -> np.ndarray:
     return np.divide(scores, top[:, None], out=np.zeros_like(scores), where=top[:, None] > 0)

@@ -10,6 +10,9 @@ Plan shape, the same for all scorers and sizes:
    against it and returns k rows per query once, the rows are written, the broadcast is released;
 4. only those rows are shuffled for the final rank, and the winners are joined back to the chunks.
 
+Sums over all candidates (``candidate_totals``, ``keyword_totals``) run the same blocks; the kernel adds them up
+and returns one row per query and task, or per chunk and block, which Spark groups.
+
 No step groups by a term or any other value of the data, so a term held by a third of all chunks
 is spread over all tasks, and query-chunk pairs never become rows.
 """
@@ -21,7 +24,7 @@ from math import ceil
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.operators.kernel import collect_block, collect_vectors, scorer
+from tracewell.operators.kernel import collect_block, collect_vectors, scorer, totals
 from tracewell.operators.ranking import check_top_k, hybrid_weights, top_k
 from tracewell.operators.terms import chunk_features, invalid_queries, query_features
 from tracewell.session import BROADCAST_BYTES, broadcast_if_bounded, measured, ship_package, stored, work_folder
@@ -80,6 +83,67 @@ def best_rows(
     return spark.read.schema(schema).parquet(path)
 
 
+def _added_up(asked: DataFrame, features: DataFrame, by: str, columns: str, dims: int = 0) -> DataFrame:
+    """The rows of ``kernel.totals`` over all blocks of ``asked``, written to the work folder."""
+    spark = asked.sparkSession
+    ship_package(spark)
+    key, side = ("query_id", asked) if by == "query" else ("chunk_id", features)
+    schema = f"{key} {_type(side, key)}, {columns}"
+    asked = stored(asked, "asked")
+    _, size = measured(asked)
+    blocks = max(1, ceil(size / BROADCAST_BYTES))
+    if blocks > 1:
+        features = stored(features, "features")
+    number = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
+    collect = collect_block if "terms" in asked.columns else collect_vectors
+    path = work_folder(spark, "totals")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for b in range(blocks):
+        block = collect(asked.filter(number == b), dims)
+        if not len(block.ids):
+            continue
+        shipped = spark.sparkContext.broadcast(block)
+        features.mapInArrow(totals(shipped, by), schema).write.mode("append").parquet(path)
+        shipped.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
+def candidate_totals(
+    queries: DataFrame,
+    chunks: DataFrame,
+    source_type: str | None = None,
+    dims: int = 128,
+    index: DataFrame | None = None,
+    buckets: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
+) -> DataFrame:
+    """query_id, candidates, best_keyword, best_vector, keyword_total, vector_total of each query with a candidate.
+
+    All candidates of ``hybrid_search`` count, the chunks with either score; the bests are its normalisers.
+    """
+    asked, features, dims = _features(queries, chunks, dims, index, buckets, vectors, query_vectors)
+    columns = "candidates long, best_keyword double, best_vector double, keyword_total double, vector_total double"
+    found = _added_up(asked, _by_source(features, source_type), "query", columns, dims)
+    return found.groupBy("query_id").agg(
+        F.sum("candidates").alias("candidates"),
+        *(F.max(c).alias(c) for c in ("best_keyword", "best_vector")),
+        *(F.sum(c).alias(c) for c in ("keyword_total", "vector_total")),
+    )
+
+
+def keyword_totals(
+    queries: DataFrame, chunks: DataFrame, source_type: str | None = None, index: DataFrame | None = None
+) -> DataFrame:
+    """chunk_id, queries, total, best: over all queries that share a term with the chunk."""
+    features = _by_source(chunk_features(chunks) if index is None else index, source_type)
+    columns = "queries long, total double, best double"
+    found = _added_up(query_features(queries), features.select("chunk_id", "terms"), "chunk", columns)
+    return found.groupBy("chunk_id").agg(
+        F.sum("queries").alias("queries"), F.sum("total").alias("total"), F.max("best").alias("best")
+    )
+
+
 def keyword_winners(
     queries: DataFrame, chunks: DataFrame, k: int = 5, source_type: str | None = None, index: DataFrame | None = None
 ) -> DataFrame:

@@ -7,9 +7,10 @@ from tracewell.operators import metrics
 from tracewell.operators.dense import dense_search
 from tracewell.operators.ranking import source_ranks, top_k
 from tracewell.operators.search import (
+    candidate_totals,
     hybrid_search,
     keyword_search,
-    keyword_winners,
+    keyword_totals,
     vector_search,
 )
 from tracewell.operators.terms import chunk_terms, chunk_vectors, invalid_queries, query_terms
@@ -102,20 +103,21 @@ def k3_vectors(spark, sf):
 @query(
     "J3_W2_hybrid_candidates",
     with_views(
-        ["hybrid_scored"],
-        f"""SELECT query_id, rank, chunk_id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score,
-                   round(score, 6) AS score
-            FROM (SELECT *, {RANK} AS rank FROM hybrid_scored) WHERE rank <= 20""",
+        ["hybrid_pairs"],
+        """SELECT query_id, count(*) AS candidates, round(max(keyword_score), 6) AS best_keyword,
+                  round(max(vector_score), 6) AS best_vector, round(sum(keyword_score), 2) AS keyword_total,
+                  round(sum(vector_score), 2) AS vector_total
+           FROM hybrid_pairs GROUP BY ALL""",
     ),
 )
 def j3(spark, sf):
-    """Both raw scores and the normalised sum of the candidates of either scorer."""
-    found = hybrid_search(i.queries(spark, sf), i.chunks(spark, sf), 20)
+    """All candidates of either scorer: their number, the best scores that normalise them, and the sums."""
+    found = candidate_totals(i.queries(spark, sf), i.chunks(spark, sf))
     return found.select(
         "query_id",
-        F.col("rank").cast("long").alias("rank"),
-        "chunk_id",
-        *(F.round(c, 6).alias(c) for c in ("keyword_score", "vector_score", "score")),
+        "candidates",
+        *(F.round(c, 6).alias(c) for c in ("best_keyword", "best_vector")),
+        *(F.round(c, 2).alias(c) for c in ("keyword_total", "vector_total")),
     )
 
 
@@ -158,12 +160,13 @@ def a1_queries(spark, sf):
     "A2_keyword_score",
     with_views(
         ["keyword_pairs"],
-        f"""SELECT query_id, chunk_id, score FROM (SELECT *, {RANK} AS rank FROM keyword_pairs) WHERE rank <= 20""",
+        """SELECT chunk_id, count(*) AS queries, sum(score) AS total, max(score) AS best
+           FROM keyword_pairs GROUP BY ALL""",
     ),
 )
 def a2(spark, sf):
-    found = keyword_winners(i.queries(spark, sf), i.chunks(spark, sf), 20)
-    return found.select("query_id", "chunk_id", "score")
+    """Every pair that shares a term, added up per chunk."""
+    return keyword_totals(i.queries(spark, sf), i.chunks(spark, sf))
 
 
 @query(
