@@ -224,3 +224,13 @@ def test_top_k_is_refused_not_lowered():
     assert check_top_k(5, 20) == 5
     with pytest.raises(ValueError, match="at most"):
         check_top_k(21, 20)
+
+
+def test_registered_text_functions_read_past_the_first_line(spark, tmp_path):
+    from workload import rules  # noqa: F401
+    from workload.registry import QUERIES as registered
+
+    docs = [(1, "Same head\none tail", "s"), (2, "Same head\nother tail", "s"), (3, "same HEAD one-tail", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    term = {r.doc_id: r.term for r in registered["F3_F4_F10_text_functions"](spark, str(tmp_path)).collect()}
+    assert term[1] != term[2] and term[1] == term[3]

@@ -200,7 +200,7 @@ def f5(spark, sf):
 @query(
     "F3_F4_F10_text_functions",
     rf"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS spaced,
-        trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '_', 'g'), '_') AS term,
+        md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_')) AS term,
         regexp_replace(lower({sql_strip('source')}), '[\s\-_]+', '_', 'g') AS token,
         sha256({sql_strip('text')}) AS hash FROM documents""",
 )
@@ -208,7 +208,7 @@ def f34(spark, sf):
     return i.load(spark, sf, "documents").select(
         "doc_id",
         F.md5(tx.normalize_space(F.col("text"))).alias("spaced"),
-        tx.normalize_term(F.substring_index("text", "\n", 1)).alias("term"),
+        F.md5(tx.normalize_term(F.col("text"))).alias("term"),
         tx.normalize_token(F.col("source")).alias("token"),
         tx.text_sha256(F.col("text")).alias("hash"),
     )
