@@ -72,3 +72,9 @@ def test_edges(spark):
     assert out.columns == [*docs.columns, "secret_spans"] and out.count() == docs.count()
     assert all(r.secret_spans == [] for r in out.where("text is null or text = ''").collect())
     assert scan(docs.limit(0)).collect() == []
+
+
+def test_logins_of_any_length(spark):
+    text = "x https://" + "u" * 100 + ":" + "p" * 93 + "@host/path y"
+    rows = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert ("url_login", 2, text.index("@") + 1) in [tuple(s) for s in rows[0].secret_spans]

@@ -57,7 +57,7 @@ MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{16,}=*", ignore_case=True),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{0,15}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{0,15}://[^\s:/@]+:[^\s:/@]{3,}@"),
 )
 RULES = BASE + MORE
 
