@@ -126,3 +126,21 @@ def test_ball_is_whole():
         for code in codes[:20]:
             want = np.flatnonzero(np.bitwise_count(codes ^ code).sum(axis=1) <= radius)
             assert (index.ball(code, radius) == want).all()
+
+
+def test_every_length_is_compared_with_itself(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16)], 0) for i in range(30)]
+    base = rng.normal(size=5)
+    near = [[float(np.float32(x)) for x in base * (1 + 0.01 * i)] for i in range(1, 5)]
+    near = [[v[0] + 0.001 * i, *v[1:]] for i, v in enumerate(near)]
+    rows += [(100 + i, v, 0) for i, v in enumerate(near)] + [(200, [1.0], 0), (201, [2.0], 0)]
+    out = {r.vec_id: r for r in neardup_vectors.near_duplicates(table(spark, rows)).collect()}
+    assert len(out) == len(rows)
+    assert [(out[100 + i].n_links, out[100 + i].component_id) for i in range(4)] == [(3, 100)] * 4
+    assert [(out[i].n_links, out[i].component_id) for i in (200, 201)] == [(1, 200)] * 2
+    df = table(spark, rows)
+    found = ann.nearest(df, df, 3).collect()
+    short = {(r.query_id, r.vec_id) for r in found if 100 <= r.query_id < 200}
+    assert short == {(100 + i, 100 + j) for i in range(4) for j in range(4) if i != j}
+    assert {(r.query_id, r.rank, r.vec_id) for r in found if r.query_id >= 200} == {(200, 1, 201), (201, 1, 200)}

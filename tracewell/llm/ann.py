@@ -8,11 +8,12 @@ found are kept by their whole Hamming distance and ranked by the distance of the
 radius is learned too: it covers RECALL of the true neighbours inside the sample, where neighbours are farther apart
 than among all rows. A shard with fewer than k codes in the ball widens it until it has k or all.
 
-Every row is indexed. Rows are hashed into shards of about SHARD vectors and queries into blocks of about
-BLOCK; each pair of shard and block is one task of bounded size that returns k rows per query.
+Every row is indexed. Vectors of each length have their own coder and are compared among themselves. Rows of a
+length are hashed into shards of about SHARD vectors and queries into blocks of about BLOCK; each pair of shard and block is one task of bounded size that returns k rows per query.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, null ids and
-vectors of another length than most take no part, neither as queries nor as candidates; rows with the
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components and null ids
+take no part, neither as queries nor as candidates; an id that has queries of several lengths is ranked for
+each of them; a query without candidates of its length has no rows; rows with the
 query's id are no candidates; equal distances go to the smaller id; repeated rows are ranked as often as
 they occur; an empty table gives an empty result; further columns are ignored.
 """
@@ -23,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.llm.common import prepare, stored
-from tracewell.llm.vectors import principal_axes, sample, usable
+from tracewell.llm.vectors import lengths, principal_axes, sample, usable
 
 K = 10
 SUBSTRING = 8
@@ -110,7 +111,7 @@ def _search(left: pa.Table, right: pa.Table, coder: Coder, k: int) -> pa.Table:
         flat = np.array(table.column("vector").combine_chunks().flatten(), np.float64)
         return table.column("id").to_numpy(), flat.reshape(-1, width)
 
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+    out: dict[str, list] = {"query_id": [], "width": [], "vec_id": [], "score": []}
     if left.num_rows and right.num_rows:
         (ids, vectors), (query_ids, queries) = rows(left), rows(right)
         index, codes = MultiIndex(coder.codes(vectors)), coder.codes(queries)
@@ -120,9 +121,10 @@ def _search(left: pa.Table, right: pa.Table, coder: Coder, k: int) -> pa.Table:
             score = _distances(vectors[found], query)
             best = np.lexsort((ids[found], score))[:k]
             out["query_id"] += [q] * len(best)
+            out["width"] += [width] * len(best)
             out["vec_id"] += ids[found[best]].tolist()
             out["score"] += score[best].tolist()
-    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+    kinds = {"query_id": pa.int64(), "width": pa.int32(), "vec_id": pa.int64(), "score": pa.float64()}
     return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()})
 
 
@@ -140,22 +142,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         )
 
     good = clean(vectors)
-    coder = learn_coder(sample(good), k)
-    fits = F.size("vector") == len(coder.mean)
-    good, asked = good.where(fits), clean(queries).where(fits).dropDuplicates(["id"])
-    shards = max(1, -(-good.count() // SHARD))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    left = good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).select("*", every_block)
-    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("*", every_shard)
-    shipped = vectors.sparkSession.sparkContext.broadcast(coder)
+    held = lengths(good)
+    shipped = vectors.sparkSession.sparkContext.broadcast({n: learn_coder(sample(good, n), k) for n in held})
+    asked = clean(queries).where(F.size("vector").isin(list(held)))
+    asked = asked.withColumn("width", F.size("vector")).dropDuplicates(["id", "width"])
+
+    def parts(counts: dict[int, int], most: int) -> Column:
+        """The number of parts of about ``most`` rows that the rows of a length are cut into."""
+        out = F.lit(1)
+        for n, rows in counts.items():
+            out = F.when(F.col("width") == n, -(-rows // most)).otherwise(out)
+        return out
+
+    shards, blocks = parts(held, SHARD), parts(lengths(asked), BLOCK)
+    every_shard = F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard")
+    every_block = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    left = good.withColumn("width", F.size("vector"))
+    left = left.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int")).select("*", every_block)
+    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select("*", every_shard)
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _search(a, b, shipped.value, k)
+        width = (a if a.num_rows else b).column("width")[0].as_py()
+        return _search(a, b, shipped.value[width], k)
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
-    found = stored(found.applyInArrow(search, "query_id long, vec_id long, score double"), "nearest")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    keys = ["width", "shard", "block"]
+    found = left.groupBy(keys).cogroup(right.groupBy(keys))
+    found = stored(found.applyInArrow(search, "query_id long, width int, vec_id long, score double"), "nearest")
+    order = Window.partitionBy("query_id", "width").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

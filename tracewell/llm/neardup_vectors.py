@@ -2,7 +2,7 @@
 
 Unit vectors are rotated so that the axes of largest spread come first. Links at a cosine of ``least``
 are no farther apart than a chord, so vectors are laid into cells of that width along the first two axes
-and only equal and neighbouring cells are compared. Cells are cut into tiles of at most about TILE vectors;
+of their length (each length has its own axes) and only equal and neighbouring cells are compared. Cells are cut into tiles of at most about TILE vectors;
 a pair of tiles is one unit of work of bounded size. Inside it products are accumulated over the leading
 dimensions first; what the rest can add is at most the product of the norms of the rests, and pairs that cannot
 reach ``least`` any more are left. Products near the threshold are taken again from the original vectors.
@@ -10,8 +10,8 @@ reach ``least`` any more are left. Products near the threshold are taken again f
 Equal vectors are compared once and counted by their number. A unit of work returns for each vector its number
 of links and one edge of a spanning forest, never the pairs.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, rows with a null label
-and vectors of another length than most link with nothing; every input row gives one row; rows with equal id
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components and rows with a null label
+link with nothing; vectors of different lengths never link with each other; every input row gives one row; rows with equal id
 are counted as two vectors; a null id is never a component's id and its rows link with nothing; an empty
 table gives an empty result; columns beyond vec_id, embedding and label are ignored.
 """
@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import broadcast_if_bounded, prepare, stored
 from tracewell.llm.components import components
-from tracewell.llm.vectors import principal_axes, sample, usable
+from tracewell.llm.vectors import lengths, principal_axes, sample, usable
 
 LEAST = 0.93
 TILE = 2048
@@ -95,13 +96,15 @@ def _forest(n: int, at: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 def _units(tiles: DataFrame) -> DataFrame:
     """Pairs of tiles to compare: equal cells and neighbours, each once. Lists of tiles only, no vectors."""
-    tile = F.struct("label", "x", "y", "sub")
+    tile = F.struct("label", "width", "x", "y", "sub")
     near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    ends = tiles.select("label", "x", "y", "sub", F.explode(near).alias("to")).select(
-        "label", (F.col("x") + F.col("to.i")).alias("x"), (F.col("y") + F.col("to.j")).alias("y"), tile.alias("one")
+    ends = tiles.select("label", "width", "x", "y", "sub", F.explode(near).alias("to")).select(
+        "label", "width", (F.col("x") + F.col("to.i")).alias("x"), (F.col("y") + F.col("to.j")).alias("y"), tile.alias("one")
     )
-    both = ends.join(tiles.select("label", "x", "y", F.col("sub").alias("other")), ["label", "x", "y"])
-    other = F.struct("label", "x", "y", F.col("other").alias("sub"))
+    both = ends.join(
+        tiles.select("label", "width", "x", "y", F.col("sub").alias("other")), ["label", "width", "x", "y"]
+    )
+    other = F.struct("label", "width", "x", "y", F.col("other").alias("sub"))
     return both.select("one", other.alias("two")).where("one <= two")
 
 
@@ -109,54 +112,59 @@ def vector_links(vectors: DataFrame, least: float = LEAST) -> tuple[DataFrame, D
     """(links, edges) of distinct vectors (rep, label, vector, copies): rep, n_links; and a, b."""
     spark = vectors.sparkSession
     prepare(spark)
-    rows = sample(vectors)
-    width = rows.shape[1]
-    norms = np.sqrt((rows * rows).sum(axis=1))[:, None]
-    axes = principal_axes(rows / norms, False)[1] if len(rows) else np.zeros((0, 0))
+    axes = {}
+    for width in lengths(vectors):
+        rows = sample(vectors, width)
+        axes[width] = principal_axes(rows / np.sqrt((rows * rows).sum(axis=1))[:, None], False)[1]
     reach = math.sqrt(2 * (1 - least)) + CLOSE
     shipped = spark.sparkContext.broadcast(axes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = np.array(batch.column("vector").flatten(), np.float64).reshape(-1, width)
-            lead = (raw / np.sqrt((raw * raw).sum(axis=1))[:, None]) @ shipped.value[:, :2]
-            cells = np.floor(lead / reach).astype(np.int32) if len(raw) else np.zeros((0, 2), np.int32)
-            x, y = cells[:, 0], cells[:, 1] if cells.shape[1] > 1 else np.zeros(len(cells), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(x.copy()), pa.array(y.copy())], names=[*batch.schema.names, "x", "y"]
-            )
-
-    one_length = vectors.where(F.size("vector") == width).select(
+        for whole in batches:
+            sizes = pc.list_value_length(whole.column("vector")).to_numpy(zero_copy_only=False)
+            for width in np.unique(sizes).tolist():
+                batch = whole.filter(pa.array(sizes == width))
+                raw = np.array(batch.column("vector").flatten(), np.float64).reshape(-1, width)
+                lead = (raw / np.sqrt((raw * raw).sum(axis=1))[:, None]) @ shipped.value[width][:, :2]
+                cells = np.floor(lead / reach).astype(np.int32)
+                x, y = cells[:, 0], cells[:, 1] if cells.shape[1] > 1 else np.zeros(len(cells), np.int32)
+                own = pa.array(np.full(len(raw), width, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, own, pa.array(x.copy()), pa.array(y.copy())],
+                    names=[*batch.schema.names, "width", "x", "y"],
+                )
+
+    doubles = vectors.select(
         "rep", "label", F.transform("vector", lambda v: v.cast("double")).alias("vector"), "copies"
     )
-    placed = one_length.mapInArrow(place, "rep long, label int, vector array<double>, copies long, x int, y int")
-    placed = stored(placed, "placed-vectors")
-    counts = placed.groupBy("label", "x", "y").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("subs"))
-    cut = placed.join(broadcast_if_bounded(counts), ["label", "x", "y"])
+    kind = "rep long, label int, vector array<double>, copies long, width int, x int, y int"
+    placed = stored(doubles.mapInArrow(place, kind), "placed-vectors")
+    counts = placed.groupBy("label", "width", "x", "y").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("subs"))
+    cut = placed.join(broadcast_if_bounded(counts), ["label", "width", "x", "y"])
     cut = cut.withColumn("sub", F.pmod(F.xxhash64("rep"), "subs")).drop("subs")
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.take(pa.array(np.argsort(group.column("rep").to_numpy(), kind="stable")))
-        first = group.slice(0, 1).select(["label", "x", "y", "sub"]).to_pylist()[0]
+        first = group.slice(0, 1).select(["label", "width", "x", "y", "sub"]).to_pylist()[0]
         raw = np.array(group.column("vector").combine_chunks().flatten(), np.float64)
         row = first | {n: group.column(n).to_numpy().tobytes() for n in ("rep", "copies")} | {"raw": raw.tobytes()}
-        kinds = [("label", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("sub", pa.int64())]
+        kinds = [("label", pa.int32()), ("width", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("sub", pa.int64())]
         return pa.Table.from_pylist([row], schema=pa.schema(kinds + [(n, pa.binary()) for n in ("rep", "copies", "raw")]))
 
-    kind = "label int, x int, y int, sub long, rep binary, copies binary, raw binary"
-    tiles = stored(cut.groupBy("label", "x", "y", "sub").applyInArrow(pack, kind), "vector-tiles")
-    tile = F.struct("label", "x", "y", "sub")
+    kind = "label int, width int, x int, y int, sub long, rep binary, copies binary, raw binary"
+    tiles = stored(cut.groupBy("label", "width", "x", "y", "sub").applyInArrow(pack, kind), "vector-tiles")
+    tile = F.struct("label", "width", "x", "y", "sub")
     blob = tiles.select(tile.alias("tile"), F.struct("rep", "copies", "raw").alias("blob"))
-    units = _units(tiles.select("label", "x", "y", "sub"))
+    units = _units(tiles.select("label", "width", "x", "y", "sub"))
     units = units.join(blob.select(F.col("tile").alias("one"), F.col("blob").alias("a")), "one")
     units = units.join(blob.select(F.col("tile").alias("two"), F.col("blob").alias("b")), "two")
-    units = units.select((F.col("one") == F.col("two")).alias("same"), "a", "b")
+    units = units.select((F.col("one") == F.col("two")).alias("same"), F.col("one.width").alias("width"), "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 unit = batch.slice(k, 1).to_pylist()[0]
-                yield _compare(unit, shipped.value, least)
+                yield _compare(unit, shipped.value[unit["width"]], least)
 
     found = stored(units.mapInArrow(compare, "rep long, n_links long, root long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))

@@ -20,17 +20,17 @@ def usable(vector: Column) -> Column:
     )
 
 
-def sample(vectors: DataFrame, most: int = MOST_SAMPLED) -> np.ndarray:
-    """At most ``most`` vectors of the most frequent length, the first by a hash of id and content, as rows.
+def lengths(vectors: DataFrame) -> dict[int, int]:
+    """The number of vectors of each length."""
+    found = vectors.groupBy(F.size("vector").alias("n")).count().collect()
+    return {r["n"]: r["count"] for r in sorted(found)}
 
-    An empty table gives an array without rows.
-    """
-    length = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if length is None:
-        return np.zeros((0, 0))
-    rows = vectors.where(F.size("vector") == length.n).orderBy(F.xxhash64(*vectors.columns), *vectors.columns)
+
+def sample(vectors: DataFrame, length: int, most: int = MOST_SAMPLED) -> np.ndarray:
+    """At most ``most`` vectors of this length, the first by a hash of id and content, as rows."""
+    rows = vectors.where(F.size("vector") == length).orderBy(F.xxhash64(*vectors.columns), *vectors.columns)
     rows = rows.limit(most).select("vector").toArrow().column("vector")
-    return np.array(rows.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, length.n)
+    return np.array(rows.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, length)
 
 
 def principal_axes(rows: np.ndarray, centred: bool) -> tuple[np.ndarray, np.ndarray]:
