@@ -67,3 +67,13 @@ def test_edges(spark, labelled):
     assert {r.toxic_score for r in toxicity.score(own, one_kind).collect()} == {1.0}
     odd = labels.union(labels.selectExpr("cast(null as long)", "toxic")).union(labels.selectExpr("doc_id", "cast(null as int)"))
     assert toxicity.learn(docs, odd) == model
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+@pytest.mark.parametrize("fold", [0, 3])
+def test_a_fold_with_one_kind_is_no_reason_to_give_up(spark, labelled, fold, kind):
+    docs, labels, truth = labelled
+    some = labels.where(f"not (crc32(string(doc_id)) % 4 = {fold} and toxic = {kind})")
+    rows = [r for r in toxicity.score(docs, toxicity.learn(docs, some)).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    hits = sum(r.toxic_predicted and truth[r.doc_id] for r in rows)
+    assert hits / sum(r.toxic_predicted for r in rows) > 0.9 and hits / sum(truth[r.doc_id] for r in rows) > 0.9

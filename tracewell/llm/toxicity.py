@@ -5,7 +5,8 @@ dictionary holds the words that most ordinary documents use; the other holds the
 the words that toxic documents use and ordinary ones do not. A window that gets shorter with the second
 dictionary speaks for toxicity. Hashed words keep chance matches inside words out of the lengths: a
 window without such words has the same length under both. How far windows shrink is turned into a
-probability by logistic calibration on labelled documents that the dictionaries have not seen.
+probability by logistic calibration on labelled documents that the dictionaries have not seen: each learnable fold
+is measured with dictionaries of the other ones, and the dictionaries that score are those of all of them.
 
 Learning reads a sample of at most MOST_LABELLED labelled documents, the first by a hash of the id; its
 counts are grouped by Spark and only the dictionaries' words and the calibration's few numbers reach the
@@ -37,7 +38,7 @@ LEAST_SHARE = 0.01
 LEAST_RATIO = 20
 THRESHOLD = 0.3
 HELD_OUT = 2
-CALIBRATE = 3
+LEARNABLE = (0, 1, 3)
 
 
 @dataclass(frozen=True)
@@ -116,48 +117,60 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # Fixed names, so that clashing columns of the inputs play no part.
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    texts = stored(texts.withColumn("fit", fold(F.col("doc_id")) != CALIBRATE), "toxic-sample")
+    texts = stored(texts.withColumn("fold", fold(F.col("doc_id")).cast("int")), "toxic-sample")
+    found = texts.groupBy("fold").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    sizes = {f: (0, 0) for f in LEARNABLE} | {r.fold: (r.t, r.n - r.t) for r in found}
+    n_toxic, n_other = (sum(size[kind] for size in sizes.values()) for kind in (0, 1))
+    if not n_toxic or not n_other:
+        return Model(b"", b"", (), n_toxic / (n_toxic + n_other) if n_toxic else 0.0)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, toxic = [], []
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            codes, toxic, folds = [], [], []
+            for text, label, own in zip(*(batch.column(n).to_pylist() for n in ("text", "toxic", "fold"))):
                 found = set(word_codes(text))
                 codes += found
                 toxic += [label] * len(found)
+                folds += [own] * len(found)
             code = np.frombuffer(b"".join(codes), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(toxic, pa.int64())], names=["code", "toxic"])
-
-    fit = texts.where("fit")
-    n_all, n_toxic = fit.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not 0 < n_toxic < n_all:
-        return Model(b"", b"", (), n_toxic / n_all if n_all else 0.0)
-    counts = fit.select("text", "toxic").mapInArrow(words, "code long, toxic long").groupBy("code")
-    counts = stored(counts.agg(F.sum("toxic").alias("t"), (F.count(F.lit(1)) - F.sum("toxic")).alias("o")), "toxic-words")
-    n_other = n_all - n_toxic
-    telling = counts.where(
-        (F.col("t") >= max(3, LEAST_SHARE * n_toxic)) & (F.col("t") * n_other > LEAST_RATIO * F.col("o") * n_toxic)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code), pa.array(toxic, pa.int64()), pa.array(folds, pa.int32())], names=["code", "toxic", "fold"]
+            )
+
+    counts = texts.select("text", "toxic", "fold").mapInArrow(words, "code long, toxic long, fold int").groupBy("code")
+    marks = {"t": F.col("toxic"), "o": 1 - F.col("toxic")}
+    counts = counts.agg(
+        *(F.sum(F.when(F.col("fold") == f, m).otherwise(0)).alias(f"{n}{f}") for f in LEARNABLE for n, m in marks.items())
     )
+    counts = stored(counts, "toxic-words")
 
     def content(rows: DataFrame, by: str, most: int) -> bytes:
         found = [r.code for r in rows.orderBy(F.desc(by), "code").limit(most).collect()]
         return np.array(found[::-1], "<i8").tobytes()
 
-    model = Model(content(counts.where("o > 0"), "o", ORDINARY_WORDS), content(telling, "t", TOXIC_WORDS), (), 0.0)
-    shipped = spark.sparkContext.broadcast(model)
+    def dictionaries(left_out: int | None = None) -> Model:
+        kept = [f for f in LEARNABLE if f != left_out]
+        toxic, other = (sum(sizes[f][kind] for f in kept) for kind in (0, 1))
+        rows = counts.selectExpr("code", *(" + ".join(f"{n}{f}" for f in kept) + f" as {n}" for n in marks))
+        telling = rows.where(
+            (F.col("t") >= max(3, LEAST_SHARE * toxic)) & (F.col("t") * other > LEAST_RATIO * F.col("o") * toxic)
+        )
+        return Model(content(rows.where("o > 0"), "o", ORDINARY_WORDS), content(telling, "t", TOXIC_WORDS), (), 0.0)
+
+    shipped = spark.sparkContext.broadcast({f: dictionaries(f) for f in LEARNABLE})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = _Meter(shipped.value)
+        meters = {f: _Meter(model) for f, model in shipped.value.items()}
         for batch in batches:
-            rows = [meter.features(t) for t in batch.column("text").to_pylist()]
+            pairs = zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())
+            rows = [meters[f].features(t) for t, f in pairs]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["row", "toxic"]
             )
 
-    seen = texts.where("not fit").select("text", "toxic").mapInArrow(measure, "row array<double>, toxic long").toPandas()
-    if seen.empty or seen.toxic.nunique() < 2:
-        return Model(model.ordinary, model.toxic, (), n_toxic / n_all)
+    seen = texts.select("text", "toxic", "fold").mapInArrow(measure, "row array<double>, toxic long").toPandas()
     weights = _logistic(np.stack(seen.row.to_list()), seen.toxic.to_numpy(float))
+    model = dictionaries()
     return Model(model.ordinary, model.toxic, tuple(weights.tolist()), 0.0)
 
 
