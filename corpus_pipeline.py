@@ -28,7 +28,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts, that with the smallest id; repeated rows of it become one."""
+    """One document of each component of similar texts, that with the smallest id.
+
+    Rows that agree in id and text become one. Rows with one id and different texts count as one document: they all
+    stay, or all go when any of their texts is similar to that of a smaller id. Rows with a null id all stay.
+    """
     found = jaccard.jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     rest = docs.join(broadcast_if_bounded(found), docs.doc_id == F.col("gone"), "left_anti")
     repeated = rest.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -36,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = broadcast_if_bounded(repeated)
     single = rest.join(again, rest.doc_id == F.col("again"), "left_anti")
     several = rest.join(again, rest.doc_id == F.col("again"), "left_semi")
-    first = several.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    first = several.groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return single.unionByName(first).select(docs.columns)
 
 

@@ -77,3 +77,10 @@ def test_empty_documents(spark, folder, name):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     out = dict(corpus_pipeline.STAGES)[name](spark, docs, folder)
     assert out.collect() == [] and (name == "byte_bpe" or out.columns == docs.columns)
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    texts = [(1, prose(1, 40)), (1, prose(2, 40)), (1, prose(2, 40)), (2, prose(3, 40)), (3, None), (3, None), (3, prose(4, 40))]
+    docs = spark.createDataFrame([(d, t, "en", "s0", 0) for d, t in texts], KIND)
+    found = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(set(texts))
