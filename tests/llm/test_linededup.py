@@ -66,3 +66,16 @@ def test_random_lines_and_hot_line(spark):
     out = linededup.dedup_lines(docs).collect()
     assert in_order((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out) == in_order(brute(rows))
     assert linededup.dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_shards_follow_the_lines(spark, monkeypatch):
+    rows = [(i, "\n".join(f"a line with number {k}" for k in range(i, i + 20))) for i in range(0, 400, 10)] + [(999, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert linededup.measured_lines(docs) == (41, 800)
+    seen, index = [], linededup.line_index
+    monkeypatch.setattr(linededup, "line_index", lambda d, shards, *more: seen.append(shards) or index(d, shards, *more))
+    for most in (linededup.SHARD_LINES, 10):
+        monkeypatch.setattr(linededup, "SHARD_LINES", most)
+        out = linededup.dedup_lines(docs).collect()
+        assert in_order((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out) == in_order(brute(rows))
+    assert seen == [4, 80]

@@ -4,6 +4,7 @@ Build: every distinct line hash (128 bits) of the corpus goes, pre-aggregated pe
 A shard's hash function maps its n lines to 0..n-1 without gaps: levels of bit arrays take the keys that
 collide with no other, the rest goes on to the next level. At a line's slot stand a 32-bit fingerprint, a
 count (1, or 2 for two and more documents) and the smallest document id that holds the line.
+The number of shards follows the number of lines, so a shard stays at about SHARD_LINES of them.
 Probe: documents send their line hashes to the shards, which answer with the lines to drop. Lines held by
 more than one document in HOT_SHARE would make a shard's probes uneven; there are at most HOT_SHARE times
 the mean number of lines per document of them, so their entries are shipped to all tasks instead.
@@ -27,6 +28,7 @@ from tracewell.llm.common import broadcast_if_bounded, prepare, replaced, stored
 
 SHORTEST = 10
 HOT_SHARE = 1000
+SHARD_LINES = 250_000
 BLANKS = " \t\n\r\v\f"
 NO_ID = -(2**63)
 _LOAD = 2
@@ -189,14 +191,26 @@ def line_index(docs: DataFrame, shards: int, hot_at: float, shortest: int = SHOR
     return held.groupBy("shard").applyInArrow(build, kind)
 
 
+def measured_lines(docs: DataFrame) -> tuple[int, int]:
+    """(documents, lines), short and repeated lines included."""
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return tuple(docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(lines), F.lit(0))).first())
+
+
+def shards_for(lines: int, least: int) -> int:
+    """Shards of at most about SHARD_LINES lines, ``least`` or more."""
+    return max(least, -(-lines // SHARD_LINES))
+
+
 def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, shards: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated lines taken out, and n_lines (before) and n_dropped.
 
     A line repeated in two or more documents stays only in the document with the smallest id.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot_at = max(1.0, docs.count() / HOT_SHARE)
+    n_docs, n_lines = measured_lines(docs)
+    shards = shards or shards_for(n_lines, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot_at = max(1.0, n_docs / HOT_SHARE)
     index = stored(line_index(docs, shards, hot_at, shortest), "line-index")
     packed = index.where("length(hot) > 0").select("hot").collect()
     entries = np.frombuffer(b"".join(bytes(r.hot) for r in packed), np.int64).reshape(-1, 3)
