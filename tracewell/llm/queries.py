@@ -7,7 +7,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import ann, bpe, chat, jaccard, linededup, mixing, neardup_vectors, quality, secret_scan, toxicity
+from tracewell.llm import (
+    align, ann, bpe, chat, decontaminate, jaccard, linededup, mixing, neardup_vectors, quality, secret_scan, toxicity, trie,
+)
 from tracewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +248,106 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     found = quality.score(docs, model)
     return found.withColumn("held_out", toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT)
+
+
+OP13_SQL = r"""
+WITH items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+placed AS (
+  SELECT item, words, least(len(words), 10) AS n, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS p
+  FROM items WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(words[p : p + n - 1], ' ') AS w FROM placed),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+sought AS (
+  SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM windows)),
+found AS (
+  SELECT s.r, s.p, s.n, w.item FROM sought s
+  JOIN windows w ON w.n = s.n AND w.w = array_to_string(s.words[s.p : s.p + s.n - 1], ' ')),
+hits AS (
+  SELECT r, count(DISTINCT q) AS n_hit
+  FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM found)) GROUP BY r),
+held AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(i.n_items, 0)::BIGINT AS n_items, sha256(coalesce(i.items, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON h.r = d.r LEFT JOIN held i ON i.r = d.r
+"""
+
+
+@query("op13_decontaminate", OP13_SQL)
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    n_hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP12_SQL = r"""
+WITH own AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+seqs AS (
+  SELECT conv_id, list({id: id, chars: chars} ORDER BY turn NULLS FIRST, id) AS t,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+               lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                 lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+             4294967295::BIGINT) % 6 AS h
+  FROM own GROUP BY conv_id),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.t[1 : a.h], []), a.t[a.h + 1 :]) AS t
+  FROM seqs a LEFT JOIN seqs b ON b.conv_id = a.conv_id - a.conv_id % 100),
+placed AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt),
+members AS (
+  SELECT conv_id, d, array_to_string([x.id FOR x IN t[1 : d]], '') AS path,
+         CASE WHEN d > 0 THEN t[d].chars ELSE 0 END AS chars, d = len(t) AS ends FROM placed),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY path, d),
+kids AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own_values AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, (n.n_convs - 1) * n.chars AS saved
+  FROM nodes n LEFT JOIN kids k ON k.path = n.path),
+ways AS (SELECT path, n_children, saved, unnest(range(0, d + 1)) AS i FROM own_values),
+subtrees AS (
+  SELECT substr(path, 1, 32 * i) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM ways GROUP BY ALL)
+SELECT v.conv_id, v.d::BIGINT AS depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children,
+       s.n_leaves, s.saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM own_values v JOIN subtrees s ON s.path = v.path
+LEFT JOIN nodes a ON v.d > 0 AND a.path = substr(v.path, 1, 32 * (v.d - 1))
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.prefix_trie(trie.with_shared_heads(trie.turn_sequences(turns)))
+
+
+@lru_cache
+def alignment_models(byte_json: str = "byte_bpe_50k.json", piece_model: str = "piece_bpe_32k.model") -> align.Models:
+    import public_tokenizers
+
+    return align.read_models(public_tokenizers.path(byte_json), public_tokenizers.path(piece_model))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align_corpus(docs, alignment_models())
