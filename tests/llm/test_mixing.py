@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -78,3 +80,54 @@ def test_no_words_and_no_rows(spark):
     assert [(r.size, r.target, r.taken) for r in mixing.mix(docs).collect()] == [(0, 0.0, 0)] * 2
     assert mixing.mixed_documents(docs).collect() == []
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.mixed_documents(docs.limit(0)).collect() == []
+
+
+def brute_passes(rows, weights=(3, 1, 2), share=1.5, most=2):
+    """How often the mix takes each (doc_id, source): entries by finish time, as long as the budget holds them all."""
+    words = {(d, s): n for d, s, n in rows}
+    sizes = defaultdict(int)
+    for (_, s), n in words.items():
+        sizes[s] += n
+    want = targets(sizes, weights, share, most)
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    entries = []
+    for rank, s in enumerate(names):
+        own = sorted((int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16), d) for d, x in words if x == s)
+        sent = 0
+        for n in range(most if want[s] else 0):
+            sent = 0
+            for key, d in own:
+                sent += words[d, s]
+                entries.append(((n * sizes[s] + sent) / want[s], rank, n, key, d, s))
+    taken, used = dict.fromkeys(words, 0), 0
+    for _, _, _, _, d, s in sorted(entries):
+        used += words[d, s]
+        if used > share * sum(sizes.values()):
+            break
+        taken[d, s] += 1
+    return taken
+
+
+TIED = [
+    (740122, "a", 2), (740123, "a", 2), (740124, "a", 5), (740125, "a", 0), (740126, "a", 3),
+    (740127, "b", 0), (740128, "b", 5), (740129, "b", 2), (740130, "b", 1), (740131, "b", 0),
+]
+
+
+@pytest.mark.parametrize("seed", [None, 0, 1, 2, 3, 4, 5])
+def test_passes_of_every_document(spark, seed):
+    """Texts without words tie with their neighbours; the cut between the passes must not count them wrongly."""
+    rng = random.Random(seed)
+    rows = TIED if seed is None else [
+        (rng.randrange(10**6) * 40 + i, rng.choice(["a", "b", None]), rng.choice([0, 0, 1, 2, 3, 9])) for i in range(rng.choice([6, 30]))
+    ]
+    docs = spark.createDataFrame([(d, s, "w " * n) for d, s, n in rows], "doc_id long, source string, text string")
+    assert {(r.doc_id, r.source): r.passes for r in mixing.mix(docs).collect()} == brute_passes(rows)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "a", "word " * 400_000), (2, "a", "x"), (3, "b", "y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {(r.doc_id, r.source): (r.size, r.passes) for r in mixing.mix(docs).collect()}
+    want = brute_passes([(1, "a", 400_000), (2, "a", 1), (3, "b", 2)])
+    assert got == {k: ({1: 400_000, 2: 1, 3: 2}[k[0]], n) for k, n in want.items()}

@@ -105,7 +105,8 @@ def mix_table(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int
     if slot is None:
         taken = entries
     else:
-        order = Window.orderBy("finish", "rank", "key", F.col("doc_id").asc_nulls_first(), "pass")
+        # Within a source this is the order of the cut, so that texts without words cannot move it.
+        order = Window.orderBy("finish", "rank", "pass", "key", F.col("doc_id").asc_nulls_first())
         edge = entries.where(F.col("slot") == slot).withColumn("upto", F.sum("size").over(order) + used)
         taken = entries.where(F.col("slot") < slot).unionByName(edge.where(F.col("upto") <= budget).drop("upto"))
     cuts = taken.groupBy("rank").agg(F.max(F.struct("pass", "key", "doc_id")).alias("cut"))
