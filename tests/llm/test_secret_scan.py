@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from tests.llm.data import documents
 from tracewell.llm.secret_scan import ANY, RULES, Rule, scan, trigram_query, trigrams
@@ -78,3 +79,17 @@ def test_logins_of_any_length(spark):
     text = "x https://" + "u" * 100 + ":" + "p" * 93 + "@host/path y"
     rows = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert ("url_login", 2, text.index("@") + 1) in [tuple(s) for s in rows[0].secret_spans]
+
+
+def test_a_million_characters_of_the_worst_text():
+    """No rule reads a run of its own characters once per place where a match could begin."""
+    size = 1_000_000
+    worst = [
+        "eyJ", "eyJabcdefgh.", "-----BEGIN ", "-----BEGIN A PRIVATE KEY", "bearer ", "bearer" + " " * 50, "a://b:", "a://bc", "http://x:yyy",
+        "token", "token = ", "token" + " " * 50, "token='", "api_key:", "AKIA", "0123456789abcdef", "password=aaaaa ", "aaaa",
+    ]
+    for text in [(w * (size // len(w) + 1))[:size] for w in worst] + [w + c * size for w in worst for c in " a-"]:
+        for rule in RULES:
+            start = time.perf_counter()
+            sum(1 for _ in re.finditer(rule.pattern, text, rule.flags))
+            assert time.perf_counter() - start < 5, (rule.kind, text[:30])

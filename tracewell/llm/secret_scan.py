@@ -56,7 +56,7 @@ BASE = (
 MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{16,}=*", ignore_case=True),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{0,15}://[^\s:/@]+:[^\s:/@]{3,}@"),
 )
 RULES = BASE + MORE
@@ -117,7 +117,7 @@ def _walk(tree) -> tuple[frozenset[str] | None, object]:
                 strings = inner_strings | {""} if low == 0 else inner_strings
             elif low > 0:
                 query = inner_query if inner_strings is None else _of_strings(inner_strings)
-        elif op is sre.AT:
+        elif op in (sre.AT, sre.ASSERT_NOT):
             strings = frozenset([""])
         joined = None
         if strings is not None and len(run) * len(strings) <= MOST_STRINGS:
