@@ -91,8 +91,13 @@ MODEL_ANSWERS = [
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table, dealt out to the cores: each of these files is one row group, hence one task."""
-    return spark.read.parquet(f"{sf}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
+    """A driver table as it is stored.
+
+    Only a table with fewer splits than cores is dealt out to them; a large one never moves.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def pick(options: list[str], n: Column) -> Column:

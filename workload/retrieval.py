@@ -6,6 +6,7 @@ from tracewell.functions.text import tokens
 from tracewell.operators import metrics
 from tracewell.operators.dense import dense_search
 from tracewell.operators.ranking import source_ranks, top_k
+from tracewell.operators.pruned import pruned_search, read_impact_index, write_impact_index
 from tracewell.operators.search import (
     candidate_totals,
     hybrid_search,
@@ -15,6 +16,7 @@ from tracewell.operators.search import (
 )
 from tracewell.operators.terms import chunk_terms, chunk_vectors, invalid_queries, query_terms
 from tracewell.plans import evaluate as ev
+from tracewell.session import work_folder
 from workload import inputs as i
 from workload.inputs import with_views
 from workload.registry import query
@@ -52,6 +54,23 @@ def k1_source(spark, sf):
     return shown(keyword_search(i.queries(spark, sf), i.chunks(spark, sf), 5, "sop"))
 
 
+def impact_index(spark, sf):
+    path = work_folder(spark, "impact-index")
+    write_impact_index(i.chunks(spark, sf), path)
+    return read_impact_index(spark, path)
+
+
+@query("K1_J1_W1_pruned_keyword_search", with_views(["keyword_pairs"], ranked_sql("keyword_pairs", 10)))
+def k1_pruned(spark, sf):
+    """The ten best chunks from the posting blocks that can reach them."""
+    return shown(pruned_search(i.queries(spark, sf), impact_index(spark, sf), 10).best)
+
+
+@query("K1_P5_pruned_search_by_source_type", with_views(["keyword_pairs"], ranked_sql("keyword_pairs", 5, SOP)))
+def k1_pruned_source(spark, sf):
+    return shown(pruned_search(i.queries(spark, sf), impact_index(spark, sf), 5, "sop").best)
+
+
 VECTOR_SQL = f"""
     SELECT query_id, rank, chunk_id, round(score, 6) AS score,
            coalesce(array_to_string(matched_terms, '|'), '') AS matched_terms
