@@ -214,14 +214,16 @@ class RunningBest:
 
 
 def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)):
-    """Function for ``mapInArrow``; ``mode`` is keyword, vector, hybrid or tops."""
+    """Function for ``mapInArrow``; ``mode`` is keyword, vector, hybrid or lists.
+
+    ``lists`` keeps the k best by keyword (list 0) and the k best by vector (list 1), each with both scores.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: QueryBlock = shipped.value
-        tops = np.zeros((len(block.ids), 2))
         # A hybrid candidate has one positive score; its weighted sum may still be negative.
         above = -np.inf if mode == "hybrid" else 0.0
-        best = RunningBest(len(block.ids), k, above)
+        kept = [RunningBest(len(block.ids), k, above) for _ in range(2 if mode == "lists" else 1)]
         for whole in batches:
             for part in _slices(whole, block):
                 part = part.take(pc.sort_indices(part.column("chunk_id")))
@@ -232,9 +234,6 @@ def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)
                     keyword = keyword_scores(cell, share, (len(block.ids), n))
                 if mode != "keyword":
                     vector = vector_scores(part, block)
-                if mode == "tops":
-                    tops = np.maximum(tops, np.stack([keyword.max(axis=1), vector.max(axis=1)], axis=1))
-                    continue
                 if mode == "hybrid":
                     scores = weights[0] * _share(keyword, block.tops[:, 0]) + weights[1] * _share(
                         vector, block.tops[:, 1]
@@ -242,24 +241,25 @@ def scorer(shipped, mode: str, k: int, weights: tuple[float, float] = (1.0, 0.0)
                     scores[(keyword <= 0) & (vector <= 0)] = -np.inf
                 else:
                     scores = vector if keyword is None else keyword
-                q, c = best_cells(scores, k, best.floor, above)
-                columns = {
-                    "query": pa.array(q, pa.int64()),
-                    "chunk_id": part.column("chunk_id").take(pa.array(c, pa.int64())),
-                    "score": pa.array(scores[q, c], pa.float64()),
-                    "matched_terms": shared_terms(q, c, n, cell, code, block),
-                }
-                if mode == "hybrid":
-                    columns |= {"keyword_score": pa.array(keyword[q, c]), "vector_score": pa.array(vector[q, c])}
-                best.add(pa.table(columns))
-        if mode == "tops":
-            yield pa.record_batch(
-                [block.ids, pa.array(tops[:, 0]), pa.array(tops[:, 1])],
-                names=["query_id", "best_keyword", "best_vector"],
-            )
-        elif (rows := best.prune()) is not None and rows.num_rows:
+                for best, ranked in zip(kept, (keyword, vector) if mode == "lists" else (scores,)):
+                    q, c = best_cells(ranked, k, best.floor, above)
+                    columns = {
+                        "query": pa.array(q, pa.int64()),
+                        "chunk_id": part.column("chunk_id").take(pa.array(c, pa.int64())),
+                        "score": pa.array(ranked[q, c], pa.float64()),
+                        "matched_terms": shared_terms(q, c, n, cell, code, block),
+                    }
+                    if mode in ("hybrid", "lists"):
+                        columns |= {"keyword_score": pa.array(keyword[q, c]), "vector_score": pa.array(vector[q, c])}
+                    best.add(pa.table(columns))
+        for number, best in enumerate(kept):
+            rows = best.prune()
+            if rows is None or not rows.num_rows:
+                continue
             ids = block.ids.take(rows.column("query").combine_chunks())
             named = rows.drop_columns(["query"]).add_column(0, "query_id", ids)
+            if mode == "lists":
+                named = named.append_column("list", pa.array(np.full(rows.num_rows, number, np.int32)))
             yield from named.combine_chunks().to_batches()
 
     return score

@@ -24,7 +24,8 @@ from math import ceil
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.operators.kernel import collect_block, collect_vectors, scorer, totals
+from tracewell.operators.kernel import QueryBlock, collect_block, collect_vectors, scorer, totals
+from tracewell.operators.rank_join import joined_ranks, list_length
 from tracewell.operators.ranking import check_top_k, hybrid_weights, top_k
 from tracewell.operators.terms import chunk_features, invalid_queries, query_features
 from tracewell.session import BROADCAST_BYTES, broadcast_if_bounded, measured, ship_package, stored, work_folder
@@ -57,29 +58,41 @@ def best_rows(
         schema += ", keyword_score double, vector_score double"
     asked = stored(asked, "asked")
     _, size = measured(asked)
-    blocks = max(1, ceil(size / BROADCAST_BYTES), ceil(size * k / STATE_BYTES))
-    if blocks > 1 or mode == "hybrid":
+    kept = 2 * list_length(k) if mode == "hybrid" else k
+    blocks = max(1, ceil(size / BROADCAST_BYTES), ceil(size * kept / STATE_BYTES))
+    if blocks > 1:
         features = stored(features, "features")
     number = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
     collect = collect_block if "terms" in asked.columns else collect_vectors
     path = work_folder(spark, "best")
     spark.createDataFrame([], schema).write.parquet(path)
+
+    def run(block: QueryBlock, mode: str, k: int, to: str, schema: str) -> None:
+        shipped = spark.sparkContext.broadcast(block)
+        features.mapInArrow(scorer(shipped, mode, k, weights), schema).write.mode("append").parquet(to)
+        shipped.destroy()
+
     for b in range(blocks):
-        block = collect(asked.filter(number == b), dims)
+        some = asked.filter(number == b)
+        block = collect(some, dims)
         if not len(block.ids):
             continue
-        if mode == "hybrid":
-            # The best scores of each query are needed before any combined score is known; this first
-            # pass returns two numbers per query and task.
-            shipped = spark.sparkContext.broadcast(block)
-            tops = features.mapInArrow(scorer(shipped, "tops", k), f"query_id {q}, best_keyword double, best_vector double")
-            best = tops.groupBy("query_id").agg(F.max("best_keyword"), F.max("best_vector"))
-            known = {r[0]: (r[1], r[2]) for r in best.collect()}
-            block.tops = np.array([known.get(i, (0.0, 0.0)) for i in block.ids.to_pylist()])
-            shipped.destroy()
-        shipped = spark.sparkContext.broadcast(block)
-        features.mapInArrow(scorer(shipped, mode, k, weights), schema).write.mode("append").parquet(path)
-        shipped.destroy()
+        if mode != "hybrid":
+            run(block, mode, k, path, schema)
+            continue
+        n, lists = list_length(k), work_folder(spark, "lists")
+        run(block, "lists", n, lists, f"{schema}, list int")
+        best, known = joined_ranks(spark.read.schema(f"{schema}, list int").parquet(lists), k, n, weights)
+        known = stored(known, "normalisers")
+        best.join(known.where("certain").select("query_id"), "query_id").select(
+            *spark.read.schema(schema).parquet(path).columns
+        ).write.mode("append").parquet(path)
+        # Queries whose lists do not decide: all sums, with the normalisers that the first pass has found.
+        open_ = {r[0]: (r[1], r[2]) for r in known.where("not certain").select("query_id", "best_keyword", "best_vector").collect()}
+        if open_:
+            block = collect(some.join(known.where("not certain").select("query_id"), "query_id", "left_semi"), dims)
+            block.tops = np.array([open_[i] for i in block.ids.to_pylist()])
+            run(block, "hybrid", k, path, schema)
     return spark.read.schema(schema).parquet(path)
 
 
