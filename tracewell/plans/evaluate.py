@@ -25,8 +25,9 @@ from tracewell.session import stored
 from tracewell.sources.predictions import KEY, entries, prediction_key, upsert
 from tracewell.tables.intents import INTENT_SCHEMA_VERSION, STRATEGIES
 
-# A retriever maps (queries, chunks, k, source_type) to result rows; any callable will do.
-Retriever = Callable[[DataFrame, DataFrame, int, str | None], DataFrame]
+# A retriever maps (queries, chunks, k, source_type) to result rows; any callable will do. Where stored chunk
+# features are given, it gets them as the keyword argument ``index``.
+Retriever = Callable[..., DataFrame]
 
 RETRIEVERS: dict[str, Retriever] = {
     "keyword": keyword_search,
@@ -36,17 +37,28 @@ RETRIEVERS: dict[str, Retriever] = {
 RUN_KEY = "run_key"
 
 
+def _retrieved(
+    retriever: Retriever, queries: DataFrame, chunks: DataFrame, k: int, source_type: str | None, index: DataFrame | None
+) -> DataFrame:
+    stored_features = {} if index is None else {"index": index}
+    return retriever(queries, chunks, k, source_type, **stored_features)
+
+
 def evaluate(
     questions: DataFrame,
     chunks: DataFrame,
     k: int = 5,
     retriever: Retriever = keyword_search,
     source_type: str | None = "sop",
+    index: DataFrame | None = None,
 ) -> DataFrame:
-    """Per-question results of one retriever.  ``k`` counts chunks before sources are merged."""
+    """Per-question results of one retriever.  ``k`` counts chunks before sources are merged.
+
+    ``index``: stored features of the chunks (``sources.chunks.write_term_index``), made once for many runs.
+    """
     check_top_k(k)
     queries = questions.select(F.col("question_id").alias("query_id"), F.col("query").alias("query_text"))
-    found = retriever(queries, chunks, k, source_type)
+    found = _retrieved(retriever, queries, chunks, k, source_type, index)
     sources = ranked_sources(found).withColumnRenamed("query_id", "question_id")
     keep = [c for c in ("query", "rationale") if c in questions.columns]
     return question_results(questions, sources, keep=keep)
@@ -63,12 +75,16 @@ def compare(
     chunks: DataFrame,
     k: int = 5,
     source_type: str | None = "sop",
+    index: DataFrame | None = None,
 ) -> DataFrame:
-    """Per-question results of several named retrievers, stacked under ``retriever``."""
+    """Per-question results of several named retrievers, stacked under ``retriever``.
+
+    All of them read the one ``index`` where it is given.
+    """
     if not retrievers:
         raise ValueError("retrievers must contain at least one retriever")
     parts = [
-        evaluate(questions, chunks, k, run, source_type).withColumn("retriever", F.lit(name))
+        evaluate(questions, chunks, k, run, source_type, index).withColumn("retriever", F.lit(name))
         for name, run in retrievers.items()
     ]
     return stored(reduce(DataFrame.unionByName, parts), "compared")
@@ -206,6 +222,7 @@ def ablate(
     k: int = 5,
     retriever: Retriever = keyword_search,
     source_type: str | None = "sop",
+    index: DataFrame | None = None,
     **predictions,
 ) -> DataFrame:
     """Per-question results of every strategy in one search job.
@@ -219,7 +236,7 @@ def ablate(
     )
     built = stored(rewritten, "rewritten-queries")
     queries = built.groupBy(F.col(RUN_KEY).alias("query_id")).agg(F.first("search_text").alias("query_text"))
-    found = ranked_sources(retriever(queries, chunks, k, source_type)).withColumnRenamed("query_id", RUN_KEY)
+    found = ranked_sources(_retrieved(retriever, queries, chunks, k, source_type, index)).withColumnRenamed("query_id", RUN_KEY)
     extra = [
         c
         for c in built.columns

@@ -17,6 +17,7 @@ from tracewell.operators.search import (
 from tracewell.operators.terms import chunk_terms, chunk_vectors, invalid_queries, query_terms
 from tracewell.plans import evaluate as ev
 from tracewell.session import work_folder
+from tracewell.sources.chunks import read_term_index, write_term_index
 from workload import inputs as i
 from workload.inputs import with_views
 from workload.registry import query
@@ -54,6 +55,13 @@ def k1_source(spark, sf):
     return shown(keyword_search(i.queries(spark, sf), i.chunks(spark, sf), 5, "sop"))
 
 
+def term_index(spark, sf):
+    """Features of all chunks, counted once for every retriever."""
+    path = work_folder(spark, "term-index")
+    write_term_index(i.chunks(spark, sf), path, dims=128)
+    return read_term_index(spark, path)
+
+
 def impact_index(spark, sf):
     path = work_folder(spark, "impact-index")
     write_impact_index(i.chunks(spark, sf), path)
@@ -331,7 +339,7 @@ def compared(body: str) -> str:
 
 @query("K5_A9_compare_retrievers", compared(f"SELECT retriever, {METRICS} FROM judged GROUP BY ALL"))
 def k5(spark, sf):
-    results = ev.compare(ev.RETRIEVERS, i.questions(spark, sf), i.chunks(spark, sf), 5)
+    results = ev.compare(ev.RETRIEVERS, i.questions(spark, sf), i.chunks(spark, sf), 5, index=term_index(spark, sf))
     return rounded(ev.comparison(results)["summary"])
 
 
@@ -345,7 +353,7 @@ def k5(spark, sf):
         SELECT retriever, mean_reciprocal_rank AS value, rank() OVER (ORDER BY mean_reciprocal_rank DESC) AS r FROM (SELECT retriever, {METRICS} FROM judged GROUP BY ALL)) WHERE r = 1"""),
 )
 def a9(spark, sf):
-    results = ev.compare(ev.RETRIEVERS, i.questions(spark, sf), i.chunks(spark, sf), 5)
+    results = ev.compare(ev.RETRIEVERS, i.questions(spark, sf), i.chunks(spark, sf), 5, index=term_index(spark, sf))
     return ev.comparison(results)["best"].withColumn("value", F.round("value", 6))
 
 

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.operators import assessment, checklist, intents, summary, triage
+from tracewell.operators.lexicon import lexicon_matches, matched_terms
 from tracewell.tables import assessment as ta, intents as ti, summary as ts, triage as tt
+from tracewell.tables.intents import SEMANTIC_TAGS
 from workload import inputs as i
 from workload.inputs import sql_any, sql_ascii, sql_list, sql_rx, sql_strip, sql_text
 from workload.registry import query
@@ -180,6 +182,44 @@ def j6(spark, sf):
     return docs.select("doc_id", F.array_join(tx.which_of(F.lower("text"), LEXICON), "|").alias("terms"))
 
 
+TABLE_LEXICON = f"""SELECT DISTINCT term FROM (SELECT unnest({i.sql_tokens('text')}) AS term FROM conversations) WHERE length(term) >= 5"""
+FOUND_TERMS = "CAST(count(*) AS BIGINT) AS n_terms, md5(array_to_string(list_sort(list(term)), ',')) AS terms_md5"
+
+
+def found_terms(matches):
+    """How many terms each document holds and the digest of their sorted list."""
+    lists = matched_terms(matches, "doc_id")
+    return lists.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join("terms", ",")).alias("terms_md5"))
+
+
+@query(
+    "J6_table_lexicon",
+    f"""WITH lexicon AS MATERIALIZED ({TABLE_LEXICON})
+        SELECT doc_id, {FOUND_TERMS} FROM documents JOIN lexicon ON contains(lower(text), term) GROUP BY doc_id""",
+)
+def j6_table(spark, sf):
+    """The thousands of words of the conversations, looked for inside every document."""
+    said = i.load(spark, sf, "conversations").select(F.explode(tx.tokens(F.col("text"))).alias("term"))
+    lexicon = said.where(F.length("term") >= 5).distinct()
+    docs = i.load(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return found_terms(lexicon_matches(docs, lexicon, "doc_id"))
+
+
+@query(
+    "F5_table_phrases",
+    f"""WITH lexicon AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+ [a-z]+')) AS term FROM benchmark),
+        docs AS MATERIALIZED (
+            SELECT doc_id, {i.sql_ascii(r"trim(regexp_replace(lower(text), '[\s]+', ' ', 'g'))")} AS text FROM documents)
+        SELECT doc_id, {FOUND_TERMS} FROM docs JOIN lexicon
+        ON contains(text, term) AND regexp_matches(text, '(?:^|\\W)' || term || '(?:\\W|$)') GROUP BY doc_id""",
+)
+def f5_table(spark, sf):
+    """Pairs of words of the benchmark as whole phrases."""
+    pairs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ [a-z]+"), F.lit(0))
+    lexicon = i.load(spark, sf, "benchmark").select(F.explode(pairs).alias("term"))
+    return found_terms(lexicon_matches(i.load(spark, sf, "documents"), lexicon, "doc_id", phrases=True))
+
+
 PHRASES = ["in the", "of the", "de la", "und der", "with the and"]
 
 
@@ -363,19 +403,38 @@ _answers = [
 ]
 
 
+TAG_NAMES = [t.upper().replace("_", "-" if n % 2 else " ") for n, t in enumerate(SEMANTIC_TAGS)]
+
+
 @query(
     "R12_F7_model_intents",
-    "SELECT event_id, CASE event_id % 7 "
-    + " ".join(f"WHEN {n} THEN {sql_text(a[0])}" for n, a in enumerate(_answers))
-    + " END AS model_status, CASE event_id % 7 "
-    + " ".join(f"WHEN {n} THEN {sql_text(a[1]) if a[1] is not None else 'NULL'}" for n, a in enumerate(_answers))
-    + " END AS model_tags, CASE event_id % 7 "
-    + " ".join(f"WHEN {n} THEN {sql_text(a[2])}" for n, a in enumerate(_answers))
-    + " END AS unknown_tags FROM events",
+    f"""WITH told AS (
+            SELECT conv_id || '-' || turn AS case_id, length(text) AS n, {i.sql_tokens('text')} AS words FROM conversations),
+        tagged AS (
+            SELECT *, list_filter({sql_list(SEMANTIC_TAGS)}, lambda t: t = {i.sql_pick(SEMANTIC_TAGS, 'n')}
+                       OR t = {i.sql_pick(SEMANTIC_TAGS, 'len(words)')}) AS known,
+                   CASE WHEN len(words) % 3 = 0 THEN list_sort(list_distinct(words[1:2])) ELSE [] END AS others FROM told)
+        SELECT case_id, CASE WHEN n % 11 = 0 THEN 'structured_output_failure' WHEN len(others) > 0 THEN 'unknown_tags' ELSE 'ok' END
+                   AS model_status,
+               CASE WHEN n % 11 = 0 OR len(others) > 0 THEN NULL ELSE array_to_string(known, '|') END AS model_tags,
+               CASE WHEN n % 11 = 0 THEN '' ELSE array_to_string(others, '|') END AS unknown_tags FROM tagged""",
 )
 def r12(spark, sf):
-    events = i.load(spark, sf, "events").select("event_id", i.pick(i.MODEL_ANSWERS, F.col("event_id")).alias("model_json"))
-    return intents.model_intents(events).select("event_id", "model_status", *joined("model_tags", "unknown_tags"))
+    """Answers made of each turn's own words: tags in several spellings, unknown words, and answers with a second key."""
+    words, n = tx.tokens(F.col("text")), F.length("text")
+    told = i.load(spark, sf, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"),
+        n.alias("n"), words.alias("words"), "text",
+    )
+    tags = F.concat(
+        F.array(i.pick(TAG_NAMES, F.col("n")), i.pick(TAG_NAMES, F.size("words"))),
+        F.when(F.size("words") % 3 == 0, F.slice("words", 1, 2)).otherwise(tx.lit_array([])),
+    )
+    second = F.when(F.col("n") % 11 == 0, F.concat(F.lit(', "note": '), F.to_json(F.array("text")))).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"tags": '), F.to_json(tags), second, F.lit("}"))
+    fenced = F.when(F.col("n") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    answers = told.select("case_id", fenced.alias("model_json"))
+    return intents.model_intents(answers).select("case_id", "model_status", *joined("model_tags", "unknown_tags"))
 
 
 @query(
