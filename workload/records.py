@@ -9,9 +9,10 @@ from tracewell.operators.search import keyword_search
 from tracewell.operators.terms import chunk_terms
 from tracewell.plans import evaluate as ev, records as rec
 from tracewell.session import stored, work_folder
-from tracewell.sources import chunks as chunk_source, corpus, predictions, questions as question_source, runs
+from tracewell.sources import chunks as chunk_source, corpus, prediction_log, predictions, questions as question_source, runs
 from tracewell.streaming import requests
 from tracewell.tables import intents as ti, triage as tt
+from tracewell.tables.intents import SEMANTIC_TAGS
 from workload import inputs as i, rules
 from workload.inputs import sql_list, sql_strip, sql_text, with_views
 from workload.registry import query
@@ -252,6 +253,40 @@ def j5(spark, sf):
     return done.select("question_id", "prediction_status", "store_hit", "model_called", "used_fallback", *joined("semantic_tags"))
 
 
+TAG = [f"{sql_list(SEMANTIC_TAGS)}[(n_chars + doc_id * {k}) % {len(SEMANTIC_TAGS)} + 1]" for k in (1, 3, 5)]
+LOG_ORDER = f"list_filter({sql_list(SEMANTIC_TAGS)}, lambda t: t = a OR t = b)"
+
+
+def document_predictions(spark, sf, k):
+    """Two tags for every document's text, as generation ``k`` of a store."""
+    docs = i.load(spark, sf, "documents")
+    tag = lambda m: i.pick(SEMANTIC_TAGS, F.col("n_chars") + F.col("doc_id") * m)
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("question_id"), "text", F.array(tag(1), tag(k)).alias("t"))
+    return predictions.prediction_key(rows, "text", MODEL)
+
+
+@query(
+    "S8_J5_prediction_log",
+    f"""WITH put AS (
+            SELECT doc_id, text, {TAG[0]} AS a, CASE WHEN doc_id % 5 = 1 THEN {TAG[2]} WHEN doc_id % 3 = 0 THEN {TAG[1]} ELSE {TAG[0]} END AS b,
+                   doc_id % 7 > 0 OR doc_id % 5 = 1 OR doc_id % 3 = 0 AS kept FROM documents)
+        SELECT doc_id, sha256({sql_strip('text')}) AS input_hash,
+               CASE WHEN kept THEN array_to_string({LOG_ORDER}, '|') END AS tags, kept AS store_hit FROM put""",
+)
+def s8_log(spark, sf):
+    """A base, two generations that change parts of it, a compaction between them, then a lookup of all documents."""
+    path = work_folder(spark, "prediction-log")
+    first, second, third = (document_predictions(spark, sf, k) for k in (1, 3, 5))
+    put = lambda df: prediction_log.put_predictions(predictions.entries(df, "t"), path, 8)
+    put(first.where("doc_id % 7 > 0"))
+    put(second.where("doc_id % 3 = 0"))
+    prediction_log.compact(spark, path)
+    put(third.where("doc_id % 5 = 1"))
+    found = prediction_log.look_up(first.select("doc_id", *predictions.KEY), path)
+    tags = F.col("semantic_intent.tags")
+    return found.select("doc_id", "input_hash", F.array_join(tags, "|").alias("tags"), tags.isNotNull().alias("store_hit"))
+
+
 @query(
     "S8_prediction_store",
     f"""WITH {resolved_sql()}
