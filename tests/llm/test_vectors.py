@@ -120,10 +120,10 @@ def test_nearest_few_rows_ties_and_empty(spark):
 
 def test_ball_is_whole():
     rng = np.random.default_rng(5)
-    codes = rng.integers(0, 256, (400, 3), dtype=np.uint8)
+    codes = rng.integers(0, 2**32, (400, 3), dtype=np.uint32)
     index = ann.MultiIndex(codes)
-    for radius in (0, 1, 5, 9, 24):
-        for code in codes[:20]:
+    for radius in (0, 1, 5, 9, 35, 40, 96):
+        for code in np.concatenate([codes[:20], codes[:5] ^ 1]):
             want = np.flatnonzero(np.bitwise_count(codes ^ code).sum(axis=1) <= radius)
             assert (index.ball(code, radius) == want).all()
 
@@ -144,3 +144,20 @@ def test_every_length_is_compared_with_itself(spark):
     short = {(r.query_id, r.vec_id) for r in found if 100 <= r.query_id < 200}
     assert short == {(100 + i, 100 + j) for i in range(4) for j in range(4) if i != j}
     assert {(r.query_id, r.rank, r.vec_id) for r in found if r.query_id >= 200} == {(200, 1, 201), (201, 1, 200)}
+
+
+def test_few_rows_are_ranked_by_floats():
+    """Of random directions, the hardest case, the learned ball holds nearly all neighbours and few other rows."""
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(3000, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    coder = ann.learn_coder(rows)
+    codes = coder.codes(rows)
+    index, hits, ranked, probed = ann.MultiIndex(codes), 0, 0, 0
+    for q in range(0, 3000, 60):
+        near = np.argsort(((rows - rows[q]) ** 2).sum(axis=1), kind="stable")[1:11]
+        ball = index.ball(codes[q], coder.radius)
+        hits += np.isin(near, ball).sum()
+        ranked += len(ball)
+        probed += len(index.probed(codes[q], coder.radius))
+    assert hits / 500 >= 0.9 and ranked / 150_000 < 0.1 and probed / 150_000 < 0.8
