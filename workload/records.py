@@ -9,7 +9,8 @@ from tracewell.operators.search import keyword_search
 from tracewell.operators.terms import chunk_terms
 from tracewell.plans import evaluate as ev, records as rec
 from tracewell.session import stored, work_folder
-from tracewell.sources import chunks as chunk_source, corpus, prediction_log, predictions, questions as question_source, runs
+from tracewell.sources import chunks as chunk_source, corpus, evidence_index, prediction_log, predictions, questions as question_source, runs
+from tracewell.sources.file_digests import streamed_manifest
 from tracewell.streaming import requests
 from tracewell.tables import intents as ti, triage as tt
 from tracewell.tables.intents import SEMANTIC_TAGS
@@ -179,6 +180,29 @@ def s7_files(spark, sf):
     return found.select("sha256", F.coalesce("item_count", F.lit(-1).cast("long")).alias("item_count"), "length")
 
 
+@query(
+    "S7_streamed_manifest",
+    """WITH files AS (
+            SELECT doc_id // 200 AS part, count(*) AS items,
+                   '[' || string_agg('[' || CASE WHEN source IS NULL THEN 'null' ELSE '"' || source || '"' END || ',' || n_chars || ']', ',' ORDER BY doc_id)
+                   || CASE WHEN part % 4 = 3 THEN '' ELSE ']' END || chr(10) AS content FROM documents GROUP BY part)
+        SELECT sha256(content) AS sha256, CASE WHEN part % 4 = 3 THEN -1 ELSE items END AS item_count,
+               CAST(strlen(content) AS BIGINT) AS length FROM files""",
+)
+def s7_streamed(spark, sf):
+    """A JSON list for every two hundred documents; every fourth list does not end."""
+    path = work_folder(spark, "lists")
+    source = F.coalesce(F.concat(F.lit('"'), "source", F.lit('"')), F.lit("null"))
+    item = F.concat(F.lit("["), source, F.lit(","), F.col("n_chars").cast("string"), F.lit("]"))
+    told = i.load(spark, sf, "documents").select(F.floor(F.col("doc_id") / 200).alias("part"), "doc_id", item.alias("item"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"])
+    files = told.groupBy("part").agg(F.array_join(ordered, ",").alias("items"))
+    close = F.when(F.col("part") % 4 == 3, "").otherwise("]")
+    files.select("part", F.concat(F.lit("["), "items", close).alias("value")).write.partitionBy("part").text(path)
+    found = streamed_manifest(spark, path, buffer=1000)
+    return found.select("sha256", F.coalesce("item_count", F.lit(-1).cast("long")).alias("item_count"), "length")
+
+
 @query(
     "S3_read_questions",
     f"""WITH questions AS ({i.VIEWS['questions']})
@@ -718,6 +742,31 @@ def x2(spark, sf):
     return spark.read.parquet(out).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
+def growing_sql(parity, docs):
+    chunks = f"SELECT * FROM ({i.VIEWS['chunks']} {docs})"
+    body = f"SELECT query_id, rank, chunk_id, score FROM (SELECT *, {RANK} AS rank FROM keyword_pairs) WHERE rank <= 5"
+    asked = f"SELECT item_id AS query_id, text AS query_text FROM benchmark WHERE item_id % 2 = {parity}"
+    return f"SELECT *, CAST({parity} AS BIGINT) AS snapshot FROM ({with_views(['keyword_pairs'], body, chunks=chunks, asked=asked)})"
+
+
+@query(
+    "X2_growing_evidence",
+    f"{growing_sql(0, 'WHERE doc_id % 3 > 0')} UNION ALL {growing_sql(1, '')}",
+)
+def x2_growing(spark, sf):
+    """Even queries meet two thirds of the chunks; then the others are published, and odd queries meet all."""
+    source, out, state, path = (work_folder(spark, n) for n in ("asked", "found", "state", "evidence"))
+    chunks, asked = i.chunks(spark, sf), i.queries(spark, sf)
+    third = F.substring_index("chunk_id", "-", -1).cast("long") % 3 > 0
+    for parity, some in ((0, chunks.where(third)), (1, chunks.where(~third))):
+        evidence_index.add_segment(some, path)
+        asked.where(F.col("query_id") % 2 == parity).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("query_id bigint, query_text string").parquet(source)
+        evidence_index.start_retrieve_growing(arriving, path, out, state).awaitTermination()
+    found = spark.read.parquet(out)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score", "snapshot")
+
+
 @query(
     "S2_term_index_search",
     with_views(["keyword_pairs"], f"SELECT query_id, rank, chunk_id, score FROM (SELECT *, {RANK} AS rank FROM keyword_pairs) WHERE rank <= 5"),
