@@ -12,7 +12,9 @@ The plan, each step exact:
 4. Each set goes to the set with which it shares most prefix shingles (the smallest one for each shingle
    votes). Such a home, cut into parts of bounded size, is one tree: sets are stored along their ordered
    shingles, so equal beginnings are walked once, with the overlap so far; a branch is left where the
-   remaining lengths cannot reach the similarity. The first link found is enough for a set.
+   remaining lengths cannot reach the similarity. Sets of a home that are not linked yet stand in trees of their
+   own, and a set walks those that hold one of its prefix shingles in a prefix. The first link found in a tree
+   is enough.
 5. Sets that share a prefix shingle but are not connected yet meet in a second pass: each set of the smaller
    component walks the trees of the larger one, again cut into parts.
 6. Links become components.
@@ -232,6 +234,48 @@ class SetTree:
             stack += [(kid, path) for kid in node.kids.values()]
 
 
+class Forest:
+    """The trees of the components found so far, and for every prefix shingle the trees that hold it in a prefix.
+
+    Linked sets share a prefix shingle, so a set walks only the trees that its own prefix names.
+    """
+
+    def __init__(self):
+        self.trees: dict[int, SetTree] = {}
+        self.joined: list[int] = []
+        self.holders: dict[int, set[int]] = {}
+
+    def _now(self, tree: int) -> int:
+        while self.joined[tree] != tree:
+            self.joined[tree] = tree = self.joined[self.joined[tree]]
+        return tree
+
+    def link(self, key, size: int, ranked: list[int]) -> list:
+        """One linked member of every component that has one; the set joins these components."""
+        # n - ceil(3n / 4) shingles may be missing, among them those that no other set holds.
+        prefix = ranked[: max(0, size - (3 * size + 3) // 4 + 1 - (size - len(ranked)))]
+        places, named = {s: i for i, s in enumerate(ranked)}, set()
+        for s in prefix:
+            self.holders[s] = {self._now(t) for t in self.holders.get(s, ())}
+            named |= self.holders[s]
+        found = [(t, self.trees[t].first_link(size, places, key)) for t in sorted(named)]
+        linked = [t for t, other in found if other is not None]
+        home = max(linked, key=lambda t: self.trees[t].size, default=None)
+        if home is None:
+            home = len(self.joined)
+            self.joined.append(home)
+            self.trees[home] = SetTree()
+        self.trees[home].add(key, size, ranked)
+        for tree in linked:
+            if tree != home:
+                for member in self.trees.pop(tree).members():
+                    self.trees[home].add(*member)
+                self.joined[tree] = home
+        for s in prefix:
+            self.holders[s].add(home)
+        return [other for _, other in found if other is not None]
+
+
 def _walk(group: pa.Table) -> pa.Table:
     """Links inside one part.
 
@@ -240,28 +284,19 @@ def _walk(group: pa.Table) -> pa.Table:
     """
     order = np.lexsort([group.column(n).to_numpy() for n in ("rep", "n", "probe")])
     group = group.take(pa.array(order))
-    trees, a, b = [SetTree()], [], []
+    tree, forest, a, b = SetTree(), Forest(), [], []
     columns = (group.column(n).to_pylist() for n in ("rep", "n", "ranked", "probe", "grow"))
     for rep, n, ranked, probe, grow in zip(*columns):
-        if not (probe or grow):
-            trees[0].add(rep, n, ranked)
+        if grow:
+            found = forest.link(rep, n, ranked)
+        elif probe:
+            other = tree.first_link(n, {s: i for i, s in enumerate(ranked)}, rep)
+            found = [] if other is None else [other]
+        else:
+            tree.add(rep, n, ranked)
             continue
-        places = {s: i for i, s in enumerate(ranked)}
-        found = [(tree, tree.first_link(n, places, rep)) for tree in trees]
-        linked = [(tree, key) for tree, key in found if key is not None]
-        a += [rep] * len(linked)
-        b += [key for _, key in linked]
-        if probe:
-            continue
-        home = max((tree for tree, _ in linked), key=lambda t: t.size, default=None)
-        if home is None:
-            trees.append(home := SetTree())
-        home.add(rep, n, ranked)
-        for tree, _ in linked:
-            if tree is not home:
-                for member in tree.members():
-                    home.add(*member)
-                trees.remove(tree)
+        a += [rep] * len(found)
+        b += found
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
