@@ -16,7 +16,8 @@ from tracewell.operators.search import (
 )
 from tracewell.operators.terms import chunk_terms, chunk_vectors, invalid_queries, query_terms
 from tracewell.plans import evaluate as ev
-from tracewell.session import work_folder
+from tracewell.session import stored, work_folder
+from tracewell.sources import metric_log
 from tracewell.sources.chunks import read_term_index, write_term_index
 from workload import inputs as i
 from workload.inputs import with_views
@@ -315,6 +316,26 @@ def a567(spark, sf):
     return rounded(ev.summarize(ev.evaluate(i.questions(spark, sf), i.chunks(spark, sf), 5)))
 
 
+@query(
+    "A5_A8_merged_parts",
+    judged(f"""
+    SELECT * FROM (SELECT 'half ' || CAST(question_id AS BIGINT) % 2 AS grouping, {METRICS} FROM judged GROUP BY ALL)
+    UNION ALL SELECT 'all', {METRICS} FROM judged"""),
+)
+def a58_parts(spark, sf):
+    """Question results that come in three parts; their states are merged for two groupings."""
+    results = ev.evaluate(i.questions(spark, sf), i.chunks(spark, sf), 5)
+    number = F.col("question_id").cast("long")
+    results = stored(results.withColumn("half", F.concat(F.lit("half "), (number % 2).cast("string"))), "results")
+    path = work_folder(spark, "metric-states")
+    for part in range(3):
+        metric_log.put_part(results.where(number % 3 == part), path, f"part-{part}", ["half"])
+    states = metric_log.read_parts(spark, path)
+    halves = metric_log.metrics_of(metric_log.merged(states, ["half"])).withColumnRenamed("half", "grouping")
+    whole = metric_log.metrics_of(metric_log.merged(states, [])).withColumn("grouping", F.lit("all"))
+    return rounded(halves.unionByName(whole))
+
+
 @query(
     "A8_failures",
     judged("""
