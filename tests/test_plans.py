@@ -131,3 +131,27 @@ def test_own_detector_pattern_and_strategy(spark):
     assert {r.strategy: r.search_text for r in built.collect()} == {"loud": "THE GIZMO BROKE", "rule_intent": "The gizmo broke"}
     with pytest.raises(ValueError, match="unknown"):
         build_queries(["loud"], asked)
+
+
+def test_row_local_queries_move_nothing(spark, tmp_path):
+    """With as many splits as cores, no query that works on single rows has an exchange in its plan."""
+    import os
+
+    from workload import inputs, records, registry, retrieval, rules  # noqa: F401
+
+    source = "/root/testdata/sf0.001"
+    if not os.path.isdir(source):
+        pytest.skip("needs the test tables")
+    for name in ("documents", "conversations", "events", "pages"):
+        spark.read.parquet(f"{source}/{name}.parquet").repartition(8).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = [
+        "R1_J6_refusal", "R2_R3_W5_triage", "R4_concern_query", "R5_R6_R7_checklist_rules", "F12_fact_detectors",
+        "R9_documents_intents", "R9_R10_R11_J7_J8_T3_intent_queries", "R12_F7_model_intents", "F1_tokens", "F1_page_tokens",
+        "F3_F4_F10_text_functions", "F3_F5_phrase_match", "F7_event_json", "J6_lexicon_substring", "A1_chunk_terms", "A3_hashed_vectors",
+    ]
+    for name in names:
+        plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
+    # A single file, on the other hand, is dealt out to the cores.
+    spark.read.parquet(f"{source}/pages.parquet").coalesce(1).write.parquet(f"{tmp_path}/one/pages.parquet")
+    assert inputs.load(spark, f"{tmp_path}/one", "pages").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
