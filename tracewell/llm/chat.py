@@ -6,7 +6,8 @@ loss flag each, and a verdict on the turn order. ``read_back`` parses the string
 Defined cases: null text or role counts as empty; rows of one conversation are ordered by turn (nulls
 first), then role, then text, so ties and repeated rows have one result; a null conversation id is a
 conversation of its own; an empty table gives an empty result; columns beyond the four named ones are
-ignored, whatever their names. A conversation is one value of the result, so its rows meet in one task.
+ignored, whatever their names. A conversation is one value of the result, so its rows meet in one task; its
+length is bounded by what one value of a table can hold (2 GB), and the time is proportional to it.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ The plan, each step exact:
 Two different shingles with equal 64-bit hashes, or two sets with equal 128-bit digests, would be taken as
 one. Defined cases: null and empty texts have no set, n_shingles 0, and are their own component; a text of
 fewer than five words is one shingle; rows with equal id are one document; a row with a null id takes no part
-and has a null component; an empty table gives an empty result.
+and has a null component; a very long text is one set of 8 bytes a shingle; further columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the mean number of lines per document of them, so their entries are shipped to a
 
 Defined cases: a null text stays null and counts as one empty line; lines with fewer than ``shortest`` code
 points in their key always stay; a document that repeats a line is one holder, and the smallest holder
-keeps all its repeats; rows with the same id are one document, a null id counts as the smallest; input
+keeps all its repeats; rows with the same id are one document, a null id counts as the smallest, so rows
+without an id lose no lines; very long texts are read whole, a hash for each of their lines at a time; input
 columns named like the added ones are replaced; an empty table gives an empty result.
 """
 

@@ -9,7 +9,8 @@ numbers per source), then inside a bucket. The texts themselves never move: the
 
 Defined cases: a null text has size 0; a null source is a source of its own, ranked last; a null id sorts
 first; rows with the same source and id are taken or left together; sources without words have target 0
-and send nothing; an empty table gives an empty result. Input columns named like the added ones are replaced.
+and send nothing; a very long text is one document and is taken or left whole; an empty table gives an empty
+result. Input columns named like the added ones are replaced.
 """
 
 from __future__ import annotations

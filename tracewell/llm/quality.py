@@ -13,7 +13,8 @@ cover all documents. Groups are sums, so a host with a third of all documents is
 Defined cases: null and empty texts have the features of an empty text; null hosts and paths are groups of
 their own; labels other than 0 and 1 are ignored, the larger of several labels of a document counts; without
 labels of both kinds the evidence is the share of label 1 (0.5 without labels); an empty table gives an
-empty result; other columns are ignored, whatever their names.
+empty result; other columns are ignored, whatever their names; very long texts are read whole, in time
+proportional to their length.
 """
 
 from __future__ import annotations
