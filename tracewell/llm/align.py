@@ -42,7 +42,7 @@ MOST_PIECES = 250_000
 MOST_CHARS = 8 << 20
 BATCH_CHARS = 1 << 20
 SLICE_CHARS = 1 << 20
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 MOST_HELD = 8_000_000
 BLOCK_LINKS = 2_000_000
 SPACE = "▁"
