@@ -152,6 +152,21 @@ def v1(spark, sf):
     return checked.groupBy("chunk_id", F.col("process_area").alias("lang"), *joined("violations")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "V1_sketched_violations",
+    """WITH pool AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 50 = 0)
+       SELECT 'doc-' || doc_id AS chunk_id, concat_ws('|', CASE WHEN split_part(text, chr(10), 1) = '' THEN 'missing section_heading' END,
+              CASE WHEN text = '' THEN 'missing text' END, CASE WHEN doc_id % 50 = 0 THEN 'duplicate chunk_id' END) AS violations
+       FROM pool""",
+)
+def v1_sketched(spark, sf):
+    """Mostly unique ids: every fiftieth chunk stands there twice."""
+    chunks = i.chunks(spark, sf)
+    twice = chunks.where(F.substring_index("chunk_id", "-", -1).cast("long") % 50 == 0)
+    checked = validation.chunk_violations(chunks.unionByName(twice), sketched=True)
+    return checked.select("chunk_id", *joined("violations"))
+
+
 @query(
     "S7_content_manifest",
     "SELECT conv_id, turn, sha256(text) AS sha256 FROM conversations",
