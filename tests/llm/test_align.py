@@ -34,13 +34,6 @@ def test_sparse_products(monkeypatch):
         assert links == [(0, 0, 1), (0, 1, 1), (1, 2, 3), (2, 3, 1), (3, 4, 4)]
 
 
-def test_varint():
-    values = np.array([0, 1, 127, 128, 300, 2**35, 2**62])
-    raw, sizes = align.varint(values)
-    assert (align.read_varint(raw) == values).all() and sizes.sum() == len(raw)
-    assert len(align.read_varint(np.zeros(0, np.uint8))) == 0
-
-
 def test_odd_texts(spark, brute, monkeypatch):
     rng = random.Random(4)
     parts = list("ab1'st !\n\t\r   　 \x1c\x85é漢😀;}\x00") + ["  ", "'ll", "\r\n", "<|endoftext|>", "<s>", "x" * 70, "▁", "ﬁ", "{\r"]

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType
 
+from tracewell.functions.packed import read_varint, varint
 from tracewell.llm.bpe import WHITE, _Encoder, byte_characters
 from tracewell.llm.common import prepare, replaced, stored, with_fields
 
@@ -391,28 +392,6 @@ def _documents(aligner: Aligner, texts: list[str | None], as_text: bool) -> Iter
     yield from done(len(texts))
 
 
-def varint(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bytes a value): 7 bits a byte, the lowest first; all bytes of a value but the last have the high bit."""
-    values = values.astype(np.uint64)
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        size += values >= np.uint64(1) << np.uint64(7 * k)
-    end = np.cumsum(size)
-    at = np.arange(int(size.sum())) - np.repeat(end - size, size)
-    out = (np.repeat(values, size) >> (7 * at).astype(np.uint64)).astype(np.uint8) & np.uint8(0x7F)
-    out[at < np.repeat(size, size) - 1] |= 0x80
-    return out, size
-
-
-def read_varint(raw: np.ndarray) -> np.ndarray:
-    last = raw < 0x80
-    ends = np.flatnonzero(last)
-    start = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else ends
-    at = np.arange(len(raw)) - np.repeat(start, ends - start + 1)
-    bits = (raw & 0x7F).astype(np.int64) << (7 * at)
-    return np.add.reduceat(bits, start) if len(start) else np.zeros(0, np.int64)
-
-
 def _cut(raw: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> list[bytes]:
     """The bytes of the values between neighbouring edges."""
     upto = np.concatenate([[0], np.cumsum(sizes)])[edges].tolist()
