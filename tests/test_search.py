@@ -289,3 +289,40 @@ def test_registered_totals_pass_rank_20(spark, tmp_path, name):
     spark.createDataFrame([(1, "pen dose")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = registered[name](spark, str(tmp_path)).collect()
     assert sum(r.candidates if name.startswith("J3") else r.queries for r in rows) == 60
+
+
+def test_a_task_holds_few_cells_and_whole_scores():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words_ = [f"w{n}" for n in range(60)]
+    asked = [sorted(rng.choice(60, 40, replace=False).tolist()) for _ in range(400)]
+    counts = [rng.integers(1, 4, 40).tolist() for _ in asked]
+    held = [sorted(rng.choice(60, 45, replace=False).tolist()) for _ in range(500)]
+    weights, bonuses = ([rng.integers(low, 4, 45).astype(float).tolist() for _ in held] for low in (1, 0))
+    terms_ = [[{"term": words_[t], "cnt": n} for t, n in zip(*q)] for q in zip(asked, counts)]
+    entries = [[{"term": words_[t], "weight": w, "bonus": b} for t, w, b in zip(*c)] for c in zip(held, weights, bonuses)]
+
+    class Rows:
+        def toArrow(self):
+            return pa.table({"query_id": list(range(400)), "terms": terms_})
+
+    class Shipped:
+        value = kernel.collect_block(Rows())
+
+    batch = pa.record_batch({"chunk_id": [f"c{n:03d}" for n in range(500)], "terms": entries})
+    tracemalloc.start()
+    got_ = [r for b in kernel.scorer(Shipped, "keyword", 3)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    scores = np.zeros((400, 500))
+    for q in range(400):
+        n = dict(zip(asked[q], counts[q]))
+        for c in range(500):
+            scores[q, c] = sum(n[t] * w + b for t, w, b in zip(held[c], weights[c], bonuses[c]) if t in n)
+    want = {(q, f"c{c:03d}"): scores[q, c] for q in range(400) for c in np.lexsort((np.arange(500), -scores[q]))[:3]}
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in got_} == want
+    for r in got_[::50]:
+        both = set(asked[r["query_id"]]) & set(held[int(r["chunk_id"][1:])])
+        assert r["matched_terms"] == sorted(words_[t] for t in both)
