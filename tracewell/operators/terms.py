@@ -155,11 +155,17 @@ def chunk_features(
     for chunks without one.  Stored once, it serves every later search without tokenizing.
     """
     keep = ["chunk_id", *(c for c in ("source_type",) if c in chunks.columns)]
-    base = chunks.withColumns({"_title": tokens(F.col("source_title")), "_heading": tokens(F.col("section_heading"))})
-    counted = count_terms(base, scoring_text(), [*keep, "_title", "_heading"])
     if vectors is not None:
+        # The texts meet their vectors: the counted terms of a text take several times its room in a shuffle.
         wide = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
-        return counted.select(*keep, weighted_terms().alias("terms")).join(wide, "chunk_id", "left")
+        chunks = chunks.select(*keep, "source_title", "section_heading", "text").join(wide, "chunk_id", "left")
+        counted_keep = [*keep, "vector"]
+    else:
+        counted_keep = keep
+    base = chunks.withColumns({"_title": tokens(F.col("source_title")), "_heading": tokens(F.col("section_heading"))})
+    counted = count_terms(base, scoring_text(), [*counted_keep, "_title", "_heading"])
+    if vectors is not None:
+        return counted.select(*keep, weighted_terms().alias("terms"), "vector")
     if not dims:
         return counted.select(*keep, weighted_terms().alias("terms"))
     kept = counted.withColumn("_kept", weighted_terms())
