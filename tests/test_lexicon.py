@@ -60,3 +60,13 @@ def test_the_plan_does_not_grow_with_the_lexicon(spark, data):
     plain = lexicon_matches(df, spark.range(10).selectExpr("concat('w', id) as term"), "id", limit=0)
     shown = plain._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in shown and "NestedLoop" not in shown and "Cartesian" not in shown
+
+
+def test_a_shipped_lexicon_is_looked_up_in_place(spark):
+    df = spark.createDataFrame([(1, "a red brick house" * 50), (1, "brick, red-brick"), (2, "aredbrick")], "id long, text string")
+    lexicon = spark.createDataFrame([("red brick",), ("brick",), ("red-brick",)], "term string")
+    found = lexicon_matches(df, lexicon, "id", phrases=True)
+    # No q-gram of a text becomes a row, and no candidate is searched for in a whole text.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+    assert sorted(map(tuple, found.collect())) == [(1, "brick"), (1, "brick"), (1, "red brick"), (1, "red-brick")]

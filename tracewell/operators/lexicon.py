@@ -1,9 +1,13 @@
-"""Terms of a lexicon table that occur in texts, as an equi-join on anchors.
+"""Terms of a lexicon table that occur in texts: looked up in place, or as an equi-join on anchors.
 
-Every term names one of its q-grams as its anchor, the one that the fewest texts hold. A text that holds the term holds
+A lexicon that was measured to fit is shipped. A task looks up the q-gram at every place of its texts, which names the
+lengths of the terms that begin with it, and then the texts of these lengths: whole terms are met where they are, no
+q-gram becomes a row and no candidate is searched for in the whole text.
+
+A larger lexicon stays a table. Every term names one of its q-grams as its anchor, the one that the fewest texts hold. A text that holds the term holds
 the anchor, so the distinct q-grams of the texts are joined with the anchors and only the pairs found are
-verified. The size of the lexicon is nowhere in the plan: it is a table, shipped where it was measured to fit, else
-shuffled by q-gram, and then texts stay out of that shuffle. A q-gram that a third of all texts hold is an
+verified. The size of the lexicon is nowhere in the plan: anchors are shuffled by q-gram, and texts stay out of that
+shuffle. A q-gram that a third of all texts hold is an
 anchor only of terms that have no rarer one; its rows are as many as the texts, not more.
 
 Terms shorter than a q-gram are their own anchors. Empty and null terms occur nowhere, repeated terms count
@@ -12,10 +16,13 @@ once, null texts hold nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.text import normalize_space
-from tracewell.session import BROADCAST_BYTES, measured, stored
+from tracewell.session import BROADCAST_BYTES, measured, prepare, stored
 
 GRAM = 4
 
@@ -54,26 +61,72 @@ def _shipped(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if measured(df)[1] <= BROADCAST_BYTES else df
 
 
+def _finder(shipped, by: str, edges: bool):
+    """Function for ``mapInArrow``: the distinct terms in each text, with ``edges`` each with the characters around it."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frozenset(shipped.value.to_pylist())
+        heads: dict[int, dict[str, tuple[int, ...]]] = {}
+        for width, head, size in sorted({(min(len(t), GRAM), t[:GRAM], len(t)) for t in known}):
+            some = heads.setdefault(width, {})
+            some[head] = (*some.get(head, ()), size)
+
+        def terms_of(text: str) -> list[dict]:
+            found = set()
+            for width, some in heads.items():
+                for i in range(len(text) - width + 1):
+                    for size in some.get(text[i : i + width], ()):
+                        term = text[i : i + size]
+                        if term in known:
+                            found.add((term, text[i - 1 : i], text[i + size : i + size + 1]) if edges else (term, "", ""))
+            return [{"term": t, "before": b, "after": a} for t, b, a in found]
+
+        kind = pa.list_(pa.struct([("term", pa.string()), ("before", pa.string()), ("after", pa.string())]))
+        for batch in batches:
+            for part in (batch.slice(n, 256) for n in range(0, batch.num_rows, 256)):
+                found = pa.array([terms_of(x or "") for x in part.column("text").to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([part.column(by), found], names=[by, "found"])
+
+    return find
+
+
+def _found_in_place(texts: DataFrame, terms: DataFrame, by: str, phrases: bool) -> DataFrame:
+    """(by, term) by a shipped lexicon: one row per text and term."""
+    spark = texts.sparkSession
+    prepare(spark)
+    shipped = spark.sparkContext.broadcast(terms.toArrow().column("term").combine_chunks())
+    kind = texts.schema[by].dataType.simpleString()
+    held = texts.mapInArrow(
+        _finder(shipped, by, phrases), f"`{by}` {kind}, found array<struct<term:string,before:string,after:string>>"
+    )
+    if phrases:
+        word = F.lit(r"(?U)\w")
+        free = lambda f: ~F.rlike(f["before"], word) & ~F.rlike(f["after"], word)
+        held = held.withColumn("found", F.filter("found", free))
+    return held.select(by, F.explode(F.array_distinct(F.col("found.term"))).alias("term"))
+
+
 def lexicon_matches(
     texts: DataFrame, lexicon: DataFrame, by: str, phrases: bool = False, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """(by, term) for every text and every term that occurs in it.
 
     ``texts``: a key column ``by`` and text; ``lexicon``: term. As substrings, case as it stands; with
-    ``phrases`` as whole phrases in lower case with any spacing. Anchors of up to ``limit`` bytes are shipped.
+    ``phrases`` as whole phrases in lower case with any spacing. A lexicon of up to ``limit`` bytes is shipped.
     """
     if phrases:
         texts = texts.select(by, normalize_space(F.col("text")).alias("text"))
         lexicon = lexicon.select(normalize_space(F.col("term")).alias("term"))
     texts = texts.select(by, "text")
-    known, widths = anchors(lexicon, texts)
+    terms = stored(lexicon.where("term is not null and term <> ''").select("term").distinct(), "lexicon")
+    if measured(terms)[1] <= limit:
+        return _found_in_place(texts, terms, by, phrases)
+    known, widths = anchors(terms, texts)
     if phrases:
         quoted = F.replace(F.col("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
         holds = F.rlike(F.col("text"), F.concat(F.lit("(?U)(?<!\\w)\\Q"), quoted, F.lit("\\E(?!\\w)")))
     else:
         holds = F.contains(F.col("text"), F.col("term"))
-    if measured(known)[1] <= limit:
-        return _exploded(texts, widths, [by, "text"]).join(F.broadcast(known), "gram").where(holds).select(by, "term")
     found = _exploded(texts, widths, [by]).join(known, "gram").select(by, "term").distinct()
     return texts.join(found, by).where(holds).select(by, "term")
 
