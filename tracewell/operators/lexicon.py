@@ -67,9 +67,12 @@ def _finder(shipped, by: str, edges: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frozenset(shipped.value.to_pylist())
         heads: dict[int, dict[str, tuple[int, ...]]] = {}
-        for width, head, size in sorted({(min(len(t), GRAM), t[:GRAM], len(t)) for t in known}):
+        for term in known:
+            # Long terms have longer heads, which fewer places hold.
+            width = min(len(term), GRAM if len(term) < 2 * GRAM else 2 * GRAM)
             some = heads.setdefault(width, {})
-            some[head] = (*some.get(head, ()), size)
+            if len(term) not in some.get(term[:width], ()):
+                some[term[:width]] = (*some.get(term[:width], ()), len(term))
 
         def terms_of(text: str) -> list[dict]:
             found = set()
