@@ -50,6 +50,36 @@ def test_odd_texts(spark, brute, monkeypatch):
                 assert sum(pairs[1].tolist()) == doc.n_links == sum(len(a) * len(b) for a, b in want)
 
 
+def test_full_table_keeps_frequent_pieces(brute, monkeypatch):
+    monkeypatch.setattr(align, "MOST_PIECES", 40)
+    monkeypatch.setattr(align, "BATCH_CHARS", 200)
+    aligner, learnt, learn = align.Aligner(alignment_models()), [], align.Aligner.learn
+    monkeypatch.setattr(align.Aligner, "learn", lambda self, pieces: (learnt.extend(pieces), learn(self, pieces))[1])
+    rng, often = random.Random(9), ["the", "don't", "Straße,", "漢字", "▁x", "y" * 70]
+    texts = [" ".join([*often, *(f"w{rng.randrange(10**6)}" for _ in range(5)), *often]) for _ in range(60)]
+    texts = [t if k % 7 else t.replace("▁x", "x") + " \n" for k, t in enumerate(texts)]
+    for text, (doc, pairs) in zip(texts, align._documents(aligner, texts, True)):
+        want = brute.groups(text)
+        shown = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want)
+        assert ("" if doc.broken else b"".join(doc.text).decode()) == shown, text
+        assert not want or sum(pairs[1].tolist()) == doc.n_links
+    # Six short frequent words: each is learnt once, though the table was full many times.
+    assert len(learnt) > 5 * align.MOST_PIECES
+    assert [learnt.count(" " + w) for w in often[:5]] == [1] * 5 and learnt.count(" " + often[5]) > 1
+
+
+def test_tokens_that_do_not_give_back_their_piece():
+    aligner = align.Aligner(alignment_models())
+    pieces = [" plain", " ﬁn", " ▁", " ß😀", " ½", "\n\n", " end"]
+    raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+    edges = np.cumsum([0, *(len(p.encode()) for p in pieces)])
+    for model, found in ((aligner.a, aligner.a(pieces, edges)), (aligner.b, aligner.b(pieces))):
+        parted = np.split(found[0], np.cumsum(found[1])[:-1])
+        want = [b"".join(model.tokens[i] for i in ids) == p.encode() for ids, p in zip(parted, pieces)]
+        assert align._gives_back(model, *found, raw, edges).tolist() == want
+    assert not all(want)
+
+
 def test_corpus(spark, brute, monkeypatch):
     docs = documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(7, "▁ is no space"), (7, "<|endoftext|> is text")]

@@ -7,7 +7,8 @@ the group incidences of both sides gives the links: all pairs of tokens that sha
 
 Both models end a token before a run of white space (unless the model has tokens that go on there), so a text is
 the sequence of its pieces between such places; a piece has the same ids, groups and links wherever it stands.
-New pieces go through the matrices together and stay in a bounded table.
+New pieces go through the matrices together and stay in a bounded table; where that is full, the pieces used most
+often stay.
 
 Plan: a task aligns its texts and collects, per part of at most about ``PART_BYTES`` of text, each document's
 distinct id pairs as short numbers into the part's list of pairs. Only that list is shuffled: its document counts
@@ -29,6 +30,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType
 
 from tracewell.functions.packed import read_varint, varint
-from tracewell.llm.bpe import WHITE, _Encoder, byte_characters
+from tracewell.llm.bpe import MOST_PIECE_CHARS, WHITE, byte_characters
 from tracewell.llm.common import prepare, replaced, stored, with_fields
 
 MOST_PIECES = 250_000
 MOST_CHARS = 8 << 20
+LEARNT_AT_ONCE = 5_000
 BATCH_CHARS = 1 << 20
 SLICE_CHARS = 1 << 20
 PART_BYTES = 16 << 20
@@ -161,8 +164,8 @@ def read_models(byte_json: str, piece_model: str) -> Models:
     return Models(one, two, hashlib.sha256(one.encode() + two).hexdigest())
 
 
-class _ByteModel(_Encoder):
-    """A: ids of pieces by the tokenizers model of the file."""
+class _ByteModel:
+    """A: ids of pieces that begin with white space, by the tokenizers model of the file."""
 
     def __init__(self, content: str):
         import os
@@ -178,9 +181,20 @@ class _ByteModel(_Encoder):
         self.tokens = [bytes(back[c] for c in names[i]) if i in names else b"" for i in range(max(names) + 1)]
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
 
-    def __call__(self, pieces: list[str]) -> list[np.ndarray]:
-        found = self._learn(pieces)
-        return [np.frombuffer(found[p], "<u4") for p in pieces]
+    def __call__(self, pieces: list[str], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids a piece); the bytes of the pieces end at ``edges[1:]``.
+
+        What stands before a piece does not change it, nor does what follows, unless it ends with white space:
+        pieces up to such a one are encoded joined and parted again by the byte lengths of their tokens.
+        """
+        ends = {k + i for k, p in enumerate(pieces) if p[-1] in self.white for i in (0, 1)}
+        cuts = sorted(ends | set(range(0, len(pieces), LEARNT_AT_ONCE)) | {len(pieces)})
+        joined = ["".join(pieces[i:k]) for i, k in zip(cuts, cuts[1:])]
+        codes = self.model.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(c.ids, np.int64) for c in codes)])
+        upto = np.minimum(np.searchsorted(np.cumsum(self.sizes[ids]), edges[1:]) + 1, len(ids))
+        upto[-1] = len(ids)
+        return ids, np.diff(upto, prepend=0)
 
 
 class _PieceModel:
@@ -208,11 +222,41 @@ class _PieceModel:
             raise ValueError("this model's tokens go on across spaces")
         return "".join(sorted(w for w in white if any(w in name[1:] for name in self.names)))
 
-    def __call__(self, pieces: list[str]) -> list[list[int]]:
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids a piece)."""
         # The added space stands for that of the piece; other white space does not merge with it, it is cut off again.
         own = [p[0] == " " for p in pieces]
         codes = self.model.encode([p[1:] if o else p for p, o in zip(pieces, own)], num_threads=1)
-        return [c or [self.space] if o else c[1:] for c, o in zip(codes, own)]
+        codes = [c or [self.space] if o else c[1:] for c, o in zip(codes, own)]
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+        return np.fromiter(chain.from_iterable(codes), np.int64, int(sizes.sum())), sizes
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+
+
+def _gives_back(model, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Of each piece whether the bytes of its ``n`` tokens are its own, those of ``raw`` between neighbouring edges."""
+    sizes = np.diff(edges)
+    same = np.diff(_edges(model.sizes[ids])[_edges(n)]) == sizes
+    got = b"".join(map(model.tokens.__getitem__, ids[np.repeat(same, n)].tolist()))
+    wrong = _edges(np.frombuffer(got, np.uint8) != raw[np.repeat(same, sizes)])
+    same[same] = np.diff(wrong[_edges(sizes[same])]) == 0
+    return same
+
+
+class _Numbers(dict):
+    """Piece -> number, in order; a piece that is not there is added and waits to be learnt."""
+
+    def __init__(self, pieces: list[str]):
+        super().__init__(zip(pieces, range(len(pieces))))
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
 
 
 class Aligner:
@@ -226,15 +270,32 @@ class Aligner:
         self.cut = re.compile(f"(?<=[^{WHITE}])[{WHITE}]" if not glue else f"(?<=[^{WHITE}])(?![{glue}])[{WHITE}]")
         self.size_b = len(self.b.tokens)
         names_a, names_b = ([str(i).encode() for i in range(len(m.tokens))] for m in (self.a, self.b))
-        self.text_a = [[n + e for n in names_a] for e in (b",", b"|")]
-        self.text_b = [[n + e for n in names_b] for e in (b",", b";")]
-        self.forget()
+        # A token's text by its id, then that of a group's last token; those of B after those of A.
+        texts = [n + e for names, ends in ((names_a, b",|"), (names_b, b",;")) for e in (ends[:1], ends[1:]) for n in names]
+        self.texts = np.array(texts, object)
+        self.known, self.groups, self.chars = _Numbers([]), [], 0
+        self.counts, self.used = np.zeros((0, 5), np.int64), np.zeros(0, np.int64)
+        self.indptr, self.keys, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars, self.groups = 0, []
-        self.counts = np.zeros((0, 5), np.int64)
-        self.indptr, self.keys, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keeps the short pieces that were used most often, at least twice, up to half of the table."""
+        pieces = list(self.known)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        keep = np.flatnonzero((self.used > 1) & (sizes <= MOST_PIECE_CHARS))
+        keep = keep[np.argsort(-self.used[keep], kind="stable")]
+        keep = np.sort(keep[np.cumsum(sizes[keep]) <= MOST_CHARS // 2][: MOST_PIECES // 2])
+        self.known, self.chars = _Numbers([pieces[k] for k in keep.tolist()]), int(sizes[keep].sum())
+        self.groups = [self.groups[k] for k in keep.tolist()]
+        at, count = self._places(keep)
+        self.keys, self.links, self.indptr = self.keys[at], self.links[at], _edges(count)
+        # What was frequent long ago gives way to what is now.
+        self.counts, self.used = self.counts[keep], self.used[keep] // 2
+
+    def _places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all pairs of these pieces, pairs a piece)."""
+        count = np.diff(self.indptr)[numbers]
+        start = self.indptr[numbers] - np.cumsum(count) + count
+        return np.repeat(start, count) + np.arange(int(count.sum())), count
 
     def slices(self, text: str) -> Iterator[str]:
         """A space and the text, in slices that end between pieces."""
@@ -248,36 +309,31 @@ class Aligner:
         yield text[begin:] if begin else text
 
     def learn(self, pieces: list[str]) -> None:
-        """Adds distinct pieces that are not known yet."""
+        """Adds distinct pieces, those that got the next numbers."""
         if not pieces:
             return
-        a_ids, b_ids = self.a(pieces), self.b(pieces)
-        raw_a, raw_b = self.a.tokens, self.b.tokens
-        whole = np.zeros(len(pieces), bool)
-        for k, (p, x, y) in enumerate(zip(pieces, a_ids, b_ids)):
-            raw = p.encode()
-            whole[k] = b"".join([raw_a[i] for i in x]) == raw and b"".join([raw_b[i] for i in y]) == raw
-            if not whole[k]:
-                a_ids[k], b_ids[k] = x[:0], y[:0]
-        n_a, n_b = np.array([len(x) for x in a_ids]), np.array([len(y) for y in b_ids])
-        a = np.concatenate(a_ids).astype(np.int64)
-        b = np.array([i for y in b_ids for i in y], np.int64)
+        size, text = len(pieces), "".join(pieces)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        first = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        edges = first[_edges(np.fromiter(map(len, pieces), np.int64, size))]
+        a, n_a = self.a(pieces, edges)
+        b, n_b = self.b(pieces)
+        whole = _gives_back(self.a, a, n_a, raw, edges) & _gives_back(self.b, b, n_b, raw, edges)
+        a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
+        n_a, n_b = n_a * whole, n_b * whole
         link_a, link_b, _ = overlap_links(self.a.sizes[a], self.b.sizes[b])
         of_a, of_b = token_groups(link_a, link_b, len(a), len(b))
         n = int(of_a[-1]) + 1 if len(of_a) else 0
-        piece_a = np.repeat(np.arange(len(pieces)), n_a)
         piece_of_group = np.zeros(n, np.int64)
-        piece_of_group[of_a] = piece_a
+        piece_of_group[of_a] = np.repeat(np.arange(size), n_a)
         in_a, in_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
-        size = len(pieces)
         total = np.bincount(piece_of_group, weights=in_a * in_b, minlength=size)
         counts = [n_a, n_b, np.bincount(piece_of_group, minlength=size), total, ~whole]
         self.counts = np.concatenate([self.counts, np.stack(counts, axis=1).astype(np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(size, np.int64)])
         self._add_pairs(size, piece_of_group, of_a, a, of_b, b, n)
-        self.groups += self._texts(a, of_a, n_a, b, of_b, n_b)
-        for p in pieces:
-            self.known[p] = len(self.known)
-            self.chars += len(p)
+        self.groups += self._texts(a, of_a, b, of_b, n_a + n_b)
+        self.chars += len(text)
 
     def _add_pairs(self, size, piece_of_group, of_a, a, of_b, b, n) -> None:
         found = [(np.zeros(0, np.int64),) * 3]
@@ -289,33 +345,36 @@ class Aligner:
         self.indptr = np.concatenate([self.indptr, self.indptr[-1] + pairs.indptr[1:]])
         self.keys, self.links = np.concatenate([self.keys, pairs.indices]), np.concatenate([self.links, pairs.data])
 
-    def _texts(self, a, of_a, n_a, b, of_b, n_b) -> list[bytes]:
+    def _texts(self, a, of_a, b, of_b, sizes) -> list[bytes]:
         """The groups of each piece as a1,a2|b1;a3|b2,b3; -- with the last separator."""
         last_a = np.append(of_a[1:] != of_a[:-1], True) if len(of_a) else np.zeros(0, bool)
         last_b = np.append(of_b[1:] != of_b[:-1], True) if len(of_b) else np.zeros(0, bool)
-        out: list[bytes] = [b""] * (len(a) + len(b))
+        which = np.zeros(len(a) + len(b), np.int64)
         # A group's A tokens stand before its B tokens.
-        at_a = np.arange(len(a)) + np.searchsorted(of_b, of_a, "left")
-        at_b = np.arange(len(b)) + np.searchsorted(of_a, of_b, "right")
-        for text, ids, last, at in ((self.text_a, a, last_a, at_a), (self.text_b, b, last_b, at_b)):
-            for i, end, k in zip(ids.tolist(), last.tolist(), at.tolist()):
-                out[k] = text[end][i]
-        ends = np.cumsum(n_a + n_b).tolist()
-        return [b"".join(out[begin:end]) for begin, end in zip([0, *ends], ends)]
+        which[np.arange(len(a)) + np.searchsorted(of_b, of_a, "left")] = a + last_a * len(self.a.tokens)
+        which[np.arange(len(b)) + np.searchsorted(of_a, of_b, "right")] = (
+            2 * len(self.a.tokens) + b + last_b * len(self.b.tokens)
+        )
+        out, ends = self.texts[which].tolist(), _edges(sizes).tolist()
+        return [b"".join(out[begin:end]) for begin, end in zip(ends, ends[1:])]
 
     def __call__(self, slices: list[str]) -> list[np.ndarray]:
         """The numbers of each slice's pieces; all are known until the next call."""
         if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
             self.forget()
-        parted = [self.pieces(s) for s in slices]
-        self.learn(list(dict.fromkeys(p for some in parted for p in some if p not in self.known)))
-        number = self.known.__getitem__
-        return [np.fromiter(map(number, some), np.int64, len(some)) for some in parted]
+        number, numbers = self.known.__getitem__, []
+        for s in slices:
+            some = self.pieces(s)
+            numbers.append(np.fromiter(map(number, some), np.int64, len(some)))
+        new, self.known.new = self.known.new, []
+        self.learn(new)
+        if numbers:
+            self.used += np.bincount(np.concatenate(numbers), minlength=len(self.known))
+        return numbers
 
     def pairs(self, numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(doc, pair, links) of pieces, distinct by doc and pair and sorted."""
-        count = np.diff(self.indptr)[numbers]
-        at = np.repeat(self.indptr[numbers], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at, count = self._places(numbers)
         return _distinct(np.repeat(doc, count), self.keys[at], self.links[at], len(self.a.tokens) * self.size_b)
 
 
