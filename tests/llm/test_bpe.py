@@ -1,10 +1,15 @@
 import base64
+import os
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tests.llm.data import documents, texts
 from tracewell.llm import bpe
@@ -71,3 +76,33 @@ def test_piece_table_stays_small(vocabulary, monkeypatch):
     for i in range(20):
         encoder.packed([" ".join(f"w{i}x{j}" for j in range(8))])
         assert len(encoder.known) <= 18
+
+
+def _workers(spark) -> dict[int, tuple[float, int]]:
+    """Of each Python worker: MB of its own memory, pieces in its table."""
+
+    def look(batches):
+        list(batches)
+        time.sleep(0.3)
+        with open("/proc/self/smaps_rollup") as file:
+            own = int(re.search(r"\nPss_Anon: +(\d+)", file.read())[1]) / 1024
+        made = bpe._made.get("_Encoder")
+        row = {"pid": os.getpid(), "mb": own, "pieces": len(made[1].known) if made else -1}
+        yield pa.RecordBatch.from_pylist([row])
+
+    rows = spark.range(0, 4, 1, 4).mapInArrow(look, "pid long, mb double, pieces long").collect()
+    return {r.pid: (r.mb, r.pieces) for r in rows}
+
+
+def test_workers_are_left_with_the_model_alone(spark, vocabulary):
+    kind = "doc_id long, text string"
+    few = spark.createDataFrame([(i, "some words") for i in range(4)], kind).repartition(4)
+    words = F.transform(F.sequence(F.lit(0), F.lit(400)), lambda k: F.substring(F.sha1(F.concat(F.col("id"), F.lit("-"), k)), 1, 9))
+    many = spark.range(0, 4_000, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    bpe.round_trip(few, vocabulary).collect()
+    before = _workers(spark)
+    assert bpe.round_trip(many, vocabulary).agg(F.sum("n_tokens")).first()[0] > 4_000_000
+    after = _workers(spark)
+    assert before.keys() & after.keys()
+    assert all(pieces <= 0 for _, pieces in after.values())
+    assert max(after[pid][0] - before[pid][0] for pid in before.keys() & after.keys()) < 45

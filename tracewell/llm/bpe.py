@@ -6,6 +6,8 @@ the merges and ships the model, whose size is that of the vocabulary, to the tas
 Whole texts are encoded. Inside a task the text is cut before each run of white space, where a match of the
 splitting pattern always begins, so a piece has the same ids wherever it stands; pieces are encoded once
 and kept in a bounded table. Batches are cut by bytes, so one long text does not enlarge its neighbours.
+A worker lives on through the stages that follow: it gives free memory back after each part, and its table is
+emptied at the end of a task, so that only the model stays.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; ids are those of ordinary text,
 special tokens do not exist; a token may hold part of a character, then its span covers that character
@@ -26,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from tracewell.llm.common import prepare, replaced, with_fields
+from tracewell.llm.common import prepare, releasing, replaced, with_fields
 
 # The pattern that parts text before merging, and the white space it knows. Fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +37,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MOST_PIECES = 120_000
 MOST_PIECE_CHARS = 64
 LEARNT_AT_ONCE = 5_000
-PART_BYTES = 2 << 20
+PART_BYTES = 256 << 10
 
 
 def byte_characters() -> list[str]:
@@ -260,8 +262,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", spans: b
                 if spans:
                     _with_spans(decoder, packed, texts, added)
                 yield replaced(batch, added)
+        encoder.known.clear()
 
-    return docs.mapInArrow(run, with_fields(docs.schema, TOKENS + (SPANS if spans else [])))
+    return docs.mapInArrow(releasing(run), with_fields(docs.schema, TOKENS + (SPANS if spans else [])))
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary, as_text: bool = False) -> DataFrame:
@@ -277,7 +280,7 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, as_text: bool = False) ->
                 _decoded(decoder, batch.column("token_bytes").to_pylist(), as_text, added)
                 yield replaced(batch, added)
 
-    return tokens.mapInArrow(run, with_fields(tokens.schema, new))
+    return tokens.mapInArrow(releasing(run), with_fields(tokens.schema, new))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -292,6 +295,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> D
                 packed = _encoded(encoder, [t or "" for t in batch.column(text).to_pylist()], added)
                 _decoded(decoder, packed, False, added)
                 yield replaced(batch, added).drop_columns([text])
+        encoder.known.clear()
 
     kept = StructType([f for f in docs.schema.fields if f.name != text])
-    return docs.mapInArrow(run, with_fields(kept, TOKENS + [("decoded", BinaryType())]))
+    return docs.mapInArrow(releasing(run), with_fields(kept, TOKENS + [("decoded", BinaryType())]))

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewell.llm.common import broadcast_if_bounded, prepare, stored
+from tracewell.llm.common import broadcast_if_bounded, prepare, releasing, stored
 from tracewell.llm.components import components
 
 WORDS = 5
@@ -95,7 +95,7 @@ def text_sets(docs: DataFrame) -> DataFrame:
             )
 
     kind = "doc_id long, n_shingles long, d1 long, d2 long, low array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), kind)
 
 
 def _spare(n: Column) -> Column:
@@ -135,7 +135,7 @@ def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 names=["rep", "d1", "n", "shingles"],
             )
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, d1 long, n long, shingles array<long>")
+    return texts.select("rep", "text").mapInArrow(releasing(run), "rep long, d1 long, n long, shingles array<long>")
 
 
 def _ordered(sets: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType
 
-from tracewell.llm.common import broadcast_if_bounded, prepare, replaced, stored, with_fields
+from tracewell.llm.common import broadcast_if_bounded, prepare, releasing, replaced, stored, with_fields
 
 SHORTEST = 10
 HOT_SHARE = 1000
@@ -170,7 +170,7 @@ def line_index(docs: DataFrame, shards: int, hot_at: float, shortest: int = SHOR
             )
 
     kind = "shard int, h1 long, h2 long, first long, last long, holders long"
-    held = docs.select("doc_id", "text").mapInArrow(lines, kind).repartition(shards, "shard")
+    held = docs.select("doc_id", "text").mapInArrow(releasing(lines), kind).repartition(shards, "shard")
     held = held.groupBy("shard", "h1", "h2").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.sum("holders").alias("holders")
     )
@@ -231,7 +231,7 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, shards: int | None =
                 names=["shard", "h1", "h2", "doc"],
             )
 
-    sent = docs.select("doc_id", "text").mapInArrow(probes, "shard int, h1 long, h2 long, doc long")
+    sent = docs.select("doc_id", "text").mapInArrow(releasing(probes), "shard int, h1 long, h2 long, doc long")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -278,4 +278,4 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, shards: int | None =
             yield out.select([n for n in out.schema.names if n not in ("line_doc", "line_drops")])
 
     added = [("text", StringType()), ("n_lines", LongType()), ("n_dropped", LongType())]
-    return joined.mapInArrow(cut, with_fields(docs.schema, added))
+    return joined.mapInArrow(releasing(cut), with_fields(docs.schema, added))

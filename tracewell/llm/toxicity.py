@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from tracewell.llm.common import prepare, replaced, stored, with_fields
+from tracewell.llm.common import prepare, releasing, replaced, stored, with_fields
 
 WINDOW = 32
 MOST_LABELLED = 20_000
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 [pa.array(code), pa.array(toxic, pa.int64()), pa.array(folds, pa.int32())], names=["code", "toxic", "fold"]
             )
 
-    counts = texts.select("text", "toxic", "fold").mapInArrow(words, "code long, toxic long, fold int").groupBy("code")
+    counts = texts.select("text", "toxic", "fold").mapInArrow(releasing(words), "code long, toxic long, fold int").groupBy("code")
     marks = {"t": F.col("toxic"), "o": 1 - F.col("toxic")}
     counts = counts.agg(
         *(F.sum(F.when(F.col("fold") == f, m).otherwise(0)).alias(f"{n}{f}") for f in LEARNABLE for n, m in marks.items())
@@ -168,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 [pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["row", "toxic"]
             )
 
-    seen = texts.select("text", "toxic", "fold").mapInArrow(measure, "row array<double>, toxic long").toPandas()
+    seen = texts.select("text", "toxic", "fold").mapInArrow(releasing(measure), "row array<double>, toxic long").toPandas()
     weights = _logistic(np.stack(seen.row.to_list()), seen.toxic.to_numpy(float))
     model = dictionaries()
     return Model(model.ordinary, model.toxic, tuple(weights.tolist()), 0.0)
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     added = [("toxic_score", DoubleType()), ("toxic_predicted", IntegerType())]
-    return docs.mapInArrow(run, with_fields(docs.schema, added))
+    return docs.mapInArrow(releasing(run), with_fields(docs.schema, added))
