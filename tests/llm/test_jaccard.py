@@ -2,6 +2,7 @@ import random
 import time
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.data import documents, prose
@@ -143,3 +144,46 @@ def test_unlinked_sets_do_not_meet():
             forest.link(i, 21, [10 + (i // 2) * 20 + k if k % 2 else -(10 + ((i + 1) // 2) * 20 + k) for k in range(20)] + [1])
         took[n] = time.perf_counter() - start
     assert took[4000] < 8 * max(took[1000], 0.05)
+
+
+def test_unlinked_sets_are_compared_at_once(monkeypatch):
+    """Sets that share rare shingles and have no link walk no tree one by one."""
+    walks, walk = [], SetTree.first_link
+    monkeypatch.setattr(SetTree, "first_link", lambda self, *rest: walks.append(1) or walk(self, *rest))
+    rng, forest = random.Random(6), Forest()
+    for i in range(300):
+        own = list(range(60)) + [rng.getrandbits(62) for _ in range(40)]
+        assert forest.link(i, 100, own) == []
+    assert len(walks) < 300
+
+
+def test_a_part_returns_stars():
+    """A chain of links in one part comes out as a star around its smallest set."""
+    n = 40
+    ranked = [list(range(i, i + 20)) for i in range(n)]
+    keys = [(17 * i) % n for i in range(n)]
+    part = pa.table({"rep": keys, "n": [20] * n, "ranked": ranked, "probe": [False] * n, "grow": [True] * n})
+    found = jaccard._walk(part)
+    assert sorted(found["a"].to_pylist()) == list(range(1, n))
+    assert set(found["b"].to_pylist()) == {0}
+
+
+def test_stars_take_no_step(spark, monkeypatch):
+    """Edges that are stars already are written once; two levels of stars take one step."""
+    from tracewell.llm import components as module
+
+    written, write = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or write(df, name))
+    stars = [(10 * s + i, 10 * s) for s in range(3) for i in range(1, 6)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(stars * 2, "a long, b long")).collect()}
+    assert found == dict(stars) and len(written) == 1
+    written.clear()
+    found = {r.node: r.component for r in components(spark.createDataFrame(stars + [(0, 10), (0, 20)], "a long, b long")).collect()}
+    assert found == {a: 0 for a in [a for a, _ in stars] + [10, 20]} and len(written) == 2
+
+
+def test_components_without_broadcasts(spark, monkeypatch):
+    from tracewell.llm import components as module
+
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    test_components(spark)

@@ -13,8 +13,9 @@ The plan, each step exact:
    votes). Such a home, cut into parts of bounded size, is one tree: sets are stored along their ordered
    shingles, so equal beginnings are walked once, with the overlap so far; a branch is left where the
    remaining lengths cannot reach the similarity. Sets of a home that are not linked yet stand in trees of their
-   own, and a set walks those that hold one of its prefix shingles in a prefix. The first link found in a tree
-   is enough.
+   own, and a set walks those that hold one of its prefix shingles in a prefix; trees of few sets are not walked
+   one by one, their overlaps are counted at once. The first link found in a tree is enough. A part returns its
+   components as stars, so that joining the parts takes few steps.
 5. Sets that share a prefix shingle but are not connected yet meet in a second pass: each set of the smaller
    component walks the trees of the larger one, again cut into parts.
 6. Links become components.
@@ -42,6 +43,8 @@ SHARE = 0.375
 PART = 2048
 RUN = 48
 LISTED = 1024
+FEW = 8
+BLOCK = 1 << 18
 
 # Odd multipliers for the places of a shingle, and of the mixing steps.
 _PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -106,7 +109,7 @@ def _spare(n: Column) -> Column:
 def _candidates(sets: DataFrame) -> DataFrame:
     """rep: the smallest document of each set that step 2 leaves."""
     single = sets.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(single.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "set-reps")
+    reps = single.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"))
     # A shingle is held by one set only when the smallest and the largest digest of its holders agree.
     held = single.select("d1", F.explode("low").alias("shingle")).groupBy("shingle")
     alone = held.agg(F.min("d1").alias("d1"), F.max("d1").alias("other")).where("d1 = other")
@@ -238,54 +241,101 @@ class SetTree:
 class Forest:
     """The trees of the components found so far, and for every prefix shingle the trees that hold it in a prefix.
 
-    Linked sets share a prefix shingle, so a set walks only the trees that its own prefix names.
+    Linked sets share a prefix shingle, so a set meets only the trees that its own prefix names. The members of a
+    tree of up to FEW sets are also kept as arrays. Their overlaps with a set are counted at once, by the slots of
+    the shingles in a table, which counts too many at most; only the trees that may have a link are walked.
     """
 
     def __init__(self):
         self.trees: dict[int, SetTree] = {}
         self.joined: list[int] = []
         self.holders: dict[int, set[int]] = {}
+        self.few: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.slots = np.zeros(1 << 16, bool)
 
     def _now(self, tree: int) -> int:
         while self.joined[tree] != tree:
             self.joined[tree] = tree = self.joined[self.joined[tree]]
         return tree
 
+    def _may_link(self, trees: list[int], size: int, own: np.ndarray) -> Iterator[int]:
+        """Those of the small trees in which a member may be linked with the set."""
+        while len(self.slots) < 16 * len(own):
+            self.slots = np.zeros(2 * len(self.slots), bool)
+        mask = len(self.slots) - 1
+        self.slots[own & mask] = True
+        members = [(t, *member) for t in trees for member in self.few[t]]
+        last = 0
+        while last < len(members):
+            first, room = last, BLOCK
+            while last < len(members) and (last == first or len(members[last][2]) <= room):
+                room -= len(members[last][2])
+                last += 1
+            of, sizes, others = zip(*members[first:last])
+            ends = np.cumsum([len(o) for o in others])
+            met = np.concatenate(([0], np.cumsum(self.slots[np.concatenate(others) & mask])))
+            overlap = np.diff(met[ends], prepend=0)
+            yield from {of[i] for i in np.flatnonzero(7 * overlap >= 3 * (size + np.array(sizes))).tolist()}
+        self.slots[own & mask] = False
+
+    def _add(self, tree: int, key, size: int, ranked: list[int]) -> None:
+        self.trees[tree].add(key, size, ranked)
+        if tree in self.few:
+            self.few[tree].append((size, np.array(ranked, np.int64)))
+            if len(self.few[tree]) > FEW:
+                del self.few[tree]
+
     def link(self, key, size: int, ranked: list[int]) -> list:
         """One linked member of every component that has one; the set joins these components."""
         # n - ceil(3n / 4) shingles may be missing, among them those that no other set holds.
         prefix = ranked[: max(0, size - (3 * size + 3) // 4 + 1 - (size - len(ranked)))]
-        places, named = {s: i for i, s in enumerate(ranked)}, set()
-        for s in prefix:
-            self.holders[s] = {self._now(t) for t in self.holders.get(s, ())}
-            named |= self.holders[s]
-        found = [(t, self.trees[t].first_link(size, places, key)) for t in sorted(named)]
+        places = {s: i for i, s in enumerate(ranked)}
+        named = {self._now(t) for t in set().union(*(self.holders.get(s, ()) for s in prefix))}
+        few = sorted(named & self.few.keys())
+        walked = (named - self.few.keys()).union(self._may_link(few, size, np.array(ranked, np.int64)))
+        found = [(t, self.trees[t].first_link(size, places, key)) for t in sorted(walked)]
         linked = [t for t, other in found if other is not None]
         home = max(linked, key=lambda t: self.trees[t].size, default=None)
         if home is None:
             home = len(self.joined)
             self.joined.append(home)
-            self.trees[home] = SetTree()
-        self.trees[home].add(key, size, ranked)
+            self.trees[home], self.few[home] = SetTree(), []
+        self._add(home, key, size, ranked)
         for tree in linked:
             if tree != home:
+                self.few.pop(tree, None)
                 for member in self.trees.pop(tree).members():
-                    self.trees[home].add(*member)
+                    self._add(home, *member)
                 self.joined[tree] = home
         for s in prefix:
-            self.holders[s].add(home)
+            self.holders.setdefault(s, set()).add(home)
         return [other for _, other in found if other is not None]
 
 
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Every set that the links touch with the smallest one that they connect it to, if that is another."""
+    root: dict[int, int] = {}
+
+    def find(a: int) -> int:
+        while root.setdefault(a, a) != a:
+            root[a] = a = root[root[a]]
+        return a
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(a, find(a)) for a in root if root[a] != a]
+
+
 def _walk(group: pa.Table) -> pa.Table:
-    """Links inside one part.
+    """Links inside one part, as stars around the smallest set of each component.
 
     With ``grow`` every set walks the trees of the earlier ones, one tree per component found so far, and
     joins them. Otherwise the members form one tree, which the probes walk.
     """
     order = np.lexsort([group.column(n).to_numpy() for n in ("rep", "n", "probe")])
     group = group.take(pa.array(order))
-    tree, forest, a, b = SetTree(), Forest(), [], []
+    tree, forest, links = SetTree(), Forest(), []
     columns = (group.column(n).to_pylist() for n in ("rep", "n", "ranked", "probe", "grow"))
     for rep, n, ranked, probe, grow in zip(*columns):
         if grow:
@@ -296,8 +346,8 @@ def _walk(group: pa.Table) -> pa.Table:
         else:
             tree.add(rep, n, ranked)
             continue
-        a += [rep] * len(found)
-        b += found
+        links += [(rep, other) for other in found]
+    a, b = zip(*_stars(links)) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -319,11 +369,11 @@ def _homes(prefixes: DataFrame) -> DataFrame:
 
 
 def set_links(sets: DataFrame) -> DataFrame:
-    """(a, b) links between the sets of ``_ordered`` that connect every pair at the similarity."""
+    """(a, b) that connect the sets of ``_ordered`` as the links at the similarity do."""
     prefixes = stored(sets.select("rep", "n", F.explode("prefix").alias("shingle")), "set-prefixes")
     flag = {"probe": F.lit(False), "grow": F.lit(True)}
-    homes = stored(_homes(prefixes), "set-homes")
-    named = homes.select("rep", "home").union(homes.select("home", "home").distinct()).distinct()
+    home = F.array(F.struct("rep", "home"), F.struct(F.col("home").alias("rep"), "home"))
+    named = stored(_homes(prefixes).select(F.inline(home)).distinct(), "set-homes")
     members = stored(_in_parts(named, "home").select("rep", "home", "part"), "set-members")
     first = members.join(sets.select("rep", "n", "ranked"), "rep").withColumns(flag)
     links = stored(first.groupBy("home", "part").applyInArrow(_walk, "a long, b long"), "set-links")
@@ -351,21 +401,21 @@ def set_links(sets: DataFrame) -> DataFrame:
         fits = (4 * n >= 3 * s["least"]) & (4 * s["most"] >= 3 * n)
         return smaller & fits & F.coalesce(F.col("met") != s["met"], F.lit(True))
 
-    rows = rows.select("rep", F.transform(F.filter("spans", worth), lambda s: s["label"]).alias("into"))
+    rows = rows.select("rep", F.transform(F.filter("spans", worth), lambda s: F.struct(s["label"], s["weight"])).alias("into"))
     named = rows.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("into"))).alias("into"))
-    probes = named.select("rep", F.explode("into").alias("into"))
-    probes = stored(probes, "set-probes")
-    targets = probes.select(F.col("into").alias("label")).distinct()
-    members = _in_parts(labelled.join(targets, "label").select("rep", "label"), "label")
-    parts = members.groupBy("label").agg(F.max("parts").alias("parts"))
-    members = members.select("rep", "label", "part", F.lit(False).alias("probe"))
-    sent = probes.select("rep", F.col("into").alias("label")).join(parts, "label")
-    sent = sent.select(
+    probes = named.select("rep", F.inline("into"))
+    parts = F.ceil(F.col("weight") / PART)
+    probes = stored(probes.select("rep", "label", parts.alias("parts")), "set-probes")
+    targets = probes.select("label").distinct()
+    part = F.pmod(F.xxhash64("rep"), parts)
+    members = labelled.join(targets, "label").select("rep", "label", part.alias("part"), F.lit(False).alias("probe"))
+    sent = probes.select(
         "rep", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe")
     )
     both = members.union(sent).join(sets.select("rep", "n", "ranked"), "rep").withColumn("grow", F.lit(False))
     more = both.groupBy("label", "part").applyInArrow(_walk, "a long, b long")
-    return links.union(more)
+    # The first pass is known as its components, which are stars.
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
