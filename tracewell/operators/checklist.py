@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tracewell.functions.text import any_of, humanize, lit_array, rx, strip
 from tracewell.operators.ranking import check_top_k, top_k
-from tracewell.operators.search import attach_chunks, keyword_winners
+from tracewell.operators.search import keyword_winners
 from tracewell.operators.terms import scoring_text
 from tracewell.operators.triage import (
     LANE_FLAGS,
@@ -18,9 +25,14 @@ from tracewell.operators.triage import (
     list_map,
     risk_lane_of,
 )
-from tracewell.session import broadcast_if_bounded, stored
+from tracewell.session import broadcast_if_bounded, prepare, stored
 from tracewell.tables import triage as t
 
+# Distinct texts that a task holds while it attaches them, and texts of one Arrow batch that it returns.
+TEXT_BYTES = 128 << 20
+RETURNED_BYTES = 16 << 20
+CHUNK_TEXTS = ["source_id", "source_title", "source_type", "section_heading", "text"]
+
 
 def phrase_marks(terms=None) -> Column:
     """Array of the rerank phrases that the text of a chunk row contains."""
@@ -59,6 +71,96 @@ def evidence_citation(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.array_sort(F.collect_list(citation)).alias("evidence"))
 
 
+def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a part with the texts of their citations; the chunks of a part come first."""
+    part, held, places, size = None, [], {}, np.zeros(0, np.int64)
+    for batch in (some for whole in batches for some in _by_part(whole)):
+        if batch.column("part")[0].as_py() != part:
+            part, held, places = batch.column("part")[0].as_py(), [], {}
+        chunks = batch.filter(pc.equal(batch.column("kind"), 0)).column("chunk")
+        if len(chunks):
+            first = sum(map(len, held))
+            for n, name in enumerate(chunks.field("chunk_id").to_pylist(), first):
+                places.setdefault(name, []).append(n)
+            # Chunk after chunk stays as it came; it becomes one array when the first row is met.
+            held.append(chunks)
+        rows = batch.filter(pc.equal(batch.column("kind"), 1)).column("row")
+        if not len(rows):
+            continue
+        if len(held) != 1:
+            held = [pa.concat_arrays(held)] if held else [chunks]
+        known = held[0]
+        size = sum(np.asarray(pc.fill_null(pc.binary_length(known.field(c)), 0)) for c in ("section_heading", "text"))
+        cites = rows.field("cites")
+        items, owner = cites.flatten(), pc.list_parent_indices(cites).to_numpy()
+        pairs = [(n, at) for n, name in enumerate(items.field("chunk_id").to_pylist()) for at in places.get(name, ())]
+        cite, chunk = np.array(pairs, np.int64).reshape(-1, 2).T
+        # Rows are returned in runs whose texts stay below the limit.
+        ends = np.cumsum(np.bincount(owner[cite], weights=size[chunk], minlength=len(rows)))
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(RETURNED_BYTES, ends[-1], RETURNED_BYTES))])
+        for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+            low, high = np.searchsorted(owner[cite], [a, b])
+            its, own = items.take(pa.array(cite[low:high])), known.take(pa.array(chunk[low:high]))
+            fields = {"rank": its.field("rank"), "chunk_id": its.field("chunk_id")}
+            fields |= {c: own.field(c) for c in CHUNK_TEXTS[:-1]}
+            fields |= {"score": its.field("score"), "matched_terms": its.field("matched_terms"), "supporting_text": own.field("text")}
+            offsets = np.searchsorted(owner[cite[low:high]], np.arange(a, b + 1)).astype(np.int32)
+            evidence = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+            yield pa.RecordBatch.from_arrays([rows.slice(a, b - a), evidence], names=["row", "evidence"])
+
+
+def _by_part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    parts = batch.column("part").to_numpy()
+    cuts = [*np.flatnonzero(np.diff(parts, prepend=-1)), len(parts)]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
+def with_evidence(rows: DataFrame, best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``rows`` (query_id) with ``evidence``: the ``evidence_citation`` of its query, empty where there is none.
+
+    A text that many queries cite does not move once for each of them: rows go into parts of similar best scores, which
+    cite much the same chunks, every part gets each text once, and its task puts the texts into the rows. There are
+    as many parts as the measured texts of a part need to fit a task.
+    """
+    spark = rows.sparkSession
+    prepare(spark)
+    cite = F.struct("rank", "chunk_id", "score", "matched_terms")
+    cited = rows.join(best.groupBy("query_id").agg(F.collect_list(cite).alias("cites")), "query_id", "left")
+    cited = stored(cited, "cited")
+    top = F.coalesce(F.array_max(F.transform("cites", lambda c: c["score"])), F.lit(0.0))
+    texts = chunks.select("chunk_id", *CHUNK_TEXTS).join(
+        broadcast_if_bounded(stored(best.select("chunk_id").distinct(), "cited-chunks")), "chunk_id", "left_semi"
+    )
+    texts = stored(texts, "cited-texts")
+    size = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("section_heading", "text"))
+    sizes = broadcast_if_bounded(stored(texts.groupBy("chunk_id").agg(F.sum(size).alias("size")), "text-sizes"))
+    before, parts = None, 3 * spark.sparkContext.defaultParallelism
+    while True:
+        placed = cited.repartitionByRange(parts, top, "query_id").withColumn("part", F.spark_partition_id())
+        placed = stored(placed, "placed")
+        needed = stored(placed.select("part", F.explode("cites.chunk_id").alias("chunk_id")).distinct(), "needed")
+        most = needed.join(sizes, "chunk_id").groupBy("part").agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] or 0
+        # Where smaller parts do not help, some rows have too long texts of their own.
+        if most <= TEXT_BYTES or (before is not None and most > 0.8 * before):
+            break
+        before, parts = most, parts * min(16, max(2, ceil(most / TEXT_BYTES)))
+    row, chunk = F.struct(*cited.columns), F.struct("chunk_id", *CHUNK_TEXTS)
+    kinds = {"row": placed.select(row.alias("x")).schema["x"].dataType, "chunk": texts.select(chunk.alias("x")).schema["x"].dataType}
+    sent = texts.join(broadcast_if_bounded(needed), "chunk_id").select(
+        "part", F.lit(0).alias("kind"), chunk.alias("chunk"), F.lit(None).cast(kinds["row"]).alias("row")
+    )
+    sent = sent.unionByName(placed.select("part", F.lit(1).alias("kind"), F.lit(None).cast(kinds["chunk"]).alias("chunk"), row.alias("row")))
+    dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    types = {n: best.schema[n].dataType for n in ("rank", "chunk_id", "score", "matched_terms")} | {n: texts.schema[n].dataType for n in CHUNK_TEXTS}
+    order = ["rank", "chunk_id", *CHUNK_TEXTS[:-1], "score", "matched_terms", "text"]
+    evidence = StructType()
+    for name in order:
+        evidence = evidence.add("supporting_text" if name == "text" else name, types[name])
+    schema = StructType().add("row", kinds["row"]).add("evidence", ArrayType(evidence))
+    found = dealt.mapInArrow(_attached, schema)
+    return found.select(*(F.col("row")[c].alias(c) for c in rows.columns), F.array_sort("evidence").alias("evidence"))
+
+
 def _has(name: str) -> Column:
     return F.col(f"_has_{name}")
 
@@ -149,7 +251,7 @@ def intake_checklist(
 
     Over-fetches 3k chunks per concern, reranks by concern type, keeps k, and attaches them.  The rules
     run once and are stored; the over-fetched rows carry no text, only the phrases that each chunk holds,
-    and the text is attached to the k winners.  ``concern_status`` is blank for null and white concerns,
+    and the texts are attached to the k winners.  ``concern_status`` is blank for null and white concerns,
     which have no evidence; ``strict`` refuses them.
     """
     check_top_k(k)
@@ -160,12 +262,11 @@ def intake_checklist(
         raise ValueError("concern text must not be blank")
     asked = typed.filter("concern_status = 'ok'")
     found = stored(keyword_winners(asked.select("query_id", "query_text"), chunks, 3 * k, source_type, index), "found")
-    held = chunks.select("chunk_id", phrase_marks().alias("marks"))
+    sought = broadcast_if_bounded(stored(found.select("chunk_id").distinct(), "found-chunks"))
+    held = chunks.join(sought, "chunk_id", "left_semi").select("chunk_id", phrase_marks().alias("marks"))
     marked = held.join(broadcast_if_bounded(found), "chunk_id").join(typed.select("query_id", "concern_type"), "query_id")
     best = stored(rerank(marked, k).drop("concern_type"), "reranked")
-    cited = typed.join(evidence_citation(attach_chunks(best, chunks)), "query_id", "left").withColumn(
-        "evidence", F.coalesce("evidence", F.array())
-    )
+    cited = with_evidence(typed, best, chunks)
     checks = F.transform(
         "review_checks",
         lambda c: c.withField(

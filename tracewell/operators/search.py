@@ -24,7 +24,7 @@ from math import ceil
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.operators.kernel import QueryBlock, collect_block, collect_vectors, scorer, totals
+from tracewell.operators.kernel import GROUPED_QUERIES, QueryBlock, collect_block, collect_vectors, floors, scorer, totals
 from tracewell.operators.rank_join import joined_ranks, list_length
 from tracewell.operators.ranking import check_top_k, hybrid_weights, top_k
 from tracewell.operators.terms import chunk_features, invalid_queries, query_features
@@ -33,6 +33,9 @@ from tracewell.session import BROADCAST_BYTES, broadcast_if_bounded, measured, p
 CHUNK_KEYS = ["chunk_id", "source_id", "source_type"]
 # What the best rows of one block may take in a task: k rows per query, none larger than its query.
 STATE_BYTES = 256 << 20
+# Chunks with the most terms that give many queries their first floors: at most so many, with so many term entries.
+HEAD_CHUNKS = 2048
+HEAD_ENTRIES = 1_500_000
 
 
 def _by_source(chunks: DataFrame, source_type: str | None) -> DataFrame:
@@ -57,11 +60,16 @@ def best_rows(
     if mode == "hybrid":
         schema += ", keyword_score double, vector_score double"
     asked = stored(asked, "asked")
-    _, size = measured(asked)
+    rows, size = measured(asked)
     kept = 2 * list_length(k) if mode == "hybrid" else k
+    if mode == "keyword" and rows >= GROUPED_QUERIES:
+        features = stored(features, "features")
+        asked = stored(_with_floors(asked, features, k), "floors")
+        # Terms are held as numbers of a third of their measured size or less.
+        kept = k / 3
     blocks = max(1, ceil(size / BROADCAST_BYTES), ceil(size * kept / STATE_BYTES))
-    # A hybrid search may read them twice.
-    if blocks > 1 or mode == "hybrid":
+    # A hybrid search may read them twice; those for many queries are stored.
+    if mode == "hybrid" or (blocks > 1 and "floor" not in asked.columns):
         features = stored(features, "features")
     number = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
     collect = collect_block if "terms" in asked.columns else collect_vectors
@@ -97,6 +105,23 @@ def best_rows(
     return spark.read.schema(schema).parquet(path)
 
 
+def _with_floors(asked: DataFrame, features: DataFrame, k: int) -> DataFrame:
+    """``asked`` with ``floor``: the k-th best score among the chunks with the most terms, which the k best of all reach."""
+    spark = asked.sparkSession
+    size = F.size("terms")
+    sizes = [r[0] for r in features.select(size.alias("n")).where("n > 0").orderBy(F.desc("n")).limit(HEAD_CHUNKS).collect()]
+    count = max(1, int(np.searchsorted(np.cumsum(sizes), HEAD_ENTRIES, "right")))
+    head = features.where(size >= (sizes[:count] or [1])[-1]).limit(count).select("terms").toArrow().combine_chunks()
+    # Places as ids: the floors need no others.
+    head = head.add_column(0, "chunk_id", [np.arange(head.num_rows)])
+    batches = head.to_batches()
+    if not batches:
+        return asked.withColumn("floor", F.lit(0.0))
+    shipped = spark.sparkContext.broadcast(batches[0])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields)
+    return asked.mapInArrow(floors(shipped, k), f"{kinds}, floor double")
+
+
 def _added_up(asked: DataFrame, features: DataFrame, by: str, columns: str, dims: int = 0) -> DataFrame:
     """The rows of ``kernel.totals`` over all blocks of ``asked``, written to the work folder."""
     spark = asked.sparkSession
@@ -150,7 +175,7 @@ def keyword_totals(
     queries: DataFrame, chunks: DataFrame, source_type: str | None = None, index: DataFrame | None = None
 ) -> DataFrame:
     """chunk_id, queries, total, best: over all queries that share a term with the chunk."""
-    features = _by_source(chunk_features(chunks) if index is None else index, source_type)
+    features = chunk_features(_by_source(chunks, source_type)) if index is None else _by_source(index, source_type)
     columns = "queries long, total double, best double"
     found = _added_up(query_features(queries), features.select("chunk_id", "terms"), "chunk", columns)
     return found.groupBy("chunk_id").agg(
@@ -163,7 +188,7 @@ def keyword_winners(
 ) -> DataFrame:
     """query_id, rank, chunk_id, score, matched_terms of ``keyword_search``, without the chunk columns."""
     check_top_k(k)
-    features = _by_source(chunk_features(chunks) if index is None else index, source_type)
+    features = chunk_features(_by_source(chunks, source_type)) if index is None else _by_source(index, source_type)
     return top_k(best_rows(query_features(queries), features.select("chunk_id", "terms"), "keyword", k), k)
 
 

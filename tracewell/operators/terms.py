@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracewell.functions.counting import weighted_terms_of
 from tracewell.functions.hashing import md5_bucket
 from tracewell.functions.runs import run_starts, with_counts
 from tracewell.functions.text import tokens
@@ -151,7 +152,7 @@ def chunk_features(
 ) -> DataFrame:
     """What the scorers read of each chunk: chunk_id, source_type, terms (term, weight, bonus).
 
-    With ``dims`` also buckets and norm; with ``vectors`` (chunk_id, vector) that vector instead, null
+    Terms alone are counted batch by batch. With ``dims`` also buckets and norm; with ``vectors`` (chunk_id, vector) that vector instead, null
     for chunks without one.  Stored once, it serves every later search without tokenizing.
     """
     keep = ["chunk_id", *(c for c in ("source_type",) if c in chunks.columns)]
@@ -162,12 +163,12 @@ def chunk_features(
         counted_keep = [*keep, "vector"]
     else:
         counted_keep = keep
+    if vectors is None and not dims:
+        return weighted_terms_of(chunks, keep, "source_title", "section_heading", "text")
     base = chunks.withColumns({"_title": tokens(F.col("source_title")), "_heading": tokens(F.col("section_heading"))})
     counted = count_terms(base, scoring_text(), [*counted_keep, "_title", "_heading"])
     if vectors is not None:
         return counted.select(*keep, weighted_terms().alias("terms"), "vector")
-    if not dims:
-        return counted.select(*keep, weighted_terms().alias("terms"))
     kept = counted.withColumn("_kept", weighted_terms())
     return _bucketed(kept, [*keep, "_kept"], dims, buckets).withColumnRenamed("_kept", "terms")
 
