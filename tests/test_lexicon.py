@@ -70,3 +70,23 @@ def test_a_shipped_lexicon_is_looked_up_in_place(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
     assert sorted(map(tuple, found.collect())) == [(1, "brick"), (1, "brick"), (1, "red brick"), (1, "red-brick")]
+
+
+def test_a_lexicon_beyond_the_limit_is_shipped_in_parts(spark, data, monkeypatch):
+    texts, terms = data
+    texts = [*texts, "x" * 200 + "y", "a" * 70, "汉字かな汉字かな汉字 z"]
+    terms = [*terms, "x" * 100, "x" * 99 + "y", "x" * 199 + "y", "x" * 201, "a" * 16, "a" * 17, "a" * 33, "字かな", "汉字かな汉字かな", "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lexicon = spark.createDataFrame([(t,) for t in terms], "term string")
+    want = sorted((i, t) for i, x in enumerate(texts) if x for t in {t for t in terms if t} if t in x)
+    found = lexicon_matches(df, lexicon, "id", limit=3000)
+    # No q-gram of a text becomes a row: before, a lexicon beyond the limit was joined with the q-grams of all texts.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") > 1
+    assert sorted(map(tuple, found.collect())) == want
+    lists = lexicon_matches(df.unionByName(df), lexicon, "id", limit=3000, lists=True)
+    assert sorted((r.id, t) for r in matched_terms(lists, "id").collect() for t in r.terms) == want
+    known = {r.id: r.terms for r in matched_terms(found, "id").collect()}
+    assert {r.id: r.terms for r in matched_terms(lists, "id").collect()} == known
+    joined = lexicon_matches(df, lexicon, "id", limit=0, lists=True)
+    assert {r.id: r.terms for r in matched_terms(joined, "id").collect()} == known
