@@ -6,6 +6,7 @@ import pytest
 
 from tracewell.operators import pruned
 from tracewell.operators.search import keyword_search
+from tracewell.operators.terms import chunk_features
 from tracewell.session import work_folder
 
 KIND = "chunk_id string, source_title string, section_heading string, source_type string, text string"
@@ -58,3 +59,15 @@ def test_empty_tables_and_bad_k(spark, tables):
     pruned.write_impact_index(chunks, path)
     found = pruned.pruned_search(asked.limit(0), pruned.read_impact_index(spark, path))
     assert found.best.collect() == [] and found.work.collect() == []
+
+
+def test_postings_are_no_rows(spark, tables):
+    """The table has a row for each term of a span; before, it had one for each term of a range, grouped from posting rows."""
+    chunks, _ = tables
+    path = work_folder(spark, "impact")
+    pruned.write_impact_index(chunks, path, ranges=1)
+    rows = spark.read.parquet(f"{path}/blocks")
+    held = [(r.term, r.source_type, p.chunk_id, p.weight, p.bonus) for r in rows.collect() for block in r.postings for p in block]
+    plain = [(t.term, r.source_type, r.chunk_id, t.weight, t.bonus) for r in chunk_features(chunks).collect() for t in r.terms]
+    assert sorted(map(str, held)) == sorted(map(str, plain))
+    assert rows.count() == len({p[:2] for p in plain}) < len(plain) / 5
